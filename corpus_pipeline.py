@@ -1,4 +1,93 @@
-"""The corpus pipeline: language ID, SimHash near-dedup, secret scans, mixing, BPE."""
+"""The corpus pipeline over ``documents``: each stage applies one operator to all that its predecessor kept.
 
-STAGES: list = []
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``, other
+columns that ``docs`` may have pass through. Null or empty texts, null ids, repeated rows and empty tables are handled as
+the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quillmill.llm import bpe, langid, mixing, secrets, simhash
+from quillmill.llm.common import drop_materialized, materialize
+
+#: A language must have at least this posterior; what no language explains better than that is rejected.
+LEAST_POSTERIOR = 0.5
+#: Near-duplicate shingles have five words.
+SHINGLE = 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: no letters at all, or no language with LEAST_POSTERIOR.
+
+    The model is learnt from all rows with a language; a missing language is filled in with the predicted one. Where no
+    row has a language, nothing can be told and only documents without letters go.
+    """
+    model = langid.fit(docs.filter(F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text")))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    got = langid.predict(docs, model, names=("_lang_pred", "_lang_score"))
+    kept = got.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_POSTERIOR))
+    return kept.select(*[F.coalesce("lang", "_lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each SimHash group the document of smallest id; one row of it, if it is repeated.
+
+    Rows without an id cannot be named as a group's document and stay.
+    """
+    classes = simhash.near_duplicates(docs, width=SHINGLE)
+    first = classes.filter(F.col("id") == F.col("component")).select(F.col("id").alias("_first")).distinct()
+    named = docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
+    once = named.withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).filter("_k = 1").drop("_k")
+    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the secrets out of the texts; n_chars follows where a text changes. No document goes."""
+    got = secrets.scan(docs, names=("_candidates", "_secrets", "_redacted"))
+    changed = F.size("_secrets") > 0
+    new = {"text": F.col("_redacted"), "n_chars": F.when(changed, F.length("_redacted").cast("long")).otherwise(F.col("n_chars"))}
+    return got.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes the sources to their target weights: each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text: (doc_id, n_tokens, ids_sha256, decoded_sha256) a row."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mixing", mixture),
+    ("bpe", tokens),
+]
+
+#: Language models, fingerprints and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to ``documents``; each one's result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        docs = materialize(out, f"pipeline-{name}")
+        if before is not None:
+            drop_materialized(before)
+        before = docs
+    return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ BLOCK_CHARS = 24_000_000
 #: Encoded words kept by a worker between blocks; emptied when full. Bounds memory, never results.
 CACHE_WORDS = 300_000
 
+_WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 
@@ -38,6 +41,19 @@ def _byte_chars() -> list[str]:
     return out
 
 
+def _ranges(major: str) -> str:
+    """The code points of a major category in Python's Unicode tables, as the inside of a character class."""
+    out, start = [], None
+    for k in range(sys.maxunicode + 2):
+        inside = k <= sys.maxunicode and unicodedata.category(chr(k))[0] == major
+        if inside and start is None:
+            start = k
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{k - 1:08x}")
+            start = None
+    return "".join(out)
+
+
 class Bpe:
     """A word-end BPE vocabulary (``tokenizers`` JSON): lower-cased NFC words, byte-level symbols, ``</w>`` at ends."""
 
@@ -50,7 +66,12 @@ class Bpe:
         self.tokens: dict[int, str] = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.end = model["end_of_word_suffix"] or ""
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        for a, b in ((r"\p{L}", _ranges("L")), (r"\p{N}", _ranges("N")), (r"\s", _WHITE)):
+            pattern = pattern.replace(a, b)
+        self.pieces = re.compile(pattern)
+        self.path = path
+        self.library = None
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         n = max(self.tokens) + 1
@@ -137,8 +158,7 @@ class Bpe:
                     owner.append(k)
                     fixed.append(self.special[part])
                 elif part:
-                    text = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                    for p in self.pieces.findall(text.lower()):
+                    for p in self.cut(part):
                         pieces.append(p.encode())
                         owner.append(k)
                         fixed.append(-1)
@@ -165,6 +185,20 @@ class Bpe:
             out[k] = ids.tolist()
         return out
 
+    def cut(self, part: str) -> list[str]:
+        """The pieces of a word that are merged each for themselves, normalized."""
+        if part.isascii():
+            return self.pieces.findall(part.lower())
+        if any(unicodedata.category(c) == "Cn" for c in part):
+            # characters newer than Python's Unicode tables: their class and case are the library's
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            text = self.library.normalizer.normalize_str(part)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
     def learn(self, words: set[str]) -> None:
         new = sorted(words)
         for word, ids in zip(new, self.encode_words(new), strict=True):
