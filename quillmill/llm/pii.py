@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import materialize, table
-from quillmill.llm.spans import gaps_and_hits, located
+from quillmill.llm.spans import blocks, gaps_and_hits, let, located
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns with possessive loops, which Java's engine runs without recursion. A match can only start where
@@ -111,21 +111,28 @@ def extract(
     hits = {k: (F.col(f"{k}_g"), F.col(f"{k}_h")) for k in KINDS}
     placed = cut.select("id", base_spans(F.col("t"), hits).alias("base"), located(F.col("word_g"), F.col("word_h")).alias("words"))
 
-    def kind_of(w: Column) -> Column:
-        over = F.filter(F.col("base"), lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
-        return F.get(over, F.lit(0))["k"]
-
     trimmed = lambda w: F.regexp_replace(w, r"^[^0-9\p{L}@+]+|[^0-9\p{L}]+$", "")
-    words = F.transform(
-        F.col("words"),
-        lambda w: F.struct(
-            w["start"].alias("start"), w["end"].alias("end"), trimmed(w["hit"]).alias("word"),
-            (w["start"] + F.length(F.regexp_extract(w["hit"], r"^[^0-9\p{L}@+]*", 0))).alias("from"),
-            F.lower(F.regexp_extract(w["left"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)).alias("before"),
-            kind_of(w).alias("k"),
-        ),
-    )
-    kept = materialize(placed.select(F.monotonically_increasing_id().alias("row"), "id", "base", words.alias("words")), "pii")
+
+    def near(block: Column, base: Column) -> Column:
+        low, high = F.get(block, F.lit(0))["start"], F.element_at(block, -1)["end"]
+        return F.struct(block.alias("ws"), F.filter(base, lambda s: (s["start"] < high) & (s["end"] > low)).alias("base"))
+
+    def of_block(z: Column) -> Column:
+        return F.transform(
+            z["ws"],
+            lambda w: F.struct(
+                w["start"].alias("start"), w["end"].alias("end"), trimmed(w["hit"]).alias("word"),
+                (w["start"] + F.length(F.regexp_extract(w["hit"], r"^[^0-9\p{L}@+]*", 0))).alias("from"),
+                F.lower(F.regexp_extract(w["left"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)).alias("before"),
+                F.get(F.filter(z["base"], lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])), F.lit(0))["k"].alias("k"),
+            ),
+        )
+
+    def marked(z: Column) -> Column:
+        return F.flatten(F.transform(F.transform(let(z["words"], blocks), lambda b: near(b, z["base"])), of_block))
+
+    both = let(F.struct("base", "words"), lambda z: F.struct(z["base"].alias("base"), marked(z).alias("words")))
+    kept = materialize(placed.select(F.monotonically_increasing_id().alias("row"), "id", both.alias("z")).select("row", "id", "z.base", "z.words"), "pii")
     each = kept.filter(F.size("words") > 0).select("row", F.explode("words").alias("w")).select("row", "w.*")
     each = each.filter("length(word) > 3").withColumn("shape", _shape(F.col("word")))
     edges = each.groupBy("before", "shape", "word").agg(F.max("k").alias("k"))
@@ -144,7 +151,7 @@ def extract(
         (F.sum("s") / (F.count(F.lit(1)) + 1)).alias("c"), F.count("k").alias("seeds"),
         *[F.count_if(F.col("k") == k).alias(f"k{k}") for k in range(len(KINDS))],
     )
-    best = F.greatest(*[F.struct(F.col(f"k{k}"), F.lit(-k).alias("k")) for k in range(len(KINDS))])["k"]
+    best = F.greatest(*[F.struct(F.col(f"k{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(KINDS))])["k"]
     sure = votes.filter((F.col("seeds") >= support) & (F.col("c") >= confidence)).select("before", "shape", (-best).alias("kind"))
     news = each.filter("k is null").join(sure, ["before", "shape"])
     span = F.struct(F.col("from").cast("int").alias("start"), F.col("kind").cast("int").alias("k"), (F.col("from") + F.length("word")).cast("int").alias("end"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import table
-from quillmill.llm.spans import gaps_and_hits, located
+from quillmill.llm.spans import gaps_and_hits, let, located
 
 _C = "A-Za-z0-9_+/=.~"
 #: Private key blocks, and runs of at least 16 key characters with a digit among them.
@@ -180,9 +180,9 @@ def scan(
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     cut = docs.select(*cols, path.alias("_path"), gaps.alias("_gaps"), hits.alias("_hits"))
     found = cut.withColumn("_spans", F.when(F.size("_hits") > 0, located(F.col("_gaps"), F.col("_hits"))))
-    feats = F.transform("_spans", lambda s: F.array(*features(s["hit"], s["left"], s["right"], F.col("_path"))))
-    judged = found.withColumn("_x", feats)
-    judged = judged.withColumn("_p", F.transform("_x", lambda x: votes(forest, x)))
+    judge = lambda s, path: let(F.array(*features(s["hit"], s["left"], s["right"], path)), lambda x: votes(forest, x))
+    shares = let(F.struct("_spans", "_path"), lambda z: F.transform(z["_spans"], lambda s: judge(s, z["_path"])))
+    judged = found.withColumn("_p", shares)
     flagged = F.filter(F.arrays_zip(F.col("_spans").alias("s"), F.col("_p").alias("p")), lambda z: z["p"] >= threshold)
     secrets = F.transform(flagged, lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["end"].alias("end")))
     pieces = F.zip_with(

@@ -21,10 +21,28 @@ def gaps_and_hits(text: Column, pattern: str, gate: Column) -> tuple[Column, Col
     return gaps, hits
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, wherever and however often it is used inside.
+
+    The optimizer may put an expression in place of a column that names it, even inside a lambda, where it would be
+    worked out again for each item; a lambda's variable it cannot replace.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Items handled as one block, so that long arrays cost no square of their length.
+BLOCK = 512
+
+
+def blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items; an empty one has none."""
+    n = F.ceil(F.size(items) / F.lit(float(BLOCK))).cast("int")
+    some = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.when(n > 0, some).otherwise(F.array())
+
+
 def located(gaps: Column, hits: Column) -> Column:
     """The matches with start and end in code points and some context: array of (start, end, hit, left, right)."""
-    n = F.size(hits)
-    each = F.arrays_zip(F.slice(gaps, 1, n).alias("g"), hits.alias("h"), F.slice(gaps, F.lit(2), n).alias("r"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
@@ -35,5 +53,16 @@ def located(gaps: Column, hits: Column) -> Column:
         )
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(each, zero, step, lambda acc: acc["out"])
+    def of_block(acc: Column, block: Column) -> Column:
+        none = F.array().cast(_SPAN)
+        got = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(got["at"].alias("at"), F.array_append(acc["out"], got["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+
+    def whole(z: Column) -> Column:
+        n = F.size(z["hits"])
+        each = F.arrays_zip(F.slice(z["gaps"], F.lit(1), n).alias("g"), z["hits"].alias("h"), F.slice(z["gaps"], F.lit(2), n).alias("r"))
+        return F.flatten(F.aggregate(let(each, blocks), zero, of_block, lambda acc: acc["out"]))
+
+    return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), whole)

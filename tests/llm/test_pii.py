@@ -85,4 +85,4 @@ def test_patterns_discover(spark):
     got = {r.id: r for r in pii.extract(docs(spark, rows)).collect()}
     assert [tuple(s) for s in got[200].spans] == [(13, 3, 18)] and got[200].base == []
     assert got[201].spans == [] and all(got[100 + k].spans == [] for k in range(20))
-    assert all(len(got[k].base) == 1 for k in range(40))
+    assert all((13, 3, 26) in [tuple(s) for s in got[k].base] for k in range(40))
