@@ -130,6 +130,7 @@ def _bigram_parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
 
     def flush() -> pa.RecordBatch:
         right = np.concatenate(held)
+        held.clear()
         left = np.empty_like(right)
         left[0] = BEGIN
         left[1:] = np.where(right[:-1] == END, BEGIN, right[:-1])
