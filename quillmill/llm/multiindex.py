@@ -28,12 +28,17 @@ SAMPLE = 20_000
 BLOCK = 2048
 
 
+#: Sampled pairs at the threshold that the traversal's length is set by.
+TRIALS = 4096
+
+
 @dataclass
 class Codebooks:
-    """Centroids of each vector half; half 1 may be one component longer."""
+    """Centroids of each vector half, and how many cells a traversal visits."""
 
     first: np.ndarray
     second: np.ndarray
+    visits: int = 1
 
     @property
     def split(self) -> int:
@@ -55,72 +60,82 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_codebooks(sample: np.ndarray, rows: int) -> Codebooks:
-    """Independent codebooks on the halves of unit vectors, about sqrt(rows / 8) cells per half, 8 to 128."""
-    split = (sample.shape[1] + 1) // 2
-    k = int(min(128, max(8, round((rows / 8) ** 0.5))))
-    return Codebooks(_kmeans(sample[:, :split], k), _kmeans(sample[:, split:], k) if sample.shape[1] > 1 else np.zeros((1, 0)))
-
+def fit_codebooks(sample: np.ndarray, rows: int, threshold: float, recall: float) -> Codebooks:
+    """Independent codebooks on the halves of unit vectors, and the cells to visit for the target recall.
 
-def _bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Own centroid of each row, and lower bounds on the squared distance to anything in each centroid's cell.
-
-    What lies in cell i is nearer to c_i than to x's own centroid c_a, so it is beyond the plane halfway between
-    them, and x's distance to that plane bounds its distance to the cell.
+    About sqrt(rows / 128) centroids per half, 4 to 128. The length of the traversal is set by trials: sampled
+    vectors are turned in random directions to exactly the threshold's cosine, the hardest pairs that count; it is
+    the least number of cells by which at least ``recall`` of these pairs meet from one end or the other.
     """
-    d = np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0.0)
-    own = np.argmin(d, axis=1)
-    gap = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T, 1e-30))[own]
-    plane = np.maximum((d - d[np.arange(len(x)), own][:, None]) / (2 * gap), 0.0)
-    plane[np.arange(len(x)), own] = 0.0
-    return own, plane * plane
-
-
-def visit(
-    x: np.ndarray, books: Codebooks, radius2: float, recall: float = 1.0
-) -> Iterator[tuple[int, int, list[int]]]:
-    """For each unit vector: (row, own cell, the other cells to visit, nearest bound first).
-
-    Multi-sequence traversal: both halves' cells are sorted by their bounds, and pairs of places (i, j) are left in
-    order of the sum of bounds. With ``recall`` 1 it ends when that sum passes the squared radius: by then every
-    vector within the radius has been met. A lower ``recall`` shrinks the radius that is searched for sure.
+    dim = sample.shape[1]
+    split = (dim + 1) // 2
+    k = int(min(128, max(4, round((rows / 128) ** 0.5))))
+    books = Codebooks(_kmeans(sample[:, :split], k), _kmeans(sample[:, split:], k) if dim > 1 else np.zeros((1, 0)))
+    total = len(books.first) * len(books.second)
+    if dim < 2:
+        return books
+    rng = np.random.default_rng(33)
+    x = sample[rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)]
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.maximum(np.linalg.norm(z, axis=1), 1e-300)[:, None]
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * z
+    need = np.minimum(_place(x, y, books), _place(y, x, books)) + 1
+    need.sort()
+    books.visits = int(min(total, need[min(len(need) - 1, int(np.ceil(recall * len(need))))]))
+    return books
+
+
+def _square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0.0)
+
+
+def _place(x: np.ndarray, y: np.ndarray, books: Codebooks) -> np.ndarray:
+    """The place of y's own cell in x's traversal, from 0."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for at in range(0, len(x), 256):
+        u, v = x[at : at + 256], y[at : at + 256]
+        r = np.arange(len(u))
+        a, b = _square(u[:, : books.split], books.first), _square(u[:, books.split :], books.second)
+        i, j = _square(v[:, : books.split], books.first).argmin(1), _square(v[:, books.split :], books.second).argmin(1)
+        out[at : at + 256] = ((a[:, :, None] + b[:, None, :]) < (a[r, i] + b[r, j])[:, None, None]).sum((1, 2))
+    return out
+
+
+def visit(x: np.ndarray, books: Codebooks) -> np.ndarray:
+    """The cells that each unit vector visits, its own first: rows x visits.
+
+    Multi-sequence traversal: with both halves' cells sorted by distance, pairs of places (i, j) are taken in order
+    of the sum of the two. The first n pairs all have (i + 1) * (j + 1) <= n, so only these sums are formed.
     """
-    a, b = _bounds(x[:, : books.split], books.first), _bounds(x[:, books.split :], books.second)
-    width = len(books.second)
-    limit = radius2 * recall + 1e-9
-    for r in range(len(x)):
-        own = int(a[0][r]) * width + int(b[0][r])
-        ca, cb = np.flatnonzero(a[1][r] <= limit), np.flatnonzero(b[1][r] <= limit)
-        total = a[1][r][ca][:, None] + b[1][r][cb]
-        i, j = np.nonzero(total <= limit)
-        order = np.argsort(total[i, j], kind="stable")
-        cells = (ca[i] * width + cb[j])[order].tolist()
-        yield r, own, [c for c in cells if c != own]
-
-
-def _probe(batches: Iterator[pa.RecordBatch], shared, radius2: float, recall: float) -> Iterator[pa.RecordBatch]:
+    n, width = books.visits, len(books.second)
+    a, b = _square(x[:, : books.split], books.first), _square(x[:, books.split :], books.second)
+    ia, ib = np.argsort(a, axis=1, kind="stable")[:, :n], np.argsort(b, axis=1, kind="stable")[:, :n]
+    da, db = np.take_along_axis(a, ia, 1), np.take_along_axis(b, ib, 1)
+    pairs = [(i, j) for i in range(ia.shape[1]) for j in range(ib.shape[1]) if (i + 1) * (j + 1) <= n]
+    i, j = (np.array(c) for c in zip(*pairs, strict=True))
+    order = np.argsort(da[:, i] + db[:, j], axis=1, kind="stable")[:, :n]
+    return np.take_along_axis(ia[:, i] * width + ib[:, j], order, 1)
+
+
+def _probe(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             b = batch.slice(at, 2048)
-            rows: list[int] = []
-            cells: list[int] = []
-            member: list[bool] = []
             dims = b["dim"].to_numpy()
             for dim in np.unique(dims).tolist():
                 where = np.flatnonzero(dims == dim)
-                x = matrix(b["vec"].take(pa.array(where)), dim)
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                for r, own, others in visit(x, shared.value[dim], radius2, recall):
-                    # a pair is met from the smaller cell: bounds hold both ways, so one visit finds it
-                    mine = [own, *(c for c in others if c > own)]
-                    rows += [int(where[r])] * len(mine)
-                    cells += mine
-                    member += [True] + [False] * (len(mine) - 1)
-            at_ = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b["label"].take(at_), b["dim"].take(at_), pa.array(cells, pa.int64()), b["rep"].take(at_), b["n"].take(at_), pa.array(member), b["vec"].take(at_)],
-                ["label", "dim", "cell", "rep", "n", "member", "vec"],
-            )
+                vec = b["vec"].take(pa.array(where))
+                x = matrix(vec, dim)
+                cells = visit(x / np.linalg.norm(x, axis=1)[:, None], shared.value[dim])
+                n = cells.shape[1]
+                row = pa.array(np.repeat(where, n))
+                member = np.tile(np.arange(n) == 0, len(where))
+                visits = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, n, dtype=np.int32), pa.array(cells.astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [b["label"].take(row), b["dim"].take(row), pa.array(cells.astype(np.int32).ravel()), b["rep"].take(row), b["n"].take(row), pa.array(member), visits.take(pa.array(np.repeat(np.arange(len(where)), n))), b["vec"].take(row)],
+                    ["label", "dim", "cell", "rep", "n", "member", "visits", "vec"],
+                )
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -140,6 +155,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 continue
             x = matrix(t["vec"].slice(a, b - a), int(dim[a]))
             norm = np.sqrt((x * x).sum(1))
+            visits = matrix(t["visits"].slice(a, b - a), len(t["visits"][a])).astype(np.int64)
             m = np.flatnonzero(member[a:b])
             links = np.zeros(b - a, dtype=np.int64)
             left: list[int] = []
@@ -153,6 +169,9 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 if first[a] != second[a]:
                     ok &= chunk[a + p] != chunk[a + q]
                 p, q = p[ok], q[ok]
+                # a pair of which each visits the other's cell is counted in one of the two
+                twice = ~member[a + p] & (visits[q] == visits[p, :1]).any(axis=1) & (rep[a + p] > rep[a + q])
+                p, q = p[~twice], q[~twice]
                 cos = np.concatenate([(x[p[s : s + 65536]] * x[q[s : s + 65536]]).sum(1) for s in range(0, len(p), 65536)]) if len(p) else np.zeros(0)
                 ok = cos / (norm[p] * norm[q]) >= threshold
                 p, q = p[ok], q[ok]
@@ -171,7 +190,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 def near_duplicates(
     rows: DataFrame,
     threshold: float = 0.98,
-    recall: float = 1.0,
+    recall: float = 0.9999,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     label_col: str = "label",
@@ -179,9 +198,10 @@ def near_duplicates(
     """Links vectors of equal label and dimension by cosine >= threshold: (id, n_links, component, kept), row per row.
 
     Equal vectors of a label are one class with a count. Classes' unit vectors are indexed in the product grid of two
-    codebooks fitted on a bounded sample; each visits the cells that multi-sequence traversal gives, and meets the
-    classes there in units of bounded size, where cosines are verified in double precision. With ``recall`` 1, the
-    default, the traversal's bound proves that no link is missed. A unit sends counts and a spanning forest.
+    codebooks fitted on a bounded sample; each visits the cells that come first in its multi-sequence traversal, as
+    many as ``recall`` asks of pairs right at the threshold (closer pairs meet more surely), and meets the classes
+    there in units of bounded size, where cosines are verified in double precision. A unit sends counts and a
+    spanning forest of its links.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with null label or id, link
     with nothing: n_links 0, their own component. Repeated rows link with each other. An empty table gives none.
@@ -199,12 +219,11 @@ def near_duplicates(
         if not some.num_rows:
             some = classes.filter(F.col("dim") == dim).limit(SAMPLE).toArrow()
         x = matrix(some["vec"], dim)
-        books[dim] = fit_codebooks(x / np.linalg.norm(x, axis=1)[:, None], count)
+        books[dim] = fit_codebooks(x / np.linalg.norm(x, axis=1)[:, None], count, threshold, recall)
     shared = spark.sparkContext.broadcast(books)
-    radius2 = 2 - 2 * threshold  # squared distance of unit vectors at the threshold
     kind = dict(classes.dtypes)
-    schema = f"label {kind['label']}, dim int, cell bigint, rep bigint, n bigint, member boolean, vec {kind['vec']}"
-    probes = classes.select("label", "dim", "rep", "n", "vec").mapInArrow(lambda it: _probe(it, shared, radius2, recall), schema)
+    schema = f"label {kind['label']}, dim int, cell int, rep bigint, n bigint, member boolean, visits array<int>, vec {kind['vec']}"
+    probes = classes.select("label", "dim", "rep", "n", "vec").mapInArrow(lambda it: _probe(it, shared), schema)
     keys = ["label", "dim", "cell"]
     units = block_units(probes, keys, "rep", BLOCK)
     names = [*keys, "_i", "_j"]

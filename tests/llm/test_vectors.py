@@ -116,6 +116,35 @@ def test_error_bounds_hold():
     rng = np.random.default_rng(5)
     x, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))
     turn = bitcodes.rotation(64)
-    est, err = bitcodes.estimate(bitcodes.encode(x, turn), q, turn)
+    codes = bitcodes.encode(x, turn)
+    est, err = bitcodes.estimate(codes, bitcodes.signs(codes, len(turn)), q, turn)
     assert np.mean(np.abs(est - q @ x.T) <= err) > 0.9995
-    assert np.abs(est - q @ x.T).mean() < np.abs(q @ x.T).mean()
+    assert np.abs(est - q @ x.T).mean() < np.abs(q @ x.T).mean() / 3
+
+
+def test_traversal_is_in_order():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 10))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = multiindex.fit_codebooks(x, 5000, 0.98, 0.99)
+    assert 1 <= books.visits <= len(books.first) * len(books.second)
+    for n in (1, 3, 7, 20):
+        books.visits = n
+        a, b = multiindex._square(x[:, :5], books.first), multiindex._square(x[:, 5:], books.second)
+        total = np.sort((a[:, :, None] + b[:, None, :]).reshape(len(x), -1), axis=1)[:, :n]
+        cells = multiindex.visit(x, books)
+        r = np.arange(len(x))[:, None]
+        assert np.allclose(a[r, cells // len(books.second)] + b[r, cells % len(books.second)], total)
+
+
+def test_recall_reaches_the_target():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = multiindex.fit_codebooks(x, 50_000, 0.98, 0.99)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    u, v = multiindex.visit(x, books), multiindex.visit(y, books)
+    met = (u == v[:, :1]).any(1) | (v == u[:, :1]).any(1)
+    assert met.mean() > 0.98 and books.visits < 40
