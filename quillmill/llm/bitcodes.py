@@ -18,84 +18,82 @@ from quillmill.llm.vectors import matrix, usable
 QUERIES, CANDIDATES = 1024, 8192
 #: Width of the estimate's error bound, in the standard deviations of a random rotation.
 EPSILON = 4.0
-_PLANES = 4  # bits of a quantized query component
+#: Bits of a code for each component: vectors are rotated into that many times their dimension.
+SPREAD = 8
 
 
 def rotation(dim: int, seed: int = 9) -> np.ndarray:
-    """A random orthogonal matrix, the same on every worker."""
-    q, r = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """A random rotation of the vectors, padded with zeros, as (bits x dim); the same on every worker."""
+    bits = SPREAD * dim
+    q, r = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:, :dim]
 
 
 @dataclass
 class Codes:
-    """One-bit codes of vectors: packed signs of the rotated direction, its length, and correction scalars."""
+    """One-bit codes of vectors: packed signs of the rotated direction, its length, and the correction scalar."""
 
-    bits: np.ndarray  # rows x ceil(dim / 64), uint64
+    bits: np.ndarray  # rows x bits / 8, packed
     norm: np.ndarray
     fit: np.ndarray  # inner product of the direction with its code, 0 < fit <= 1
-    ones: np.ndarray  # set bits
 
 
 def encode(x: np.ndarray, turn: np.ndarray) -> Codes:
     norm = np.linalg.norm(x, axis=1)
     y = (x / norm[:, None]) @ turn.T
-    sign = y >= 0
-    dim = x.shape[1]
-    fit = np.abs(y).sum(1) / np.sqrt(dim)
-    packed = np.packbits(sign, axis=1, bitorder="little")
-    packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
-    bits = np.ascontiguousarray(packed).view(np.uint64)
-    return Codes(bits, norm, fit, sign.sum(1))
+    return Codes(np.packbits(y >= 0, axis=1), norm, np.abs(y).sum(1) / np.sqrt(len(turn)))
 
 
-def estimate(codes: Codes, q: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x codes) and bounds on their errors, from packed bits.
+def signs(codes: Codes, bits: int) -> np.ndarray:
+    """The packed codes as a matrix of +1 and -1."""
+    return 2 * np.unpackbits(codes.bits, axis=1, count=bits).astype(np.float32) - 1
 
-    The rotated query is quantized to 4 bits a component; its product with a code is a sum of four and-popcounts.
-    Divided by the code's ``fit`` this estimates the product with the vector's direction without bias; the error is
-    bounded by epsilon * sqrt((1 - fit^2) / (fit^2 (dim - 1))) * |q|, plus what quantizing may change, exactly.
+
+def estimate(codes: Codes, plus: np.ndarray, q: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products (queries x codes) and bounds on their errors.
+
+    The product of the rotated query with a code, divided by the code's ``fit``, estimates the product with the
+    vector's direction without bias; epsilon * sqrt((1 - fit^2) / (fit^2 (bits - 1))) * |q| bounds the error.
     """
-    dim = q.shape[1]
-    z = q @ turn.T
-    low = z.min(1)
-    step = np.maximum((z.max(1) - low) / ((1 << _PLANES) - 1), 1e-300)
-    u = np.rint((z - low[:, None]) / step[:, None]).astype(np.uint8)
-    off = np.abs(low[:, None] + step[:, None] * u - z).sum(1) / np.sqrt(dim)
-    dot = np.zeros((len(q), len(codes.norm)))
-    for k in range(_PLANES):
-        plane = np.packbits((u >> k) & 1, axis=1, bitorder="little")
-        plane = np.ascontiguousarray(np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8)))).view(np.uint64)
-        for w in range(plane.shape[1]):
-            dot += np.bitwise_count(plane[:, w][:, None] & codes.bits[:, w]).astype(np.float64) * (1 << k)
-    # <code, z> with code components +-1/sqrt(dim)
-    total = low[:, None] * dim + step[:, None] * u.sum(1)[:, None]
-    got = 2 * (low[:, None] * codes.ones + step[:, None] * dot) - total
+    bits = len(turn)
+    z = (q @ turn.T).astype(np.float32)
     scale = codes.norm / codes.fit
-    est = got / np.sqrt(dim) * scale
-    spread = np.sqrt(np.maximum(1 - codes.fit**2, 0) / max(dim - 1, 1))
-    err = (epsilon * np.linalg.norm(q, axis=1)[:, None] * spread + off[:, None]) * scale
-    return est, err
+    est = (z @ plus.T) * (scale / np.sqrt(bits)).astype(np.float32)
+    spread = np.sqrt(np.maximum(1 - codes.fit**2, 0) / max(bits - 1, 1)) * scale
+    err = (epsilon * np.linalg.norm(q, axis=1)).astype(np.float32)[:, None] * spread.astype(np.float32)
+    return est, err + np.float32(1e-5) * np.linalg.norm(q, axis=1).astype(np.float32)[:, None] * codes.norm.astype(np.float32)
 
 
 def top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its k best of the candidates: (query, candidate ids, exact inner products), unordered.
 
-    Candidates whose upper bound reaches the k-th largest lower bound are reranked by exact products.
+    Candidates whose upper bound reaches the k-th largest lower bound are reranked by their own products; those that
+    may be among the k best get them summed in the order of components, as SQL does.
     """
     turn = rotation(x.shape[1])
     codes = encode(x, turn)
-    for at in range(0, len(q), 64):
-        part, part_ids = q[at : at + 64], q_ids[at : at + 64]
-        est, err = estimate(codes, part, turn)
+    plus = signs(codes, len(turn))
+    size = codes.norm.max()
+    for at in range(0, len(q), 128):
+        part, part_ids = q[at : at + 128], q_ids[at : at + 128]
+        est, err = estimate(codes, plus, part, turn)
+        upper = est + err
+        lower = np.subtract(est, err, out=est)
         own = ids[None, :] == part_ids[:, None]
-        lower = np.where(own, -np.inf, est - err)
-        kth = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -np.inf)
-        keep = (est + err >= kth[:, None]) & ~own
+        lower[own] = upper[own] = -np.inf
+        if len(ids) > k:
+            keep = upper >= np.partition(lower, -k, axis=1)[:, -k][:, None]
+        else:
+            keep = np.ones(upper.shape, dtype=bool)
+        keep &= ~own
         for r in range(len(part)):
             c = np.flatnonzero(keep[r])
+            if len(c) > k:
+                near = x[c] @ part[r]
+                slack = 1e-9 * size * np.linalg.norm(part[r])
+                c = c[near >= np.partition(near, -k)[-k] - slack]
             exact = np.zeros(len(c))
-            for d in range(x.shape[1]):  # summed in the order of components, as SQL does
+            for d in range(x.shape[1]):
                 exact += x[c, d] * part[r, d]
             best = np.lexsort((ids[c], -exact))[:k]
             yield int(part_ids[r]), ids[c][best], exact[best]
