@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.operators.graph import components
+from quillmill.storage import drop_materialized, drop_path, fresh_path, materialize, shared_dir
+
+__all__ = [
+    "WORD", "block_units", "components", "drop_materialized", "drop_path", "fresh_path", "materialize", "release", "runs",
+    "shared_dir", "shuffle_partitions", "spanning", "table",
+]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -17,43 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = getattr(spark, "_own_checkpoint_dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        spark._own_checkpoint_dir = got
-    return got.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._materialized_path = path
-    return out
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Deletes a table of ``materialize`` that nothing reads any more."""
-    drop_path(df.sparkSession, df._materialized_path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives a worker's free memory back to the system: workers outlive their tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def block_units(df: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
     """Splits groups of rows that are to be compared pairwise into units of bounded size.
 
@@ -107,44 +89,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], target: int = 1 <<
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b: long), as (node, component) with the smallest node of each.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014). Each round is two partial aggregations and
-    two joins that adaptive execution can split on a hot key; no group is collected and nothing but a count and a
-    checksum reaches the driver. Each round's edges are written to the shared folder, which cuts the lineage.
-    Nodes without edges are not returned.
-    """
-    cur = materialize(
-        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct(), "cc"
-    )
-
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(v, m))")).first())
-
-    seen = mark(cur)
-    while seen[0]:
-        both = cur.select(F.col("v").alias("u"), F.col("m").alias("w")).unionAll(cur.select("m", "v"))
-        low = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = (
-            both.filter("w > u").join(low, "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
-        )
-        down = large.groupBy("v").agg(F.min("m").alias("low"))
-        pairs = large.join(down, "v")
-        small = pairs.select("v", F.col("low").alias("m")).unionAll(
-            pairs.filter("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
-        )
-        new = materialize(small.distinct(), "cc")
-        drop_materialized(cur)
-        cur, before, seen = new, seen, mark(new)
-        if seen == before:
-            break
-    roots = cur.select("v", "m")
-    return roots.select(F.col("v").alias("node"), F.col("m").alias("component")).unionAll(
-        roots.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
-    )
-
-
 def spanning(n: int, left, right) -> list[tuple[int, int]]:
     """The edges (left[k], right[k]) that join two parts of 0..n-1 not joined before: a spanning forest."""
     parent = list(range(n))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import fresh_path, shuffle_partitions, table
+from quillmill.llm.common import fresh_path, release, shuffle_partitions, table
 from quillmill.llm.substring import _cut, _planes, _unplanes
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -159,6 +159,7 @@ def _bigram_parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
                 held, size = [], 0
     if held:
         yield flush()
+    release()
 
 
 def _sum_by(keys: np.ndarray, **values: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -355,6 +356,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     [b["id"], *map(pa.array, (n, known, base, p, 10.0 ** (-p / n)))],
                     ["id", "n_tokens", "n_known", "base_score", "score", "perplexity"],
                 )
+        release()
 
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))

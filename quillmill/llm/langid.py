@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import table
+from quillmill.llm.common import release, table
 
 #: Hash buckets of the n-grams of all orders together.
 BUCKETS = 1 << 16
@@ -106,6 +106,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                     yield from sums(counts, docs)
                     counts, docs = {}, {}
         yield from sums(counts, docs)
+        release()
 
     def sums(counts, docs):
         for lang, mine in counts.items():
@@ -157,6 +158,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
             got = list(shared.value.score(b[text_col].to_pylist()))
             extra = [pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, *names])
+        release()
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 

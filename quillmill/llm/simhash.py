@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import block_units, components, materialize, runs, shuffle_partitions, spanning, table
+from quillmill.llm.common import block_units, components, materialize, release, runs, shuffle_partitions, spanning, table
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             got = np.array([fingerprint(x, width) for x in b["text"].to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(got.view(np.int64))], ["id", "fp"])
+        release()
 
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
