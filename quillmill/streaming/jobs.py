@@ -24,16 +24,22 @@ def events_stream(spark: SparkSession, path: str, schema, files: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """Event time as an instant, with a watermark on streams."""
+    at = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return at.withWatermark("ts", late) if events.isStreaming else at
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(start, kind, n, total) per tumbling or sliding window."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     got = marked.groupBy(F.window("ts", size, slide) if slide else F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return got.select(F.col("window.start").alias("start"), F.col("event_type").alias("kind"), "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user, start, end, n): runs of a user's events without a pause of ``gap``."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     got = marked.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return got.select(F.col("user_id").alias("user"), F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
