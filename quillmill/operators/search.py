@@ -38,9 +38,8 @@ def like_search(df: DataFrame, key: str, text: str, word: str, limit: int) -> Da
 
 def trigram_index(df: DataFrame, key: str, text: str) -> DataFrame:
     """(gram, key): distinct trigrams of each lower-cased text, for a persisted index partitioned by gram."""
-    low = F.lower(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
-    return df.filter(F.length(text) >= 3).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    grams = F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?s)(?=(...))"), F.lit(1))
+    return df.select(key, F.explode(grams).alias("gram")).distinct()
 
 
 def maintain_index(index: DataFrame, gone: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:

@@ -74,7 +74,7 @@ def _(t):
     return got.select("a", "b", S.pair_score(F.round("sim", 9), F.lit(2.0)).alias("score"))
 
 
-NOTES = rf"n as (select distinct conv_id as doc, turn as note, unnest({Q.words('text')}) as term from conversations where role = 'user' and conv_id < (select max(conv_id) from conversations))"
+NOTES = rf"n as (select distinct conv_id as doc, turn as note, unnest({Q.words('text')}) as term from conversations where role = 'user')"
 
 
 @query("GR6_note_weight", rf"""
@@ -89,8 +89,7 @@ from p left join ha on ha.a = p.a and ha.b = p.b left join hb on hb.a = p.a and
 """)
 def _(t):
     w = t.notes.select(F.col("book").alias("doc"), "note", F.explode(T.raw_words(F.col("text"))).alias("term"))
-    top = t.conversations.agg(F.max("conv_id").alias("m"))
-    notes = w.crossJoin(F.broadcast(top)).filter("doc < m").drop("m").distinct()
+    notes = w.distinct()
     per = w.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set("term")), 1, 5).alias("reasons"))
     pairs = per.select(F.col("doc").alias("a"), (F.col("doc") + 1).alias("b"), "reasons")
     return S.note_weight(pairs, notes).select("a", "b", F.col("weight").cast("long").alias("weight"))

@@ -61,13 +61,13 @@ def _(t):
 
 
 @query("JN11_substring_join", rf"""
-with q as (select p_partkey, unnest(list_distinct(regexp_extract_all(p_name, '[A-Za-z][A-Za-z0-9_]*'))) as token from part where p_size = 7)
-select p_partkey, page_id, count(*) as score from q join pages on contains(html, token) group by all
+with q as (select p_name, unnest(list_distinct(regexp_extract_all(p_name, '[A-Za-z][A-Za-z0-9_]*'))) as token from (select distinct p_name from part))
+select p_name, page_id, count(*) as score from q join pages on contains(html, token) group by all
 """)
 def _(t):
-    q = t.part.filter("p_size = 7")
-    got = V.chunk_scores(q, "p_partkey", "p_name", t.pages.withColumn("pos", F.lit(0)), "page_id", "pos", "html")
-    return got.select("p_partkey", "page_id", "score")
+    q = t.part.select("p_name", F.col("p_name").alias("question")).distinct()
+    got = V.chunk_scores(q, "p_name", "question", t.pages.withColumn("pos", F.lit(0)), "page_id", "pos", "html")
+    return got.select("p_name", "page_id", "score")
 
 
 @query("JN12_lexicon_hits", r"""
@@ -100,10 +100,9 @@ def _(t):
     return V.hits_or_first(t.documents.select("source", "doc_id", score.alias("score")), "source", "score", "doc_id", 8)
 
 
-@query("TK9_top_books", "with s as (select source, doc_id, (contains(left(text, 400), 'the')::int + contains(left(text, 400), 'des')::int) as score from documents) select source, doc_id, score from s qualify row_number() over (partition by source order by score desc, doc_id) <= 3")
+@query("TK9_top_books", "with s as (select source, doc_id, (contains(text, 'the')::int + contains(text, 'des')::int) as score from documents) select source, doc_id, score from s qualify row_number() over (partition by source order by score desc, doc_id) <= 3")
 def _(t):
-    head = F.left("text", F.lit(400))
-    score = F.contains(head, F.lit("the")).cast("int") + F.contains(head, F.lit("des")).cast("int")
+    score = F.contains("text", F.lit("the")).cast("int") + F.contains("text", F.lit("des")).cast("int")
     return R.first_rows(t.documents.select("source", "doc_id", score.alias("score")), ["source"], [F.desc("score"), F.col("doc_id")], 3)
 
 
