@@ -16,12 +16,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm.common import table
+from quillmill.llm.common import release, table
 
 #: A partition's texts are taken in blocks of about so many characters, so memory does not follow the partition.
-BLOCK_CHARS = 24_000_000
-#: Encoded words kept by a worker between blocks; emptied when full. Bounds memory, never results.
-CACHE_WORDS = 300_000
+BLOCK_CHARS = 8_000_000
+#: Encoded words kept by a task between blocks; emptied when full. Bounds memory, never results.
+CACHE_WORDS = 150_000
 
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -41,11 +41,11 @@ def _byte_chars() -> list[str]:
     return out
 
 
-def _ranges(major: str) -> str:
-    """The code points of a major category in Python's Unicode tables, as the inside of a character class."""
+def _ranges(category: str) -> str:
+    """The code points of categories that start so in Python's Unicode tables, as the inside of a character class."""
     out, start = [], None
     for k in range(sys.maxunicode + 2):
-        inside = k <= sys.maxunicode and unicodedata.category(chr(k))[0] == major
+        inside = k <= sys.maxunicode and unicodedata.category(chr(k)).startswith(category)
         if inside and start is None:
             start = k
         elif not inside and start is not None:
@@ -70,6 +70,7 @@ class Bpe:
         for a, b in ((r"\p{L}", _ranges("L")), (r"\p{N}", _ranges("N")), (r"\s", _WHITE)):
             pattern = pattern.replace(a, b)
         self.pieces = re.compile(pattern)
+        self.newer = re.compile("[" + _ranges("Cn") + "]")
         self.path = path
         self.library = None
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -82,13 +83,13 @@ class Bpe:
         self.keys, first = np.unique(left * n + right, return_index=True)
         self.rank_of = first.astype(np.int64)
         chars = _byte_chars()
-        self.mid = np.array([self.ids[c] for c in chars], dtype=np.int64)
-        self.last = np.array([self.ids[c + self.end] for c in chars], dtype=np.int64)
+        self.mid = np.array([self.ids[c] for c in chars], dtype=np.int32)
+        self.last = np.array([self.ids[c + self.end] for c in chars], dtype=np.int32)
         self.cache: dict[str, tuple[bytes, str]] = {}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, or -1."""
-        key = a * self.n + b
+        key = a.astype(np.int64) * self.n + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], -1)
 
@@ -117,7 +118,7 @@ class Bpe:
                     heapq.heappush(heap, r)
                 index[r].append(part)
 
-        add(np.flatnonzero(nxt >= 0))
+        add(np.flatnonzero(nxt >= 0).astype(np.int32))
         while heap:
             r = heapq.heappop(heap)
             parts = index.pop(r)
@@ -132,7 +133,7 @@ class Bpe:
                     if p != last:
                         taken.append(p)
                         last = int(nxt[p])
-                at = np.array(taken, dtype=np.int64)
+                at = np.array(taken, dtype=at.dtype)
             if not len(at):
                 continue
             gone = nxt[at]
@@ -146,50 +147,58 @@ class Bpe:
             add(np.unique(np.concatenate([before[before >= 0], at[has]])))
         return alive
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word (a run without white space), all words' symbols in one pair occurrence index."""
-        pieces: list[bytes] = []
-        owner: list[int] = []
-        fixed: list[int] = []  # a special token's id, or -1
-        for k, word in enumerate(words):
-            for part in self.specials.split(word) if "<|" in word else (word,):
-                if part in self.special:
-                    pieces.append(b"\0")
-                    owner.append(k)
-                    fixed.append(self.special[part])
-                elif part:
-                    for p in self.cut(part):
-                        pieces.append(p.encode())
-                        owner.append(k)
-                        fixed.append(-1)
-        out: list[list[int]] = [[] for _ in words]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (runs without white space), one after the other, and where each word's ids start.
+
+        All words' symbols are in one pair occurrence index.
+        """
+        pieces: list[str] = []
+        many: list[int] = []
+        special: list[tuple[int, int]] = []  # (piece, id) of special tokens
+        for word in words:
+            before = len(pieces)
+            if word.isascii() and word.isalpha():
+                pieces.append(word.lower())
+            else:
+                for part in self.specials.split(word) if "<|" in word else (word,):
+                    if part in self.special:
+                        special.append((len(pieces), self.special[part]))
+                        pieces.append("!")
+                    elif part:
+                        pieces += self.cut(part)
+            many.append(len(pieces) - before)
+        start = np.zeros(len(words) + 1, dtype=np.int64)
         if not pieces:
-            return out
-        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        ends = np.cumsum(size) - 1
+            return np.zeros(0, dtype=np.uint32), start
+        if all(map(str.isascii, pieces)):
+            size = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces))
+            raw = np.frombuffer("".join(pieces).encode(), dtype=np.uint8)
+        else:
+            coded = [p.encode() for p in pieces]
+            size = np.fromiter(map(len, coded), dtype=np.int32, count=len(coded))
+            raw = np.frombuffer(b"".join(coded), dtype=np.uint8)
+            del coded
+        del pieces
+        ends = np.cumsum(size, dtype=np.int32) - 1
         symbols = self.mid[raw]
         symbols[ends] = self.last[raw[ends]]
-        special = np.array(fixed, dtype=np.int64)
-        symbols[ends[special >= 0]] = special[special >= 0]
+        for piece, id_ in special:
+            symbols[ends[piece]] = id_
         n = len(raw)
-        nxt = np.arange(1, n + 1, dtype=np.int64)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
         nxt[ends] = -1
-        prv = np.arange(-1, n - 1, dtype=np.int64)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         prv[ends[:-1] + 1] = -1
         alive = self.merge(symbols, nxt, prv)
-        of = np.repeat(np.array(owner, dtype=np.int64), size)[alive]
-        left = symbols[alive]
-        cuts = np.flatnonzero(np.diff(of)) + 1
-        for k, ids in zip(of[np.r_[0, cuts]].tolist(), np.split(left, cuts), strict=True):
-            out[k] = ids.tolist()
-        return out
+        of = np.repeat(np.repeat(np.arange(len(words), dtype=np.int32), many), size)[alive]
+        start[1:] = np.cumsum(np.bincount(of, minlength=len(words)))
+        return symbols[alive].astype(np.uint32), start
 
     def cut(self, part: str) -> list[str]:
         """The pieces of a word that are merged each for themselves, normalized."""
         if part.isascii():
             return self.pieces.findall(part.lower())
-        if any(unicodedata.category(c) == "Cn" for c in part):
+        if self.newer.search(part):
             # characters newer than Python's Unicode tables: their class and case are the library's
             if self.library is None:
                 from tokenizers import Tokenizer
@@ -197,12 +206,17 @@ class Bpe:
                 self.library = Tokenizer.from_file(self.path)
             text = self.library.normalizer.normalize_str(part)
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+        if not unicodedata.is_normalized("NFC", part):
+            part = unicodedata.normalize("NFC", part)
+        return self.pieces.findall(part.replace("Σ", "σ").lower())
 
     def learn(self, words: set[str]) -> None:
         new = sorted(words)
-        for word, ids in zip(new, self.encode_words(new), strict=True):
-            self.cache[word] = (np.array(ids, dtype="<u4").tobytes(), self.decode(ids))
+        ids, start = self.encode_words(new)
+        raw, text = ids.astype("<u4").tobytes(), [self.tokens[i] for i in ids.tolist()]
+        cut = start.tolist()
+        for word, a, b in zip(new, cut, cut[1:], strict=False):
+            self.cache[word] = (raw[4 * a : 4 * b], " ".join(text[a:b]))
 
     def decode(self, ids) -> str:
         """The text of ids: their vocabulary entries, special ones included, joined by spaces (no decoder is set)."""
@@ -278,6 +292,9 @@ def encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str =
                     ["id", "n_tokens", "ids", "decoded"],
                 )
 
+        bpe.cache = {}
+        release()
+
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     return src.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary, decoded string")
@@ -301,6 +318,9 @@ def digests(docs: DataFrame, vocab: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+        bpe.cache = {}
+        release()
+
     kind = dict(docs.dtypes)["doc_id"]
     src = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     return src.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -59,6 +59,8 @@ def test_every_code_point():
 def test_equal_pairs_merge_from_the_left():
     b = bpe.load(PATH)
     words = ["n" * n for n in range(1, 60)] + ["lalala" * 5, "haha", "<|startoftext|>x<|endoftext|>"]
-    for w, ids in zip(words, b.encode_words(words), strict=True):
-        assert ids == expected(w)[0]
-        assert b.decode(ids) == expected(w)[1]
+    ids, start = b.encode_words(words)
+    for k, w in enumerate(words):
+        mine = ids[start[k] : start[k + 1]].tolist()
+        assert mine == expected(w)[0]
+        assert b.decode(mine) == expected(w)[1]
