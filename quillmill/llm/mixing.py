@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import WORD, materialize, table
+from quillmill.llm.common import WORD, materialize, shuffle_partitions, table
 
 #: Documents of a source in one window of the running sum, about.
 WINDOW_ROWS = 50_000
@@ -78,7 +78,7 @@ def mix(
     sized = materialize(src, "mix")
     n = sized.count()
     width = max(1, n // WINDOW_ROWS + 1)
-    width = 1 << max(4, (4 * width - 1).bit_length())
+    width = 1 << max(4, (max(4 * width, 4 * shuffle_partitions(docs.sparkSession)) - 1).bit_length())
     sized = sized.withColumn("bucket", F.shiftrightunsigned("r", 64 - (width.bit_length() - 1)))
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goals = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
