@@ -307,3 +307,50 @@ def _(t):
     l = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
     inside = F.col("l_shipdate").between(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 400 day"))
     return t.orders.join(l, "o_orderkey").filter(inside).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- with a model as an option, and details ------------------------------------------------------------------------
+
+
+@query("LM1_pair_scoring", """
+with d as (select distinct l_suppkey as i, l_partkey as k from lineitem), p as (select a.i as a, b.i as b, count(*)::double as strength from d a join d b on a.k = b.k and a.i < b.i group by all)
+select a, b, round(strength, 1)::double as strength, '无' as direction, '概念共现' as relation from p order by strength desc, a, b limit 40
+""")
+def _(t):
+    from quillmill.operators.models import score_pairs
+
+    p = R.shared_key_pairs(t.lineitem, "l_suppkey", "l_partkey", 1)
+    got = score_pairs(p.select("a", "b", F.col("shared").cast("double").alias("strength"), F.array(F.lit("parts")).alias("reasons")))
+    return got.select("a", "b", "strength", "direction", "relation")
+
+
+@query("LM2_summaries", "select doc_id, count(*) as chunks, null::varchar as summary from " + L_ + " group by doc_id")
+def _(t):
+    from quillmill.operators.models import summaries
+
+    return summaries(t.lines, "doc_id", "line")
+
+
+@query("RD5_book_detail", """
+with l as (select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) as last, count(*) as n, count_if(o_orderstatus = 'F') as read from orders group by o_custkey)
+select c_custkey, c_name, coalesce(n, 0) as n, coalesce(read, 0) as read, last, coalesce(round(read * 100.0 / n), 0)::bigint as percent from customer left join l on o_custkey = c_custkey
+""")
+def _(t):
+    l = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("read"))
+    zero = F.lit(0)
+    return t.customer.join(l, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", zero).alias("n"), F.coalesce("read", zero).alias("read"), "last", F.coalesce(F.round(F.col("read") * 100.0 / F.col("n")), F.lit(0.0)).cast("long").alias("percent"))
+
+
+@query("SC1_format_dispatch", "select p_partkey, case when p_size < 20 then 'md' when p_size < 30 then 'epub' when p_size < 40 then 'pdf' else 'txt' end as format from part")
+def _(t):
+    from quillmill.sources.books import book_format
+
+    suffix = F.when(F.col("p_size") < 10, ".md").when(F.col("p_size") < 20, ".MARKDOWN").when(F.col("p_size") < 30, ".epub").when(F.col("p_size") < 40, ".pdf").otherwise(".txt")
+    return t.part.select("p_partkey", book_format(F.concat("p_name", suffix)).alias("format"))
+
+
+@query("SC4_decoding", "select doc_id, text from documents")
+def _(t):
+    from quillmill.sources.books import decoded
+
+    return t.documents.select("doc_id", decoded(F.encode("text", "UTF-8")).alias("text"))
