@@ -29,6 +29,8 @@ class Plain:
         self.pairs = sum(self.cont.values())
         self.high = self.discounts(Counter(n for m in self.ctx.values() for n in m.values()))
         self.low = self.discounts(Counter(self.cont.values()))
+        self.gamma = self.left(self.cont.values(), self.low) / self.pairs if self.pairs else 1.0
+        self.totals = {a: (sum(m.values()), self.left(m.values(), self.high)) for a, m in self.ctx.items()}
 
     @staticmethod
     def discounts(n):
@@ -36,18 +38,17 @@ class Plain:
         d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k / 2 for k in (1, 2, 3)]
         return [min(max(x, 0.0), k) for k, x in enumerate(d, 1)]
 
-    def p(self, a, b):
-        def left(counts, d):
-            return sum(d[min(x, 3) - 1] for x in counts)
+    @staticmethod
+    def left(counts, d):
+        return sum(d[min(x, 3) - 1] for x in counts)
 
-        gamma = left(self.cont.values(), self.low) / self.pairs if self.pairs else 1.0
+    def p(self, a, b):
         c = self.cont[b]
-        p1 = (c - self.low[min(c, 3) - 1] if c else 0) / max(self.pairs, 1) + gamma / (self.v + 1)
+        p1 = (c - self.low[min(c, 3) - 1] if c else 0) / max(self.pairs, 1) + self.gamma / (self.v + 1)
         if a not in self.ctx:
             return p1
-        m = self.ctx[a]
-        total, n = sum(m.values()), m[b]
-        return max(n - (self.high[min(n, 3) - 1] if n else 0), 0) / total + left(m.values(), self.high) / total * p1
+        n, (total, rest) = self.ctx[a][b], self.totals[a]
+        return max(n - (self.high[min(n, 3) - 1] if n else 0), 0) / total + rest / total * p1
 
     def score(self, text):
         w = words(text)
