@@ -46,3 +46,20 @@ def maintain_index(index: DataFrame, gone: DataFrame, new: DataFrame, key: str,
     """The index after some keys are deleted or replaced and others added."""
     out = gone.select(key).unionByName(new.select(key)).distinct()
     return index.join(out, key, "left_anti").unionByName(trigram_index(new, key, text).select(*index.columns))
+
+
+def search(df: DataFrame, key: str, text: str, query: str, limit: int = 30, enabled: bool = True) -> DataFrame:
+    """(key, score, snippet) for a reader's query: BM25 over its words of three characters or more, else plain LIKE.
+
+    A blank query, or a search that is switched off, finds nothing.
+    """
+    query = query.strip()
+    none = df.filter("false").select(key, F.lit(0.0).alias("score"), F.lit("").alias("snippet"))
+    if not enabled or not query:
+        return none
+    kept = "".join(c if c not in '"*():^~+-<>{}[]' else " " for c in query)
+    words = [w for w in kept.split() if len(w) >= 3][:8] if len(query) >= 3 else []
+    if not words:
+        return like_search(df, key, text, query, limit).select(key, F.lit(0.0).alias("score"), "snippet")
+    top = bm25(df, key, text, words, limit)
+    return top.join(df.select(key, text), key).select(key, "score", snippet(F.col(text), words[0]).alias("snippet"))

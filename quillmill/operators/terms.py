@@ -18,6 +18,12 @@ def term_counts(df: DataFrame, by: Sequence[str], text: str | Column, top: int =
     return first_rows(got, by, [F.desc("n"), F.col("term")], top)
 
 
+def first_seen_counts(df: DataFrame, by: Sequence[str], text: str, top: int = 200) -> DataFrame:
+    """(by, term, n, seen): as ``term_counts``, but terms that are equally frequent keep the order in which they occur."""
+    got = df.select(*by, F.posexplode(terms(F.col(text))).alias("p", "term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("seen"))
+    return first_rows(got, by, [F.desc("n"), F.col("seen")], top)
+
+
 def weighted_terms(pieces: DataFrame, doc: str, piece: str, text: str, weight: str, top_piece: int = 200, top: int = 80) -> DataFrame:
     """(doc, term, w, rank): weighted sums over a document's pieces, each cut to its top terms before weighting."""
     counts = term_counts(pieces, [doc, piece, weight], text, top_piece)

@@ -354,3 +354,106 @@ def _(t):
     from quillmill.sources.books import decoded
 
     return t.documents.select("doc_id", decoded(F.encode("text", "UTF-8")).alias("text"))
+
+
+@query("TK6_first_seen_ties", f"""
+with w as (select doc_id, unnest({Q.words('text')}) as term, unnest(range(0, len({Q.words('text')}))) as p from documents),
+k as (select doc_id, term, row_number() over (partition by doc_id order by p) - 1 as p from w where term not in ({Q.STOP}))
+select doc_id, term, count(*) as n, min(p)::int as seen from k group by doc_id, term qualify row_number() over (partition by doc_id order by count(*) desc, min(p)) <= 30
+""")
+def _(t):
+    return O.first_seen_counts(t.documents, ["doc_id"], "text", 30).select("doc_id", "term", "n", "seen")
+
+
+@query("WN5_adjacent_edges", "select doc_id, pos as a, lead(pos) over (partition by doc_id order by pos) as b from " + L_ + " where length(line) > 200 qualify b is not null")
+def _(t):
+    w = W.partitionBy("doc_id").orderBy("pos")
+    got = t.lines.filter(F.length("line") > 200).select("doc_id", F.col("pos").cast("long").alias("a"), F.lead(F.col("pos").cast("long")).over(w).alias("b"))
+    return got.filter("b is not null")
+
+
+@query("WN8_top_per_group", "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 3")
+def _(t):
+    got = R.first_rows(t.orders, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3, rank="rank")
+    return got.select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query("WN9_group_maximum", "select l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem qualify l_quantity >= max(l_quantity) over (partition by l_suppkey) - 0.01")
+def _(t):
+    got = t.lineitem.withColumn("_m", F.max("l_quantity").over(W.partitionBy("l_suppkey")))
+    return got.filter(F.col("l_quantity") >= F.col("_m") - 0.01).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query("TX1_split_by_headings", r"""
+with h as (select *, regexp_matches(line, '!') as head from """ + L_ + r"""), s as (select *, sum(head::int) over (partition by doc_id order by pos) as sec from h),
+b as (select doc_id, sec, max(case when head then line end) as title, trim(string_agg(case when not head then line end, chr(10) order by pos), ' ' || chr(9) || chr(10) || chr(13)) as body from s group by doc_id, sec)
+select doc_id, row_number() over (partition by doc_id order by sec) as idx, md5(coalesce(title, '')) as title, length(body)::int as n from b where body <> ''
+""")
+def _(t):
+    from quillmill.operators.sections import sections
+
+    got = sections(t.lines, "doc_id", "pos", "line", F.contains("line", F.lit("!")), F.col("line"))
+    return got.select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("title").alias("title"), F.length("body").alias("n"))
+
+
+@query("PR12_search", "select doc_id from documents where contains(lower(text), 'schungen') order by doc_id")
+def _(t):
+    return X.search(t.documents, "doc_id", "text", '"schungen" (of)', 1 << 30).select("doc_id")
+
+
+@query("FT5_switched_off", "select doc_id, 0.0::double as score, '' as snippet from documents where false")
+def _(t):
+    return X.search(t.documents, "doc_id", "text", "schung", enabled=False)
+
+
+@query("RD9_page_cache", "select conv_id as doc, count(*) as pages, count(*) as cached, '' as missing from conversations group by conv_id")
+def _(t):
+    from quillmill.sources.books import page_status
+
+    w = t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"))
+    got = page_status(w, w)
+    return got.select("doc", "pages", "cached", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+@query("SM3_incremental_edges", """
+with d as (select distinct l_suppkey as i, l_partkey as k from lineitem), n as (select d.* from d join supplier on s_suppkey = i where s_acctbal > 9000)
+select least(n.i, d.i) as a, greatest(n.i, d.i) as b, count(distinct n.k) as shared from n join d on d.k = n.k and d.i <> n.i group by all
+""")
+def _(t):
+    from quillmill.operators.similarity import delta_pairs
+
+    d = t.lineitem.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("k"))
+    new = d.join(R.small(t.supplier.filter("s_acctbal > 9000").select(F.col("s_suppkey").alias("i"))), "i", "left_semi")
+    return delta_pairs(new, d, t.spark.createDataFrame([], "a bigint, b bigint"))
+
+
+@query("SM4_index_triggers", """
+select item_id, count(*) as grams from (select distinct item_id, substr(lower(text), i, 3) as gram from benchmark, lateral (select unnest(range(1, length(text) - 1)) as i)) group by item_id
+""")
+def _(t):
+    none = X.trigram_index(t.benchmark.filter("false"), "item_id", "text")
+    got = X.maintain_index(none, t.benchmark.select("item_id"), t.benchmark, "item_id", "text")
+    return got.groupBy("item_id").agg(F.count(F.lit(1)).alias("grams"))
+
+
+@query("LM3_sync_fallback", "with s as (select l_suppkey as node, l_partkey as other, max(l_quantity) * 2 as strength from lineitem group by all having max(l_quantity) * 2 >= 50) select node, other, strength from s qualify row_number() over (partition by node order by strength desc, other) <= 20")
+def _(t):
+    e = t.lineitem.groupBy(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("other")).agg((F.max("l_quantity") * 2).alias("strength"))
+    return R.first_rows(e.filter("strength >= 50"), ["node"], [F.desc("strength"), F.col("other")], 20)
+
+
+@query("LM4_selection_fallback", "with s as (select item_id, doc_id, count(*) as score from (select item_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*'))) as token from benchmark) join documents on contains(text, token) group by all) select item_id, doc_id, score from s qualify row_number() over (partition by item_id order by score desc, doc_id) <= 3")
+def _(t):
+    s = V.chunk_scores(t.benchmark, "item_id", "text", t.documents.select("doc_id", F.lit(0).alias("pos"), F.col("text").alias("body")), "doc_id", "pos", "body")
+    return R.first_rows(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 3).select("item_id", "doc_id", "score")
+
+
+@query("LM6_outline_fallback")
+def _(t):
+    from quillmill.functions.text_udf import outline, outline_markdown
+
+    @F.pandas_udf("string")
+    def run(s):
+        return s.map(lambda x: outline_markdown(outline(x)))
+
+    return t.documents.select("doc_id", run("text").alias("markdown"))
