@@ -6,18 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import query_tokens
-from quillmill.operators.relational import first_rows, small
+from quillmill.functions.text import HAN, query_tokens
+from quillmill.operators.relational import first_rows
 
 
 def chunk_scores(questions: DataFrame, q: str, question: str, chunks: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
     """(q, doc, pos, score): distinct question tokens that a chunk contains as a substring, where any does.
 
-    A theta join; the questions' tokens are the small side and are broadcast within a checked size.
+    A token never crosses a bound between runs of Han or of identifier characters, so a chunk contains it exactly if
+    one of its runs does. Each distinct run of the corpus gives its substrings of the lengths that tokens have (a set
+    of a few numbers, broadcast as one row); from there on all joins are by equality, on token, run and token.
     """
-    tokens = questions.select(q, F.explode(query_tokens(F.col(question))).alias("token"))
-    got = chunks.join(small(tokens), F.contains(F.col(text), F.col("token")))
-    return got.groupBy(q, doc, pos).agg(F.count(F.lit(1)).alias("score"))
+    asked = questions.select(q, F.explode(query_tokens(F.col(question))).alias("token"))
+    runs = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"[{HAN}]+|[A-Za-z0-9_]+"), F.lit(0)))
+    inside = chunks.select(doc, pos, F.explode(runs).alias("run"))
+    tokens = asked.select("token").distinct()
+    lengths = tokens.agg(F.coalesce(F.collect_set(F.length("token")), F.array().cast("array<int>")).alias("ns"))
+    n = F.length("run")
+    parts = F.transform(
+        F.filter("ns", lambda k: k <= n),
+        lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("run"), i, k)),
+    )
+    cut = inside.select("run").distinct().crossJoin(F.broadcast(lengths)).select("run", F.explode(F.flatten(parts)).alias("token"))
+    hits = cut.join(tokens, "token", "left_semi").distinct()
+    found = inside.join(hits, "run").select(doc, pos, "token").distinct()
+    return found.join(asked, "token").groupBy(q, doc, pos).agg(F.count(F.lit(1)).alias("score"))
 
 
 def top_chunks(scores: DataFrame, q: str, doc: str, pos: str, k: int = 4, per_doc: int | None = None) -> DataFrame:
