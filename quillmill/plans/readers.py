@@ -134,7 +134,7 @@ def _(t):
 @query("PR2_hot_profile", """
 with x as (select *, floor(value / 25)::bigint as book from events), r as (select *, case when book is not distinct from lag(book) over w then 0 else 1 end as new from x window w as (partition by user_id order by ts, event_id)),
 s as (select *, sum(new) over (partition by user_id order by ts, event_id) as run from r), l as (select * from s qualify run = max(run) over (partition by user_id))
-select user_id, max(book) as book, count_if(event_type = 'view') as opened, count_if(event_type = 'click') as highlights, count_if(event_type = 'error') as questions from l group by user_id
+select user_id, max(book) as book, count_if(event_type = 'view')::bigint as opened, count_if(event_type = 'click')::bigint as highlights, count_if(event_type = 'error')::bigint as questions from l group by user_id
 """)
 def _(t):
     x = t.events.withColumn("book", F.floor(F.col("value") / 25).cast("long"))
@@ -186,7 +186,7 @@ def _(t):
 
 
 @query("PR7_recommendations", """
-with l as (select user_id, max(ts) as at_ from events where event_type = 'purchase' group by user_id), e as (select user_id, count_if(event_type = 'error') as unclear, count_if(event_type = 'purchase') as archived from events group by user_id)
+with l as (select user_id, max(ts) as at_ from events where event_type = 'purchase' group by user_id), e as (select user_id, count_if(event_type = 'error')::bigint as unclear, count_if(event_type = 'purchase') as archived from events group by user_id)
 select e.user_id, unclear, greatest(0, floor((epoch_us(timestamp '2024-02-10 00:00:00') - epoch_us(at_)) / 86400000000.0))::bigint as days, floor((epoch_us(timestamp '2024-02-10 00:00:00') - epoch_us(at_)) / 86400000000.0) >= 14 as due,
 case when archived = 0 then 'start' when archived < 3 then 'building' else 'stable' end as rhythm from e left join l on l.user_id = e.user_id
 """)
@@ -332,7 +332,7 @@ def _(t):
 
 
 @query("RD5_book_detail", """
-with l as (select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) as last, count(*) as n, count_if(o_orderstatus = 'F') as read from orders group by o_custkey)
+with l as (select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) as last, count(*) as n, count_if(o_orderstatus = 'F')::bigint as read from orders group by o_custkey)
 select c_custkey, c_name, coalesce(n, 0) as n, coalesce(read, 0) as read, last, coalesce(round(read * 100.0 / n), 0)::bigint as percent from customer left join l on o_custkey = c_custkey
 """)
 def _(t):

@@ -648,7 +648,7 @@ def _(t):
 
 @query("WR2_ownership_transfer", """
 with g as (select md5(text) as h, doc_id, l.t is not null as gone from documents d left join (select doc_id, 1 as t from labels where toxic = 1) l using (doc_id))
-select h, min(case when not gone then doc_id end) as main, count_if(not gone) - 1 as others, (min(case when not gone then doc_id end) <> min(doc_id))::int as version_up from g group by h having count_if(not gone) > 0
+select h, min(case when not gone then doc_id end) as main, (count_if(not gone) - 1)::bigint as others, (min(case when not gone then doc_id end) <> min(doc_id))::int as version_up from g group by h having count_if(not gone) > 0
 """)
 def _(t):
     from quillmill.operators.assets import delete_owners

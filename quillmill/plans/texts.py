@@ -445,7 +445,7 @@ def _(t):
     return t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.min("l_orderkey").alias("first"))
 
 
-@query("AG7_conditional_counts", "select user_id, count_if(event_type = 'view') as views, count_if(event_type = 'error') as errors, count(distinct event_type) as kinds, count(*) as n from events group by all")
+@query("AG7_conditional_counts", "select user_id, count_if(event_type = 'view')::bigint as views, count_if(event_type = 'error')::bigint as errors, count(distinct event_type) as kinds, count(*) as n from events group by all")
 def _(t):
     k = F.col("event_type")
     return t.events.groupBy("user_id").agg(F.count_if(k == "view").alias("views"), F.count_if(k == "error").alias("errors"), F.count_distinct("event_type").alias("kinds"), F.count(F.lit(1)).alias("n"))
@@ -517,7 +517,7 @@ def _(t):
     return low.join(R.lower_quantile(t.events, ["user_id"], "value", 0.5).select("user_id", F.col("quantile").alias("median")), "user_id").select("user_id", "low", "median", "n")
 
 
-@query("AG16_shelf_stats", "select lang, count(*) as total, count_if(n_chars > 3000) as done, string_agg(distinct source, ',' order by source) as tags from documents group by lang")
+@query("AG16_shelf_stats", "select lang, count(*) as total, count_if(n_chars > 3000)::bigint as done, string_agg(distinct source, ',' order by source) as tags from documents group by lang")
 def _(t):
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_chars") > 3000).alias("done"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("tags"))
 
