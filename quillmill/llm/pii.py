@@ -87,8 +87,8 @@ def extract(
     """Personal data in whole texts: (id, base, spans), arrays of (start, k, end) by start and kind, a row per row.
 
     ``base`` holds the valid matches of the four base patterns, in code points. They seed the bootstrap: every word
-    with a digit or at sign is an instance, and the word before it with its shape (digits, upper and lower case
-    runs) is a pattern that it occurs in. Over the corpus's pattern-instance graph scores pass back and forth for
+    with a digit or at sign is an instance, and the word before it (numbers alike) with its own shape (digits, upper
+    and lower case runs) is a pattern that it occurs in. Over the corpus's pattern-instance graph scores pass back and forth for
     ``rounds``: a pattern's confidence is the smoothed mean score of its distinct instances, an instance's score one
     minus the product of its patterns' doubts, seeds staying at 1. Patterns with ``support`` distinct seeds and at
     least ``confidence`` name the kind most of their seeds have; the instances they meet that no base span touches
@@ -123,7 +123,7 @@ def extract(
             lambda w: F.struct(
                 w["start"].alias("start"), w["end"].alias("end"), trimmed(w["hit"]).alias("word"),
                 (w["start"] + F.length(F.regexp_extract(w["hit"], r"^[^0-9\p{L}@+]*", 0))).alias("from"),
-                F.lower(F.regexp_extract(w["left"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)).alias("before"),
+                F.regexp_replace(F.lower(F.regexp_extract(w["left"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)), "[0-9]+", "9").alias("before"),
                 F.get(F.filter(z["base"], lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])), F.lit(0))["k"].alias("k"),
             ),
         )
