@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import table
-from quillmill.llm.spans import gaps_and_hits, let, located
+from quillmill.llm.spans import LEFT, gaps_and_hits, let, located
 
-_C = "A-Za-z0-9_+/=.~"
-#: Private key blocks, and runs of at least 16 key characters with a digit among them.
+_C = "A-Za-z0-9_+/.~"
+#: Private key blocks, and runs of at least 16 key characters with a digit among them; '=' parts a name from its value,
+#: and belongs to a run only as padding at its end.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
-    rf"|(?<![{_C}-])(?=[A-Za-z_+/=.~-]*+[0-9])[{_C}-]{{16,}}+"
+    rf"|(?<![{_C}-])(?=[A-Za-z_+/=.~-]*+[0-9])[{_C}-]{{16,}}+(?:={{1,2}}(?![{_C}=-]))?"
 )
 #: Labelled findings that the forest is fitted on by default.
 LABELLED = 6000
@@ -32,7 +33,7 @@ DICTIONARY = (
 ).split()
 
 _PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk_test_|sk-|pk_live_|rk_live_|xox[abpr]-|AIza|ya29\.|eyJ|SG\.|npm_|-----BEGIN)"
-_KEYWORD = r"(?i)(?:token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?key)"
+_KEYWORD = r"(?i)(?:[?&]key|token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?key)"
 _HARMLESS = r"(?i)(?:commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|revision|rev|version|etag|build|ref|id|isbn|serial)\W{0,4}$"
 _PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|your[_-]|changeme|xxxx|0000|1234567|abcdef0|test[_-]|fake|redacted)"
 
@@ -68,6 +69,13 @@ def features(hit: Column, left: Column, right: Column, path: Column) -> list[Col
     ]
 
 
+def _named(spans: Column, s: Column, i: Column) -> Column:
+    """A candidate's text to the left; where only a separator parts it from the candidate before, that is its name."""
+    before = F.get(spans, i - 1)
+    name = F.right(F.concat(before["hit"], s["left"]), F.lit(LEFT))
+    return F.when((i > 0) & s["left"].rlike(r"^\s{0,2}[=:]\s{0,2}[\"']?$"), name).otherwise(s["left"])
+
+
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     """Labelled findings (hit, left, right, path, label), made by rule: known key formats, and what looks like them."""
     i = F.col("id")
@@ -180,8 +188,9 @@ def scan(
     path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     cut = docs.select(*cols, path.alias("_path"), gaps.alias("_gaps"), hits.alias("_hits"))
     found = cut.withColumn("_spans", F.when(F.size("_hits") > 0, located(F.col("_gaps"), F.col("_hits"))))
-    judge = lambda s, path: let(F.array(*features(s["hit"], s["left"], s["right"], path)), lambda x: votes(forest, x))
-    shares = let(F.struct("_spans", "_path"), lambda z: F.transform(z["_spans"], lambda s: judge(s, z["_path"])))
+    judge = lambda s, left, path: let(F.array(*features(s["hit"], left, s["right"], path)), lambda x: votes(forest, x))
+    one = lambda z, s, i: let(_named(z["_spans"], s, i), lambda left: judge(s, left, z["_path"]))
+    shares = let(F.struct("_spans", "_path"), lambda z: F.transform(z["_spans"], lambda s, i: one(z, s, i)))
     judged = found.withColumn("_p", shares)
     flagged = F.filter(F.arrays_zip(F.col("_spans").alias("s"), F.col("_p").alias("p")), lambda z: z["p"] >= threshold)
     secrets = F.transform(flagged, lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["end"].alias("end")))
