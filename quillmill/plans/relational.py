@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -275,12 +276,26 @@ d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\
 select item_id, doc_id, count(*) as hits from p join d using (w) where item_id <> doc_id group by all having count(*) >= 12
 """)
 def _(t):
+    return probe_hits(t).filter("hits >= 12")
+
+
+@query("JN9_index_probe_whole", r"""
+with p as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}')) as w from benchmark),
+d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}')) as w from documents)
+select item_id, doc_id, count(*) as hits from p join d using (w) where item_id <> doc_id group by all
+""")
+def _(t):
+    return probe_hits(t)
+
+
+def probe_hits(t) -> DataFrame:
+    """(item_id, doc_id, hits): every other document that shares a word with an item, and how many."""
     from quillmill.functions.text import raw_words
 
     p = t.benchmark.select("item_id", F.explode(F.array_distinct(raw_words(F.col("text")))).alias("w"))
     d = t.documents.select("doc_id", F.explode(F.array_distinct(raw_words(F.col("text")))).alias("w"))
     got = d.join(R.small(p), "w").filter("item_id <> doc_id")
-    return got.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits")).filter("hits >= 12")
+    return got.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("JN10_first_hit", """
