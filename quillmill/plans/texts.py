@@ -162,6 +162,11 @@ def _(t):
     return t.customer.filter(F.length("c_mktsegment") <= 8).select("c_custkey", T.mask_key(F.col("c_name")).alias("k"), T.mask_key(F.col("c_mktsegment")).alias("s"))
 
 
+@query("TX27_mask_whole", "select c_custkey, left(c_name, 3) || repeat('*', length(c_name) - 7) || right(c_name, 4) as k, case when length(c_mktsegment) <= 8 then repeat('*', length(c_mktsegment)) else left(c_mktsegment, 3) || repeat('*', length(c_mktsegment) - 7) || right(c_mktsegment, 4) end as s from customer")
+def _(t):
+    return t.customer.select("c_custkey", T.mask_key(F.col("c_name")).alias("k"), T.mask_key(F.col("c_mktsegment")).alias("s"))
+
+
 @query("TX28_hashes", "select p_partkey, sha256(p_name) as sha, list_reduce(list_prepend(5381::bigint, list_transform(string_split(p_name, ''), lambda c: ord(c)::bigint)), lambda h, c: (h * 33 + c) % 4294967296) as djb2 from part")
 def _(t):
     return t.part.select("p_partkey", F.sha2("p_name", 256).alias("sha"), T.rolling_hash(F.col("p_name"), 5381, 33).alias("djb2"))

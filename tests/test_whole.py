@@ -27,3 +27,9 @@ def test_one_shared_word_is_a_hit(run):
     want = {(i, d, len(words(a) & words(b))) for i, a in items for d, b in docs if i != d and words(a) & words(b)}
     got = run("JN9_index_probe_whole", documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
     assert {tuple(r) for r in got} == want and len(got) == len(want) == 4
+
+
+def test_longer_keys_are_masked(run):
+    made = [(1, "Customer#1", "BUILDING"), (2, "Customer#2", "AUTOMOBILE"), (3, "Customer#3", "MACHINERY"), (4, "Customer#4", None)]
+    got = run("TX27_mask_whole", customer=(made, "c_custkey long, c_name string, c_mktsegment string"))
+    assert {r.c_custkey: r.s for r in got} == {1: "********", 2: "AUT***BILE", 3: "MAC**NERY", 4: None}
