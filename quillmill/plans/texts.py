@@ -301,6 +301,13 @@ def _(t):
     return d.select("doc_id", U.plain_text(F.lit("md"), F.col("text")).alias("text"))
 
 
+@query("TX38_plain_text_whole")
+def _(t):
+    books = t.documents.select(F.lit("md").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = t.pages.select(F.lit("epub").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    return books.unionByName(pages).select("kind", "id", U.plain_text(F.col("kind"), F.col("text")).alias("text"))
+
+
 # dates, numbers, arrays, maps, JSON ------------------------------------------------------------------------------
 
 

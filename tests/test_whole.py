@@ -33,3 +33,9 @@ def test_longer_keys_are_masked(run):
     made = [(1, "Customer#1", "BUILDING"), (2, "Customer#2", "AUTOMOBILE"), (3, "Customer#3", "MACHINERY"), (4, "Customer#4", None)]
     got = run("TX27_mask_whole", customer=(made, "c_custkey long, c_name string, c_mktsegment string"))
     assert {r.c_custkey: r.s for r in got} == {1: "********", 2: "AUT***BILE", 3: "MAC**NERY", 4: None}
+
+
+def test_all_languages_and_both_formats(run):
+    docs = [(1, "<b>eins</b>", "de"), (2, "two", "en"), (3, "three", None)]
+    got = run("TX38_plain_text_whole", documents=(docs, "doc_id long, text string, lang string"), pages=([(1, "<p>one</p><script>x()</script>")], "page_id long, html string"))
+    assert {(r.kind, r.id): r.text.strip() for r in got} == {("md", 1): "<b>eins</b>", ("md", 2): "two", ("md", 3): "three", ("epub", 1): "one"}
