@@ -70,11 +70,21 @@ def _(t):
     return t.documents.select("doc_id", T.clean_cluster_name(F.left("text", F.lit(120))).alias("name"))
 
 
+@query("TX5_cluster_name_whole", "select doc_id, trim(regexp_replace(text, '[^一-鿿A-Za-z0-9]+', ' ', 'g')) as name from documents")
+def _(t):
+    return t.documents.select("doc_id", T.clean_cluster_name(F.col("text")).alias("name"))
+
+
 @query("TX6_profile_name", r"select doc_id, trim(regexp_replace(left(text, 120), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g')) as name from documents")
 def _(t):
     return t.documents.select("doc_id", T.clean_profile_name(F.left("text", F.lit(120))).alias("name"))
 
 
+@query("TX6_profile_name_whole", r"select doc_id, trim(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', ' ', 'g')) as name from documents")
+def _(t):
+    return t.documents.select("doc_id", T.clean_profile_name(F.col("text")).alias("name"))
+
+
 @query("TX7_clean_title", r"select p_partkey, regexp_replace(regexp_replace(p_name || ' (' || p_brand || ') [x]_' || p_type, '[（(【\[].*?[）)】\]]', ' ', 'g'), '_+', ' ', 'g') as title from part")
 def _(t):
     raw = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") [x]_"), F.col("p_type"))
@@ -86,11 +96,24 @@ def _(t):
     return t.benchmark.select("item_id", T.strip_latex(F.concat(F.lit("\\frac{a1}{b} "), F.left("text", F.lit(50)), F.lit(" \\alpha {x{y}}"))).alias("t"))
 
 
+@query("TX8_strip_latex_whole", r"""select item_id, regexp_replace(regexp_replace('\frac{a1}{b} ' || text || ' \alpha {x{y}}', '\{[^{}\n]*[A-Za-z0-9\\][^{}\n]*\}', ' ', 'g'), '\\[A-Za-z]+', ' ', 'g') as t from benchmark""")
+def _(t):
+    return t.benchmark.select("item_id", T.strip_latex(F.concat(F.lit("\\frac{a1}{b} "), F.col("text"), F.lit(" \\alpha {x{y}}"))).alias("t"))
+
+
 @query("TX10_fragments", "select doc_id, false as fragment, 0::bigint as inner_ from documents")
 def _(t):
     return t.documents.select("doc_id", T.is_fragment(F.left("text", F.lit(3))).alias("fragment"), F.size(T.inner_bigrams(F.left("text", F.lit(50)))).cast("long").alias("inner_"))
 
 
+@query("TX10_fragments_whole")
+def _(t):
+    text = F.col("text")
+    every = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(f"[{T.HAN}]+|[A-Za-z][A-Za-z0-9_]*"), F.lit(0)), T.han_bigrams(text)))
+    terms = t.documents.select(F.explode(every).alias("term")).distinct()
+    return terms.select("term", T.is_fragment(F.col("term")).alias("fragment"), F.size(T.inner_bigrams(F.col("term"))).cast("long").alias("inner_"))
+
+
 @query("TX11_blank_pages", r"select doc_id, pos, case when line = '' then false when regexp_replace(lower(line), '[^0-9a-z一-鿿]', '', 'g') = '' then true when length(regexp_replace(lower(line), '[^0-9a-z一-鿿]', '', 'g')) > 20 then false else regexp_matches(regexp_replace(lower(line), '[^0-9a-z一-鿿]', '', 'g'), 'blank|empty|nocontent') end as blank from " + LINES)
 def _(t):
     return t.lines.select("doc_id", F.col("pos").cast("long").alias("pos"), T.is_blank_page(F.col("line")).alias("blank"))

@@ -39,3 +39,37 @@ def test_all_languages_and_both_formats(run):
     docs = [(1, "<b>eins</b>", "de"), (2, "two", "en"), (3, "three", None)]
     got = run("TX38_plain_text_whole", documents=(docs, "doc_id long, text string, lang string"), pages=([(1, "<p>one</p><script>x()</script>")], "page_id long, html string"))
     assert {(r.kind, r.id): r.text.strip() for r in got} == {("md", 1): "<b>eins</b>", ("md", 2): "two", ("md", 3): "three", ("epub", 1): "one"}
+
+
+LONG = "word, " * 40
+
+
+def test_whole_names_are_cleaned(run):
+    made = [(1, LONG + "Ｔａｉｌ 图 论 (end)"), (2, LONG + "naïve_tail + x"), (3, "")]
+    tables = {"documents": (made, "doc_id long, text string")}
+    words = " ".join(["word"] * 40)
+    got = {r.doc_id: r.name for r in run("TX5_cluster_name_whole", **tables)}
+    assert got == {1: f"{words} Tail 图论 end", 2: f"{words} na ve tail x", 3: ""}
+    got = {r.doc_id: r.name for r in run("TX6_profile_name_whole", **tables)}
+    assert got == {k: re.sub(r"[^\w]+", " ", x).strip() for k, x in made}
+
+
+def test_latex_is_stripped_behind_long_texts(run):
+    made = [(1, LONG + r"\beta {c2} kept {图}")]
+    want = re.sub(r"\\[A-Za-z]+", " ", re.sub(r"\{[^{}\n]*[A-Za-z0-9\\][^{}\n]*\}", " ", "\\frac{a1}{b} " + made[0][1] + r" \alpha {x{y}}"))
+    got = run("TX8_strip_latex_whole", benchmark=(made, "item_id long, text string"))
+    assert [r.t for r in got] == [want] and "beta" not in want and "c2" not in want and "{图}" in want
+
+
+def test_fragments_of_whole_texts(run):
+    from quillmill.functions.text import FRAGMENT_CHARS, STOPWORDS_HAN
+
+    made = [(1, LONG + "函数的定义与稳定性 of x1"), (2, LONG + "图论 图论")]
+    terms = set()
+    for _, x in made:
+        terms |= set(re.findall("[一-鿿]+|[A-Za-z][A-Za-z0-9_]*", x))
+        terms |= {r[k : k + 2] for r in re.findall("[一-鿿]+", x) for k in range(len(r) - 1)} - set(STOPWORDS_HAN)
+    inner = lambda x: len({r[k : k + 2] for r in re.findall("[一-鿿]{3,}", x) for k in range(len(r) - 1)})
+    want = {(x, len(x) == 2 and any(c in FRAGMENT_CHARS for c in x), inner(x)) for x in terms}
+    got = run("TX10_fragments_whole", documents=(made, "doc_id long, text string"))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and any(f for _, f, _ in want) and any(n for _, _, n in want)
