@@ -249,10 +249,10 @@ with l as {L_}, n as (select doc_id, pos from l where length(line) >= 400)
 select doc_id, 'chapter' as level, pos as a, lead(pos) over (partition by doc_id order by pos) as b, 60 as strength from n qualify b is not null
 """)
 def _(t):
-    l = t.lines.withColumn("pos", F.col("pos").cast("long")).filter(F.length("line") >= 400)
-    ch = l.select("doc_id", "pos", F.col("line").alias("title"), F.col("line").alias("body"))
-    none = t.notes.select(F.col("book").alias("doc_id"), F.col("note").alias("pos"), "text").filter("false")
-    return G.inner_edges(G.inner_nodes(t.lines.filter("false").withColumn("pos", F.col("pos").cast("long")), ch, none))
+    l = t.lines.withColumn("pos", F.col("pos").cast("long"))
+    ch = l.filter(F.length("line") >= 400).select("doc_id", "pos", F.col("line").alias("title"), F.col("line").alias("body"))
+    notes = t.notes.select(F.col("book").alias("doc_id"), F.col("note").alias("pos"), "text")
+    return G.inner_edges(G.inner_nodes(l, ch, notes))
 
 
 @query("GR21_appears_in", rf"""
@@ -265,12 +265,38 @@ tot as (select src, doc, count(distinct term) as matched, array_to_string(list(d
 select tot.src, tot.doc, matched, common, points from tot join pp using (src, doc)
 """)
 def _(t):
-    src = O.term_counts(t.benchmark, ["item_id"], "text", 12).select(F.col("item_id").alias("src"), F.lit(-1).cast("long").alias("doc"), "term")
-    p = t.lines.select(F.col("doc_id").alias("doc"), F.col("pos").alias("point"), F.explode(F.array_distinct(T.raw_words(F.col("line")))).alias("term"))
+    src, p = lookup_postings(t)
     got = G.appears_in(src, p, p.select("doc", F.col("point").alias("entry"), "term").filter("false"))
     return got.select("src", "doc", "matched", F.array_join("common", ",").alias("common"), "points")
 
 
+@query("GR21_appears_in_whole", rf"""
+with src as (select item_id as src, -1::bigint as doc, term from (select item_id, term from (select item_id, unnest({Q.words('text')}) as term from benchmark) where term not in ({Q.STOP}) group by item_id, term
+  qualify row_number() over (partition by item_id order by count(*) desc, term) <= 12)),
+p as (select distinct doc_id as doc, pos as point, unnest({Q.words('line')}) as term from {L_}),
+h as (select conv_id as doc, turn as entry, term from (select conv_id, turn, unnest({Q.words('text')}) as term from conversations where role = 'assistant') where term not in ({Q.STOP}) group by conv_id, turn, term
+  qualify row_number() over (partition by conv_id, turn order by count(*) desc, term) <= 20),
+m as (select distinct src.src, p.doc, p.point, p.term from p join src using (term)),
+e as (select distinct src.src, h.doc, h.entry, h.term from h join src using (term)),
+pp as (select src, doc, least(10, count(distinct point)) as points from m group by all),
+ee as (select src, doc, least(5, count(distinct entry)) as entries from e group by all),
+tot as (select src, doc, count(*) as matched, array_to_string(list(term order by term)[1:6], ',') as common from (select src, doc, term from m union select src, doc, term from e) group by all)
+select tot.src, tot.doc, matched, common, coalesce(points, 0) as points, coalesce(entries, 0) as entries from tot left join pp using (src, doc) left join ee using (src, doc)
+""")
+def _(t):
+    src, p = lookup_postings(t)
+    turns = t.conversations.filter("role = 'assistant'").select(F.col("conv_id").alias("doc"), F.col("turn").alias("entry"), "text")
+    hits = O.term_counts(turns, ["doc", "entry"], "text", 20).select("doc", "entry", "term")
+    return G.appears_in(src, p, hits).withColumn("common", F.array_join("common", ","))
+
+
+def lookup_postings(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Postings of the questions (src, doc, term) and of the documents' lines (doc, point, term)."""
+    src = O.term_counts(t.benchmark, ["item_id"], "text", 12).select(F.col("item_id").alias("src"), F.lit(-1).cast("long").alias("doc"), "term")
+    p = t.lines.select(F.col("doc_id").alias("doc"), F.col("pos").alias("point"), F.explode(F.array_distinct(T.raw_words(F.col("line")))).alias("term"))
+    return src, p
+
+
 @query("GR22_best_edges", f"with {E_}, s as (select a as node, sim from e union all select b, sim from e), m as (select node, max(sim) as top from s group by node) select e.a, e.b, e.sim as strength from e join m x on x.node = e.a join m y on y.node = e.b where e.sim >= x.top - 0.01 or e.sim >= y.top - 0.01")
 def _(t):
     return S.best_edges(part_edges(t).withColumnRenamed("sim", "strength"))

@@ -73,3 +73,23 @@ def test_fragments_of_whole_texts(run):
     want = {(x, len(x) == 2 and any(c in FRAGMENT_CHARS for c in x), inner(x)) for x in terms}
     got = run("TX10_fragments_whole", documents=(made, "doc_id long, text string"))
     assert {tuple(r) for r in got} == want and len(got) == len(want) and any(f for _, f, _ in want) and any(n for _, _, n in want)
+
+
+def test_theorem_lines_are_linked(run):
+    docs = [(1, "\n".join(["x" * 400, "Theorem 1 holds", "and so on", "y" * 400, "Proof of theorem 1", "Lemma 2 too"]))]
+    talk = [(1, 0, "user", "a note")]
+    got = run("GR20_inner_edges", documents=(docs, "doc_id long, text string"), conversations=(talk, "conv_id long, turn int, role string, text string"))
+    assert {tuple(r) for r in got} == {(1, "chapter", 1, 4, 60), (1, "theorem", 2, 5, 50), (1, "theorem", 5, 6, 50)}
+
+
+def test_entries_are_looked_up(run):
+    docs = [(1, "alpha beta\nbeta gamma"), (2, "delta")]
+    talk = [(1, 0, "assistant", "beta omega"), (2, 0, "user", "alpha"), (3, 0, "assistant", "alpha"), (3, 1, "assistant", "none")]
+    talk += [(4, k, "assistant", "gamma ray") for k in range(7)]
+    asked = [(9, "alpha beta omega gamma")]
+    got = run(
+        "GR21_appears_in_whole", documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"),
+        conversations=(talk, "conv_id long, turn int, role string, text string"),
+    )
+    want = {(9, 1, 4, "alpha,beta,gamma,omega", 2, 1), (9, 3, 1, "alpha", 0, 1), (9, 4, 1, "gamma", 0, 5)}
+    assert {(r.src, r.doc, r.matched, r.common, r.points, r.entries) for r in got} == want
