@@ -96,6 +96,11 @@ def _(t):
     return t.documents.filter(F.octet_length("text") <= 20000).select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"))
 
 
+@query("SK9_content_hash_whole", "select doc_id, sha256(text) as sha, strlen(text) as bytes from documents where strlen(text) <= 209715200")
+def _(t):
+    return t.documents.filter(F.octet_length("text") <= 200 * 1024 * 1024).select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"))
+
+
 @query("SK10_media_rewrite", r"""select page_id, regexp_replace(html, '(src|href)="/([^"]*)"', '\1="/media/' || page_id || '/\2"', 'g') as html from pages""")
 def _(t):
     to = F.concat(F.lit('$1="/media/'), F.col("page_id").cast("string"), F.lit('/$2"'))

@@ -1,5 +1,6 @@
 """Queries that do the whole job, beside brute force over small tables."""
 
+import hashlib
 import re
 
 import pytest
@@ -93,3 +94,9 @@ def test_entries_are_looked_up(run):
     )
     want = {(9, 1, 4, "alpha,beta,gamma,omega", 2, 1), (9, 3, 1, "alpha", 0, 1), (9, 4, 1, "gamma", 0, 5)}
     assert {(r.src, r.doc, r.matched, r.common, r.points, r.entries) for r in got} == want
+
+
+def test_long_documents_are_hashed(run):
+    made = [(1, "é" * 30_000), (2, "short")]
+    got = run("SK9_content_hash_whole", documents=(made, "doc_id long, text string"))
+    assert {tuple(r) for r in got} == {(k, hashlib.sha256(x.encode()).hexdigest(), len(x.encode())) for k, x in made}
