@@ -210,7 +210,7 @@ def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5, limit:
 
     Clusters come in order of their smallest book; the first pair in that order merges, the larger side keeps its
     name (the first on ties) and its place, with the terms of both; then again. What goes to the driver is one row
-    a cluster and shared term, bounded by ``limit``.
+    a cluster, and one a cluster and shared term, the latter bounded by ``limit``.
     """
     of = features.join(books, "node").select("cluster", "term").distinct()
     shared = of.join(of.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("term"), "term", "left_semi")
@@ -220,7 +220,7 @@ def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5, limit:
     terms: dict[str, set[str]] = {}
     for r in rows:
         terms.setdefault(r["cluster"], set()).add(r["term"])
-    heads = books.groupBy("cluster").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first").limit(limit).collect()
+    heads = books.groupBy("cluster").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first").collect()
     order = [r["cluster"] for r in heads]
     size = {r["cluster"]: r["n"] for r in heads}
     end = {c: c for c in order}

@@ -100,3 +100,11 @@ def test_long_documents_are_hashed(run):
     made = [(1, "é" * 30_000), (2, "short")]
     got = run("SK9_content_hash_whole", documents=(made, "doc_id long, text string"))
     assert {tuple(r) for r in got} == {(k, hashlib.sha256(x.encode()).hexdigest(), len(x.encode())) for k, x in made}
+
+
+def test_no_cluster_is_left_out_of_a_merge(spark):
+    from quillmill.operators.graph import merge_clusters
+
+    books = spark.createDataFrame([(k, f"c{k}") for k in range(5)], "node bigint, cluster string")
+    features = spark.createDataFrame([(k, f"t{k}") for k in range(5)], "node bigint, term string")
+    assert merge_clusters(books, features, limit=2) == {f"c{k}": f"c{k}" for k in range(5)}
