@@ -7,7 +7,7 @@ from tests.llm.helpers import AWKWARD, WORD, docs
 
 
 def plain(rows, window=20):
-    rows = sorted(((2**63 - 1 if i is None else i), i, t) for i, t in ((i, t or "") for i, t in rows))
+    rows = sorted((((i is None, i or 0), i, t) for i, t in ((i, t or "") for i, t in rows)), key=lambda r: (r[0], r[2]))
     first = {}
     for key, _, t in rows:
         w = WORD.findall(t)
@@ -59,3 +59,26 @@ def test_covers():
 
 def test_empty_table(spark):
     assert substring.remove_repeats(docs(spark, [])).collect() == []
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids beyond 2^53 stay exact in buckets that hold null ids too; the largest id is not the null one."""
+    p = " ".join(f"p{k}" for k in range(25))
+    rows = [(2**60 + k, f"{p} own{k}" if k % 3 == 0 else " ".join(f"w{k}x{j}" for j in range(30)), None, None) for k in range(40)]
+    rows += [(None, f"null {k} {p}" if k % 5 == 0 else f"null {k}", None, None) for k in range(40)]
+    rows += [(2**63 - 1, f"last {p}", None, None), (-(2**62), f"{p} first", None, None)]
+    got = sorted((tuple(r) for r in substring.remove_repeats(docs(spark, rows), bucket_chars=1_000_000).collect()), key=str)
+    assert got == plain([(r[0], r[1]) for r in rows])
+    assert {r[0] for r in got} >= {2**60 + k for k in range(40)}
+
+
+def test_checks_tell_windows_apart(spark):
+    import pandas as pd
+
+    rng = __import__("random").Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(400)) for _ in range(20)]
+    b = substring.Bucket(pd.DataFrame({"id": range(20), "none": [False] * 20, "text": texts}))
+    at = [int(k) for k in range(len(b.hash)) if b.left[k] >= 20]
+    words = [tuple(w) for d in range(20) for w in (texts[d].split()[p : p + 20] for p in range(381))]
+    c = b.checks(20, __import__("numpy").array(at))
+    assert len({*zip(words, c.tolist(), strict=True)}) == len(set(words)) and len(set(c.tolist())) > 0.99 * len(set(words))
