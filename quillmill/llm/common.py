@@ -7,15 +7,15 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators.graph import components
 from quillmill.storage import drop_materialized, drop_path, fresh_path, materialize, shared_dir
 
 __all__ = [
-    "WORD", "block_units", "components", "drop_materialized", "drop_path", "fresh_path", "materialize", "release", "runs",
-    "shared_dir", "shuffle_partitions", "spanning", "table",
+    "WORD", "block_units", "columns", "components", "drop_materialized", "drop_path", "fresh_path", "materialize", "packed", "release",
+    "runs", "shared_dir", "shuffle_partitions", "spanning", "table", "unpacked",
 ]
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """``df`` with its rows in one struct ``row`` beside columns of our own, which so cannot clash with the input's."""
+    return df.select(F.struct(*columns(df)).alias("row"), *[c.alias(k) for k, c in own.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The fields ``names`` of ``row`` as columns again, those in ``new`` replaced, others of ``new`` appended."""
+    kept = [(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in names]
+    return df.select(*kept, *[v.alias(k) for k, v in new.items() if k not in names])
+
+
 def release() -> None:
     """Gives a worker's free memory back to the system: workers outlive their tasks, beside those of other stages."""
     pa.default_memory_pool().release_unused()

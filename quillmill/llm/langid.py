@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import release, table
+from quillmill.llm.common import packed, release, table, unpacked
 
-#: Hash buckets of the n-grams of all orders together.
+#: Hash buckets of the n-grams of all orders together, by default; a power of two.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: The log-probability matrix that is broadcast stays under this many bytes: with very many languages, buckets fold.
-MATRIX_BYTES = 64_000_000
+#: The log-probability matrix that is broadcast may have this many bytes; ``fit`` refuses to make a larger one.
+MATRIX_BYTES = 512_000_000
 #: Characters hashed at once; bounds memory on very long texts.
 _SLICE = 1 << 20
 
@@ -71,23 +71,55 @@ class Model:
     prior: np.ndarray
     logp: np.ndarray
 
-    def score(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        """(language, its posterior) of each text; ('und', 0.0) without a letter. Ties go to the smaller name."""
-        buckets = len(self.logp)
-        for text in texts:
-            c = letters(text)
-            if not len(c) or not self.langs:
-                yield "und", 0.0
-                continue
-            total = self.prior.copy()
-            for g in grams(c, buckets):
-                at, n = np.unique(g, return_counts=True) if len(g) > 4096 else (g, None)
-                total += self.logp[at].sum(axis=0) if n is None else n @ self.logp[at]
-            best = int(np.argmax(total))
-            yield self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
-
-
-def count_grams(labelled: DataFrame) -> DataFrame:
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The languages and posteriors of a batch of texts; ('und', 0.0) without a letter. Ties go to the smaller name.
+
+        Sparse scoring: a slice of the batch is a matrix of texts x buckets that holds counts, as its non-zero cells
+        in order of text; one take of the log-probability rows of these cells and one sum over each text's run
+        multiply it with the model. Slices hold at most _SLICE grams of an order; sums go on over slices.
+        """
+        n, langs = len(texts), self.langs
+        total = np.tile(self.prior, (n, 1)) if langs else np.zeros((n, 0))
+        cs = [letters(t) for t in texts]
+        some = np.array([len(c) > 0 for c in cs], dtype=bool) & bool(langs)
+        if some.any():
+            for of, g in _gram_cells([(k, cs[k]) for k in np.flatnonzero(some).tolist()], len(self.logp)):
+                cell, count = np.unique(of * len(self.logp) + g, return_counts=True)
+                step = max(1, _SLICE * 4 // len(langs))
+                for a in range(0, len(cell), step):
+                    of, g = np.divmod(cell[a : a + step], len(self.logp))
+                    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    total[of[at]] += np.add.reduceat(self.logp[g] * count[a : a + step, None], at, axis=0)
+        if not langs:
+            return ["und"] * n, np.zeros(n)
+        best = total.argmax(axis=1)
+        top = total[np.arange(n), best]
+        sure = 1.0 / np.exp(total - top[:, None]).sum(axis=1)
+        return [langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, sure, 0.0)
+
+
+def _gram_cells(texts: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of every gram of (number, letters), in slices; grams do not reach from a text into the next."""
+    at = 0
+    while at < len(texts):
+        held, size = [], 0
+        while at < len(texts) and (not held or size + len(texts[at][1]) <= _SLICE):
+            held.append(texts[at])
+            size += len(texts[at][1])
+            at += 1
+        if len(held) == 1:
+            for g in grams(held[0][1], buckets):
+                yield np.full(len(g), held[0][0], dtype=np.int64), g
+            continue
+        sizes = np.array([len(c) for _, c in held])
+        of = np.repeat(np.array([k for k, _ in held], dtype=np.int64), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(size)  # letters from here to the text's end
+        for k, g in zip(ORDERS, grams(np.concatenate([c for _, c in held]), buckets), strict=False):
+            ok = left[: len(g)] >= k
+            yield of[: len(g)][ok], g[ok]
+
+
+def count_grams(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(lang, bucket, n) over all rows of (lang, text); bucket -1 counts documents. Summed in each task first."""
 
     def run(batches):
@@ -96,10 +128,10 @@ def count_grams(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 docs[lang] = docs.get(lang, 0) + 1
-                mine = counts.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for g in grams(letters(text), BUCKETS):
+                mine = counts.setdefault(lang, np.zeros(buckets, dtype=np.int64))
+                for g in grams(letters(text), buckets):
                     if len(g) > 4096:
-                        mine += np.bincount(g, minlength=BUCKETS)
+                        mine += np.bincount(g, minlength=buckets)
                     else:
                         np.add.at(mine, g, 1)
                 if len(counts) > 64:
@@ -119,17 +151,18 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, smoothing: float = 0.5) -> Model:
-    """Learns from all rows of (lang not null, text). What reaches the driver is one number per language and bucket."""
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    buckets = BUCKETS
-    while buckets > 256 and len(langs) * buckets * 8 > MATRIX_BYTES:
-        buckets //= 2
-    fold = BUCKETS // buckets
-    got = count_grams(labelled)
-    if fold > 1:
-        got = got.groupBy("lang", F.when(F.col("bucket") < 0, -1).otherwise(F.floor(F.col("bucket") / fold)).cast("int").alias("bucket"))
-        got = got.agg(F.sum("n").alias("n"))
+def fit(labelled: DataFrame, smoothing: float = 0.5, buckets: int = BUCKETS) -> Model:
+    """Learns from all rows of (lang not null, text).
+
+    What reaches the driver is a number a language and bucket. Both are parameters of the model, not of the table's
+    size: the same buckets are used for however many languages, and where the matrix would pass MATRIX_BYTES (977
+    languages with the default buckets) it is an error that asks for fewer buckets.
+    """
+    most = MATRIX_BYTES // (8 * buckets)
+    langs = sorted(r[0] for r in labelled.select("lang").distinct().limit(most + 1).collect())
+    if len(langs) > most:
+        raise ValueError(f"more than {most} languages make a matrix over {MATRIX_BYTES} bytes: give fewer buckets")
+    got = count_grams(labelled, buckets)
     col = {x: k for k, x in enumerate(langs)}
     t = got.toArrow()
     count = np.zeros((buckets, len(langs)))
@@ -147,23 +180,25 @@ def fit(labelled: DataFrame, smoothing: float = 0.5) -> Model:
 def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds the predicted language and its posterior (0 to 1) to each row, from its whole text alone; no shuffle.
 
-    A null text, or one without a letter, is ``und`` with score 0. Other columns are kept as they are. The model is
-    broadcast; its size is bounded by MATRIX_BYTES.
+    A null text, or one without a letter, is ``und`` with score 0, as is any text where nothing was learnt. Repeated
+    rows are predicted each, an empty table gives an empty table. Other columns are kept as they are, whatever their
+    names; one that has a name of ``names`` is replaced, as ``withColumn`` would. The model is broadcast: a number a
+    bucket and language.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    src = packed(docs, text=F.col(f"`{text_col}`").cast("string"))
 
     def run(batches):
         for b in batches:
-            got = list(shared.value.score(b[text_col].to_pylist()))
-            extra = [pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, *names])
+            lang, score = shared.value.score(b["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang", "score"])
         release()
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType())
-    return docs.mapInArrow(run, schema)
+    schema = StructType([StructField("row", docs.schema), StructField("lang", StringType()), StructField("score", DoubleType())])
+    return unpacked(src.mapInArrow(run, schema), docs.columns, **{names[0]: F.col("lang"), names[1]: F.col("score")})
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import WORD, materialize, shuffle_partitions, table
+from quillmill.llm.common import WORD, materialize, packed, shuffle_partitions, table, unpacked
 
 #: Documents of a source in one window of the running sum, about.
 WINDOW_ROWS = 50_000
@@ -130,18 +130,15 @@ def mix(
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it.
 
-    Rows equal in id, source and size cannot be told apart; each is taken the mean of their times, rounded up.
+    Rows equal in id, source and size cannot be told apart; each is taken the mean of their times, rounded up. Other
+    columns may have any name.
     """
     plan = mix(docs, **options)
-    how = plan.groupBy("id", "source", "size").agg(F.sum("times").alias("_t"), F.count(F.lit(1)).alias("_n"))
-    how = how.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_t", "_n")
+    how = plan.groupBy("id", "source", "size").agg((F.ceil(F.sum("times") / F.count(F.lit(1)))).cast("int").alias("share"))
     id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    got = docs.join(
-        how,
-        docs[id_col].eqNullSafe(how["_i"]) & docs[source_col].cast("string").eqNullSafe(how["_s"]) & (word_count(docs[text_col]) == how["_z"]),
-    )
-    share = F.ceil(F.col("_t") / F.col("_n")).cast("int")
-    return got.withColumn("_r", F.explode(F.array_repeat(F.lit(1), share))).select(*[docs[c] for c in docs.columns])
+    src = packed(docs, i=F.col(f"`{id_col}`"), s=F.col(f"`{source_col}`").cast("string"), z=word_count(F.col(f"`{text_col}`")))
+    got = src.join(how, F.col("i").eqNullSafe(F.col("id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")))
+    return unpacked(got.select("row", F.explode(F.array_repeat(F.lit(1), F.col("share")))), docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,18 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, g int, id string, k int, w string"
+#: Names that operators use inside, or give to their results, as further columns of the input.
+CLASHING = (
+    "fp g id k w row i h n s z key class low component base spans share size source_size target times taken lang_pred score candidates secrets "
+    "redacted part hit left right path p text_ start end bits dim cell label rep _k _r _t _i _path _hits _gaps _spans _p _lang_pred _lang_score _first"
+).split()
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` int" for c in CLASHING)
 
 
 def docs(spark, rows):
     """Rows of (doc_id, text, lang, source) with further columns whose names the operators use inside."""
-    return spark.createDataFrame(
-        [(a, b, c, d, len(b) if b is not None else None, "x", 1, "y", 2, "z") for a, b, c, d in rows], DOCS
-    )
+    more = tuple(range(len(CLASHING)))
+    return spark.createDataFrame([(a, b, c, d, len(b) if b is not None else None, *more) for a, b, c, d in rows], DOCS)
 
 
 LONG = " ".join(f"word{k % 977} tail{k % 31}" for k in range(30_000))

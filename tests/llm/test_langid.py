@@ -1,6 +1,8 @@
 import binascii
+import math
 
 import numpy as np
+import pytest
 
 from quillmill.llm import langid
 from tests.llm.helpers import AWKWARD, docs
@@ -32,7 +34,7 @@ def test_awkward_rows(spark):
     d = docs(spark, AWKWARD)
     model = langid.fit(d.filter("lang is not null").select("lang", "text"))
     got = langid.predict(d, model).collect()
-    assert len(got) == len(AWKWARD) and set(d.columns) < set(got[0].asDict())
+    assert len(got) == len(AWKWARD) and got[0].asDict().keys() == {*d.columns, "lang_pred", "score"}
     for r in got:
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
         assert r.lang_pred in ("und", "de", "en")
@@ -41,12 +43,50 @@ def test_awkward_rows(spark):
     assert langid.predict(d.limit(0), model).collect() == []
 
 
-def test_many_languages_fold_the_matrix(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MATRIX_BYTES", 3 * 8192 * 8)
+def test_buckets_are_a_parameter(spark, monkeypatch):
     rows = [(i, ("äöü " if i % 2 else "xyz ") * 20, f"l{i % 2}", None) for i in range(20)]
-    model = langid.fit(docs(spark, rows).select("lang", "text"))
-    assert model.logp.nbytes <= langid.MATRIX_BYTES
-    assert [x for x, _ in model.score(["äöü", "xyz"])] == ["l1", "l0"]
+    model = langid.fit(docs(spark, rows).select("lang", "text"), buckets=4096)
+    assert model.logp.shape == (4096, 2) and model.score(["äöü", "xyz"])[0] == ["l1", "l0"]
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 8 * 4096)
+    with pytest.raises(ValueError, match="fewer buckets"):
+        langid.fit(docs(spark, rows).select("lang", "text"), buckets=4096)
+
+
+def plain_posterior(learnt, text, smoothing=0.5, buckets=langid.BUCKETS):
+    """Naive Bayes by the book: one logarithm a gram and language."""
+    c = langid.letters(text).tolist()
+    if not c:
+        return "und", 0.0
+    all_ = {}
+    for lang, t in learnt:
+        mine = all_.setdefault(lang, [0, {}])
+        mine[0] += 1
+        for g in langid.grams(langid.letters(t), buckets):
+            for b in g.tolist():
+                mine[1][b] = mine[1].get(b, 0) + 1
+    said = {}
+    for lang, (n, count) in all_.items():
+        total = math.fsum(count.values()) + smoothing * buckets
+        p = [math.log((count.get(b, 0) + smoothing) / total) for g in langid.grams(langid.letters(text), buckets) for b in g.tolist()]
+        said[lang] = math.log(n / len(learnt)) + math.fsum(p)
+    best = min(said, key=lambda x: (-said[x], x))
+    return best, 1 / math.fsum(math.exp(x - said[best]) for x in said.values())
+
+
+def test_posteriors_by_the_book(spark, sf_dir, monkeypatch):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    learnt = [(lang, t) for i, t, lang in rows if lang is not None and binascii.crc32(str(i).encode()) % 3 != 1]
+    few = [(i, t) for i, t, _ in rows[:12]] + [(-1, None), (-2, ""), (-3, "?!"), (-4, "ab"), (-5, "der the"), (-6, "a " * 9000)]
+    want = {i: plain_posterior(learnt, t) for i, t in few}
+    got = {r.doc_id: r for r in langid.op8_langid(spark, sf_dir).collect()}
+    model = langid.fit(spark.createDataFrame(learnt, "lang string, text string"))
+    for slice_ in (langid._SLICE, 50):
+        monkeypatch.setattr(langid, "_SLICE", slice_)
+        langs, sure = model.score([t for _, t in few])
+        for (i, _), lang, p in zip(few, langs, sure, strict=True):
+            assert lang == want[i][0] and abs(p - want[i][1]) < 1e-6
+            if i in got:
+                assert got[i].lang_pred == lang and abs(got[i].score - p) < 1e-6
 
 
 def test_slices_are_whole(monkeypatch):

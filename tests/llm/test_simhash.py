@@ -75,5 +75,27 @@ def test_hot_key_is_split_and_whole(spark, monkeypatch):
     sizes = dealt.groupBy(*names).count().collect()
     assert len(sizes) > 10 and max(r["count"] for r in sizes) < 80
     links = dealt.mapInArrow(lambda it: simhash._linked(it, 1), "a bigint, b bigint")
-    assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(201)}
+    assert {tuple(r) for r in components(links).collect()} == {(f, 0) for f in fps}
     assert pa is not None
+
+
+def test_rows_that_share_an_id_are_apart(spark):
+    """One id with two texts: two classes, each with the other's links out of it; null ids link but name no class."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(2, a, None, None), (2, b, None, None), (5, b, None, None), (1, a, None, None), (None, "lone words", None, None), (None, b, None, None)]
+    got = sorted(((r.id, r.component, r.fingerprint) for r in simhash.near_duplicates(docs(spark, rows)).collect()), key=str)
+    fp = {t: f"{plain_fingerprint(t, 3):016x}" for t in (a, b, "lone words")}
+    want = [(2, 1, fp[a]), (2, 2, fp[b]), (5, 2, fp[b]), (1, 1, fp[a]), (None, None, fp["lone words"]), (None, 2, fp[b])]
+    assert got == sorted(want, key=str)
+
+
+def test_representatives(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(2, a, "en", "x"), (2, b, "de", "x"), (5, b, "en", "y"), (5, b, "en", "y"), (None, a, None, None), (None, "lone words", None, None), (None, "lone words", None, None)]
+    d = docs(spark, [*rows, (9, "once only", "en", "z"), (9, "once only", "en", "z"), (9, "once only", "en", "z2")])
+    out = simhash.representatives(d)
+    assert out.columns == d.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(2, a), (2, b), (None, "lone words"), (9, "once only")], key=str)
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in d.collect()}
+    assert simhash.representatives(docs(spark, [])).collect() == []
