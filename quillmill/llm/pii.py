@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import materialize, table
-from quillmill.llm.spans import blocks, gaps_and_hits, let, located
+from quillmill.llm.spans import blocks, gaps_and_hits, let, located, word_left
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns with possessive loops, which Java's engine runs without recursion. A match can only start where
@@ -87,8 +87,8 @@ def extract(
     """Personal data in whole texts: (id, base, spans), arrays of (start, k, end) by start and kind, a row per row.
 
     ``base`` holds the valid matches of the four base patterns, in code points. They seed the bootstrap: every word
-    with a digit or at sign is an instance, and the word before it (numbers alike) with its own shape (digits, upper
-    and lower case runs) is a pattern that it occurs in. Over the corpus's pattern-instance graph scores pass back and forth for
+    with a digit or at sign is an instance, however short, and the whole word before it (numbers alike; empty at the
+    text's start) with its own shape (digits, upper and lower case runs) is a pattern that it occurs in. Over the corpus's pattern-instance graph scores pass back and forth for
     ``rounds``: a pattern's confidence is the smoothed mean score of its distinct instances, an instance's score one
     minus the product of its patterns' doubts, seeds staying at 1. Patterns with ``support`` distinct seeds and at
     least ``confidence`` name the kind most of their seeds have; the instances they meet that no base span touches
@@ -109,7 +109,7 @@ def extract(
     g, h = gaps_and_hits(F.col("t"), CANDIDATE, has)
     cut = src.select("id", *cols, g.alias("word_g"), h.alias("word_h"))
     hits = {k: (F.col(f"{k}_g"), F.col(f"{k}_h")) for k in KINDS}
-    placed = cut.select("id", base_spans(F.col("t"), hits).alias("base"), located(F.col("word_g"), F.col("word_h")).alias("words"))
+    placed = cut.select("id", base_spans(F.col("t"), hits).alias("base"), located(F.col("word_g"), F.col("word_h"), word_left).alias("words"))
 
     trimmed = lambda w: F.regexp_replace(w, r"^[^0-9\p{L}@+]+|[^0-9\p{L}]+$", "")
 
@@ -123,7 +123,7 @@ def extract(
             lambda w: F.struct(
                 w["start"].alias("start"), w["end"].alias("end"), trimmed(w["hit"]).alias("word"),
                 (w["start"] + F.length(F.regexp_extract(w["hit"], r"^[^0-9\p{L}@+]*", 0))).alias("from"),
-                F.regexp_replace(F.lower(F.regexp_extract(w["left"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)), "[0-9]+", "9").alias("before"),
+                F.regexp_replace(F.lower(w["left"]), "[0-9]+", "9").alias("before"),
                 F.get(F.filter(z["base"], lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])), F.lit(0))["k"].alias("k"),
             ),
         )
@@ -134,7 +134,7 @@ def extract(
     both = let(F.struct("base", "words"), lambda z: F.struct(z["base"].alias("base"), marked(z).alias("words")))
     kept = materialize(placed.select(F.monotonically_increasing_id().alias("row"), "id", both.alias("z")).select("row", "id", "z.base", "z.words"), "pii")
     each = kept.filter(F.size("words") > 0).select("row", F.explode("words").alias("w")).select("row", "w.*")
-    each = each.filter("length(word) > 3").withColumn("shape", _shape(F.col("word")))
+    each = each.withColumn("shape", _shape(F.col("word")))
     edges = each.groupBy("before", "shape", "word").agg(F.max("k").alias("k"))
     edges = materialize(edges, "pii")
     seeds = edges.groupBy("word").agg(F.max("k").alias("seed"))

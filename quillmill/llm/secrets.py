@@ -2,40 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
 import re
+import sys
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import table
-from quillmill.llm.spans import LEFT, gaps_and_hits, let, located
+from quillmill.llm import findings
+from quillmill.llm.common import drop_materialized, materialize, packed, shared_dir, table, unpacked
+from quillmill.llm.spans import gaps_and_hits, let, located
 
 _C = "A-Za-z0-9_+/.~"
-#: Private key blocks, and runs of at least 16 key characters with a digit among them; '=' parts a name from its value,
-#: and belongs to a run only as padding at its end.
+_NAME = r"(?:token|secret|passw(?:or)?d|pwd|pass|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credentials?)"
+#: What the forest is asked about: private key blocks; runs of at least 16 key characters with a digit among them, where
+#: '=' parts a name from its value and belongs to a run only as padding at its end; and values of at least 8 characters
+#: of any kind that stand behind a key's name and '=' or ':', digits or not.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
     rf"|(?<![{_C}-])(?=[A-Za-z_+/=.~-]*+[0-9])[{_C}-]{{16,}}+(?:={{1,2}}(?![{_C}=-]))?"
+    rf"|(?<=[=:\x20\"'])(?<=[=:]\x20?[\"']?)(?<=(?i:{_NAME})[\"']?\x20{{0,2}}[=:]\x20?[\"']?)(?:[^\x20\x09-\x0D\"'<>,;&]|&(?![A-Za-z_]++=)){{8,}}+"
 )
-#: Labelled findings that the forest is fitted on by default.
-LABELLED = 6000
-TREES, DEPTH = 24, 6
+TREES, DEPTH = 32, 8
 MARK = "[SECRET]"
 
 # The dictionary of the coverage feature: common words of prose and of program text.
 DICTIONARY = (
-    "the and for with that this from have not are was you your all can will one out about which when make like time "
-    "just know take into year good some could them see other than then now look only come over think also back after "
-    "use two how our work first well way even new want because any these give day most name file path user test data "
-    "value index list node text page site mail host port com org net www http https lib bin usr home src docs main "
-    "python java script version build release config default example sample dummy demo public private local server "
-    "client request response header content type module package import class object string number table column query"
+    "about after all also and any are back bearer because build can class client code column com come config content could "
+    "data day default demo docs dummy env even example file first for from get give good have header home host how http "
+    "https import index into java just key know lib like list local look main make module most name net new node not now "
+    "number object one only org other our out over package page password path port private public python query release "
+    "request response sample script secret see server site some string table take test text than that the them then these "
+    "think this time token two type use user usr value version want was way well when which will with work year you your"
 ).split()
 
 _PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk_test_|sk-|pk_live_|rk_live_|xox[abpr]-|AIza|ya29\.|eyJ|SG\.|npm_|-----BEGIN)"
 _KEYWORD = r"(?i)(?:[?&]key|token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key|client.?key)"
 _HARMLESS = r"(?i)(?:commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|revision|rev|version|etag|build|ref|id|isbn|serial)\W{0,4}$"
-_PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|your[_-]|changeme|xxxx|0000|1234567|abcdef0|test[_-]|fake|redacted)"
+_PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|your[_-]|changeme|xxxx|0000|1234567|abcdef0|test[_-]|fake|redacted|\*\*\*|\$\{)"
+_MADE_UP = r"(?i)(?:test|example|sample|fixture|doc|mock|spec|demo)"
+_FOREIGN = r"(?i)(?:vendor|node_modules|third_party|site-packages|generated|dist/|-lock|\.lock|\.min\.)"
 
 
 def features(hit: Column, left: Column, right: Column, path: Column) -> list[Column]:
@@ -46,7 +55,7 @@ def features(hit: Column, left: Column, right: Column, path: Column) -> list[Col
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
     return [
-        F.least(n, F.lit(200.0)),
+        n,
         count(hit, "[0-9]") / n,
         count(hit, "[A-Z]") / n,
         count(hit, "[g-z]") / n,
@@ -54,9 +63,10 @@ def features(hit: Column, left: Column, right: Column, path: Column) -> list[Col
         count(hit, "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])") / n,
         count(hit, "[a-z](?=[A-Z])|[A-Z](?=[a-z])") / n,
         count(low, "[bcdfghjklmnpqrstvwxz](?=[aeiouy])|[aeiouy](?=[bcdfghjklmnpqrstvwxz])") / n,
-        F.size(F.array_distinct(F.split(F.left(low, F.lit(200)), ""))).cast("double") / F.least(n, F.lit(200.0)),
+        F.size(F.array_distinct(F.filter(F.split(low, ""), lambda c: c != ""))).cast("double"),
         count(hit, "[./]") / n,
         count(hit, "[-_]") / n,
+        count(hit, r"[^A-Za-z0-9_./+=~-]") / n,
         (n - F.length(F.regexp_replace(low, words, "")).cast("double")) / n,
         flag(hit.rlike(_PREFIX)),
         flag(hit.rlike(_PLACEHOLDER)),
@@ -65,73 +75,52 @@ def features(hit: Column, left: Column, right: Column, path: Column) -> list[Col
         flag(left.rlike(_HARMLESS)),
         flag(left.rlike(r"[=:]\s{0,2}[\"']?$")),
         flag(left.rlike(r"[\"']$") & right.rlike(r"^[\"']")),
-        flag(path.rlike(r"(?i)(?:test|example|sample|fixture|doc|mock)")),
+        flag(path.rlike(_MADE_UP)),
+        flag(path.rlike(_FOREIGN)),
     ]
 
 
-def _named(spans: Column, s: Column, i: Column) -> Column:
-    """A candidate's text to the left; where only a separator parts it from the candidate before, that is its name."""
-    before = F.get(spans, i - 1)
-    name = F.right(F.concat(before["hit"], s["left"]), F.lit(LEFT))
-    return F.when((i > 0) & s["left"].rlike(r"^\s{0,2}[=:]\s{0,2}[\"']?$"), name).otherwise(s["left"])
-
-
-def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """Labelled findings (hit, left, right, path, label), made by rule: known key formats, and what looks like them."""
-    i = F.col("id")
-    h = lambda salt: F.sha2(F.concat_ws("-", i.cast("string"), F.lit(salt)), 256)
-    b62 = lambda salt, n: F.left(F.regexp_replace(F.concat(*[F.base64(F.unhex(h(f"{salt}{k}"))) for k in range(2)]), "[+/=]", ""), F.lit(n))
-    num = lambda salt, m: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(m))
-    pick = lambda salt, xs: F.get(F.array(*[F.lit(x) for x in xs]), num(salt, len(xs)).cast("int"))
-    word = lambda salt: pick(salt, DICTIONARY)
-    hexes = lambda salt, n: F.left(F.concat(h(salt), h(salt + "x")), F.lit(n))
-    key = pick("key", ["token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "TOKEN", "API_KEY"])
-    sep = pick("sep", [' = "', '="', ": ", "=", " = '", ' : "', " is "])
-    lead = F.concat(word("l1"), F.lit(" "), word("l2"), F.lit(". "))
-    named = F.concat(lead, key, sep)
-    prose = F.concat(word("p1"), F.lit(" "), word("p2"), pick("p3", [" ", ", ", ". ", " | ", "### ", ' "', " ("]))
-    plain = pick("plain", ["commit ", "sha256: ", "md5 ", "checksum = ", "uuid: ", "version ", "revision ", "digest: ", 'hash = "', "id: "])
-    real = [
-        (hexes("a", 40), named), (hexes("b", 32), named), (b62("c", 32), named), (b62("d", 40), named), (b62("e", 20), named),
-        (F.concat(F.lit("AKIA"), F.upper(b62("f", 16))), F.when(num("n", 2) == 0, prose).otherwise(F.concat(lead, F.lit("aws_access_key_id = ")))),
-        (F.concat(F.lit("ghp_"), b62("g", 36)), F.when(num("n", 2) == 0, prose).otherwise(named)),
-        (F.concat(F.lit("sk_live_"), b62("h", 24)), F.when(num("n", 2) == 0, prose).otherwise(named)),
-        (F.concat(F.lit("eyJ"), b62("i", 33), F.lit("."), b62("j", 40), F.lit("."), b62("k", 40)), F.concat(lead, F.lit("Authorization: Bearer "))),
-        (hexes("l", 64), named), (F.lit("-----BEGIN RSA PRIVATE KEY-----"), prose),
-    ]
-    uuid = F.concat_ws("-", *[F.substring(h("u"), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    path_ = F.concat_ws("/", F.lit("usr"), word("d1"), word("d2"), F.concat(word("d3"), num("v", 100).cast("string")), F.concat(word("d4"), F.lit(".py")))
-    false = [
-        (hexes("m", 40), F.concat(lead, plain)), (hexes("o", 64), F.concat(lead, plain)), (hexes("q", 32), F.concat(lead, plain)),
-        (uuid, F.when(num("n", 2) == 0, prose).otherwise(F.concat(lead, plain))), (F.left(F.regexp_replace(F.concat(h("r"), h("s")), "[a-f]", ""), F.lit(16)), prose),
-        (F.concat(F.lit("mail"), num("w", 10).cast("string"), F.lit("."), word("d1"), word("d2"), F.lit(".com")), prose), (path_, prose),
-        (F.concat(word("c1"), F.initcap(word("c2")), F.initcap(word("c3")), F.initcap(word("c4")), num("v", 1000).cast("string"), word("c5"), word("c6")), prose),
-        (F.concat(F.lit("your_"), key, F.lit("_here_"), num("v", 1000).cast("string"), F.lit("_example")), named),
-        (F.concat(F.repeat(pick("rep", ["x", "0", "X", "1", "ab12"]), 20)), named), (hexes("t", 40), F.concat(prose, F.lit("see "))),
-        (F.concat(F.lit("2024-0"), (num("y", 9) + 1).cast("string"), F.lit("-1"), num("z", 9).cast("string"), F.lit("T10.20.30.000")), prose),
-        (F.concat_ws("_", word("c1"), word("c2"), word("c3"), num("v", 100).cast("string"), word("c4")), named),
-    ]
-    kinds = [(a, b, 1.0) for a, b in real] + [(a, b, 0.0) for a, b in false]
-    every = F.array(*[F.struct(a.alias("hit"), b.alias("left"), F.lit(c).alias("label")) for a, b, c in kinds])
-    base = spark.range(0, rows, 1, 2).select("id", F.get(every, F.pmod(i, F.lit(len(kinds))).cast("int")).alias("f"))
-    quote = F.regexp_extract("left", r"([\"'])$", 1)
-    path = F.get(F.array(F.lit("src/app"), F.lit("web"), F.lit("forum"), F.lit("config"), F.lit("crawl")), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int"))
-    out = base.select("id", "f.*").select("id", F.right("hit", F.lit(400)).alias("hit"), "left", F.concat(quote, F.lit(" and")).alias("right"), "label")
-    return out.select("hit", "left", "right", path.alias("path"), "label")
-
-
 def fit_forest(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 4) -> list:
     """Fits a random forest (JVM) and returns its trees as nested (feature, threshold, left, right) or a class."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     f = features(F.col("hit"), F.col("left"), F.col("right"), F.col("path"))
-    flat = labelled.select("label", *[c.alias(f"f{k}") for k, c in enumerate(f)])
+    flat = materialize(labelled.select("label", *[c.alias(f"f{k}") for k, c in enumerate(f)]), "findings")
     data = VectorAssembler(inputCols=[f"f{k}" for k in range(len(f))], outputCol="x").transform(flat).select("label", "x")
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
+    drop_materialized(flat)
     return [_parse(t.toDebugString) for t in model.trees]
 
 
+_fitted: dict[str, list] = {}
+
+
+def default_forest(spark: SparkSession) -> list:
+    """The forest of the made findings, fitted once: kept by the driver, and as JSON in the shared folder.
+
+    The file's name is a digest of the sources that make and judge findings, so another version fits its own.
+    """
+    sources = inspect.getsource(findings) + inspect.getsource(sys.modules[__name__])
+    key = hashlib.sha256(f"{sources}/{TREES}/{DEPTH}/{findings.ROWS}".encode()).hexdigest()[:24]
+    if key not in _fitted:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/forest-{key}.json")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(path):
+            with_ = store.open(path)
+            said = bytes(with_.readAllBytes()).decode()
+            with_.close()
+            _fitted[key] = json.loads(said)
+        else:
+            _fitted[key] = fit_forest(findings.labelled_findings(spark))
+            part = spark._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.{uuid.uuid4().hex}")
+            out = store.create(part)
+            out.write(json.dumps(_fitted[key]).encode())
+            out.close()
+            store.rename(part, path)
+    return _fitted[key]
+
+
 def _parse(said: str):
     lines = [(len(x) - len(x.lstrip()), x.strip()) for x in said.splitlines() if re.search(r"If|Else|Predict", x)]
 
@@ -147,20 +136,44 @@ def _parse(said: str):
     return node(0)[0]
 
 
+def flat_forest(forest: list) -> tuple[list[int], list[float], list[int], list[int], list[int], int]:
+    """The trees as node arrays (feature, threshold, left, right), their roots, and the greatest depth.
+
+    A leaf has its class as threshold and leads to itself, so all trees may be walked the same number of steps.
+    """
+    feature: list[int] = []
+    threshold: list[float] = []
+    left: list[int] = []
+    right: list[int] = []
+
+    def add(t) -> tuple[int, int]:
+        k = len(feature)
+        leaf = isinstance(t, float)
+        feature.append(0 if leaf else t[0])
+        threshold.append(t if leaf else t[1])
+        left.append(k)
+        right.append(k)
+        if leaf:
+            return k, 0
+        (left[k], a), (right[k], b) = add(t[2]), add(t[3])
+        return k, 1 + max(a, b)
+
+    roots = [add(t) for t in forest]
+    return feature, threshold, left, right, [k for k, _ in roots], max(d for _, d in roots)
+
+
 def votes(forest: list, x: Column) -> Column:
-    """The share of trees that call the feature array ``x`` a secret, as one SQL expression."""
-
-    def tree(t) -> Column:
-        if isinstance(t, float):
-            return F.lit(t)
-        f, threshold, left, right = t
-        if left == right:
-            return tree(left)
-        return F.when(F.get(x, F.lit(f)) <= F.lit(threshold), tree(left)).otherwise(tree(right))
-
-    total = F.lit(0.0)
-    for t in forest:
-        total = total + tree(t)
+    """The share of trees that call the feature array ``x`` a secret: a walk through constant arrays, a step a level."""
+    *arrays, roots, depth = flat_forest(forest)
+    kinds = ("int", "double", "int", "int")
+    constant = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
+    feature, threshold, left, right = (constant(a, k) for a, k in zip(arrays, kinds, strict=True))
+
+    def step(n: Column, _: Column) -> Column:
+        return F.when(F.get(x, F.get(feature, n)) <= F.get(threshold, n), F.get(left, n)).otherwise(F.get(right, n))
+
+    walk = lambda root: F.get(threshold, F.aggregate(F.sequence(F.lit(0), F.lit(depth)), root, step))
+    total = F.aggregate(F.transform(constant(roots, "int"), walk), F.lit(0.0), lambda a, v: a + v)
     return total / F.lit(float(len(forest)))
 
 
@@ -176,33 +189,37 @@ def scan(
 
     ``candidates`` counts the matches of CANDIDATE, ``secrets`` is an array of (start, end) in code points of those
     that at least ``threshold`` of the forest's trees accept, ``redacted`` has MARK in their place. The forest is fitted
-    on ``labelled`` findings (hit, left, right, path, label 0/1; a bounded set, by default LABELLED made ones) and
-    applied as one SQL expression inside the scan. A null text has none and stays null; a null path counts as
-    empty. All columns of the input are kept; repeated rows are scanned each. ``names`` must not clash with them.
+    on ``labelled`` findings (hit, left, right, path, label 0/1; a bounded set) or is that of the made ones, fitted once,
+    and is applied as one SQL expression inside the scan. Neighbouring words are looked for within spans.LEFT
+    characters before and spans.RIGHT behind a candidate; candidates themselves are judged whole.
+
+    What is no candidate is not found: runs with a digit of under 16 characters and runs without one, unless a key's
+    name and '=' or ':' stand before them, and named values of under 8 characters.
+
+    A null or empty text has none and stays as it is; a null path counts as empty. Repeated rows are scanned each, an
+    empty table gives an empty table. All columns of the input are kept, whatever their names; one that has a name of
+    ``names`` is replaced, as ``withColumn`` would.
     """
     spark = docs.sparkSession
-    forest = fit_forest(labelled if labelled is not None else labelled_findings(spark))
-    cols = docs.columns
-    text = F.col(text_col).cast("string")
-    gaps, hits = gaps_and_hits(F.coalesce(text, F.lit("")), CANDIDATE, F.coalesce(text, F.lit("")).rlike(r"[0-9]|PRIVATE KEY"))
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
-    cut = docs.select(*cols, path.alias("_path"), gaps.alias("_gaps"), hits.alias("_hits"))
-    found = cut.withColumn("_spans", F.when(F.size("_hits") > 0, located(F.col("_gaps"), F.col("_hits"))))
-    judge = lambda s, left, path: let(F.array(*features(s["hit"], left, s["right"], path)), lambda x: votes(forest, x))
-    one = lambda z, s, i: let(_named(z["_spans"], s, i), lambda left: judge(s, left, z["_path"]))
-    shares = let(F.struct("_spans", "_path"), lambda z: F.transform(z["_spans"], lambda s, i: one(z, s, i)))
-    judged = found.withColumn("_p", shares)
-    flagged = F.filter(F.arrays_zip(F.col("_spans").alias("s"), F.col("_p").alias("p")), lambda z: z["p"] >= threshold)
+    forest = fit_forest(labelled) if labelled is not None else default_forest(spark)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    src = packed(docs, text=F.col(f"`{text_col}`").cast("string"), path=F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")))
+    whole = F.coalesce("text", F.lit(""))
+    gaps, hits = gaps_and_hits(whole, CANDIDATE, whole.rlike("[0-9=:]|PRIVATE KEY"))
+    cut = src.select("row", "text", "path", gaps.alias("gaps"), hits.alias("hits"))
+    found = cut.withColumn("spans", F.when(F.size("hits") > 0, located(F.col("gaps"), F.col("hits"))))
+    judge = lambda s, path: let(F.array(*features(s["hit"], s["left"], s["right"], path)), lambda x: votes(forest, x))
+    shares = let(F.struct("spans", "path"), lambda z: F.transform(z["spans"], lambda s: judge(s, z["path"])))
+    judged = found.withColumn("p", shares)
+    flagged = F.filter(F.arrays_zip(F.col("spans").alias("s"), F.col("p").alias("p")), lambda z: z["p"] >= threshold)
     secrets = F.transform(flagged, lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["end"].alias("end")))
     pieces = F.zip_with(
-        F.col("_gaps"), F.arrays_zip(F.col("_hits").alias("h"), F.col("_p").alias("p")),
+        F.col("gaps"), F.arrays_zip(F.col("hits").alias("h"), F.col("p").alias("p")),
         lambda g, z: F.concat(g, F.when(z["p"] >= threshold, F.lit(MARK)).otherwise(F.coalesce(z["h"], F.lit("")))),
     )
-    redacted = F.when(F.exists("_p", lambda p: p >= threshold), F.array_join(pieces, "")).otherwise(text)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return judged.select(
-        *cols, F.size("_hits").cast("long").alias(names[0]), F.coalesce(secrets, none).alias(names[1]), redacted.alias(names[2])
-    )
+    redacted = F.when(F.exists("p", lambda p: p >= threshold), F.array_join(pieces, "")).otherwise(F.col("text"))
+    new = {names[0]: F.size("hits").cast("long"), names[1]: F.coalesce(secrets, none), names[2]: redacted}
+    return unpacked(judged, docs.columns, **new)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of context kept on each side of a match.
+#: Characters on each side of a match that count as its neighbourhood, where an operator's features look at it.
 LEFT, RIGHT = 64, 32
 
 _SPAN = "array<struct<start:int,end:int,hit:string,left:string,right:string>>"
@@ -41,15 +41,30 @@ def blocks(items: Column) -> Column:
     return F.when(n > 0, some).otherwise(F.array())
 
 
-def located(gaps: Column, hits: Column) -> Column:
-    """The matches with start and end in code points and some context: array of (start, end, hit, left, right)."""
+def near_left(before: Column, gap: Column) -> Column:
+    """The LEFT characters before a match, the match before it included."""
+    return F.right(F.concat(F.right(before, F.lit(LEFT)), F.right(gap, F.lit(LEFT))), F.lit(LEFT))
+
+
+def word_left(before: Column, gap: Column) -> Column:
+    """The whole word before a match that is a word itself, however long; empty at the text's start."""
+    own = F.regexp_extract(gap, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]+$", 1)
+    return F.when(own != "", own).otherwise(before)
+
+
+def located(gaps: Column, hits: Column, context=near_left) -> Column:
+    """The matches with start and end in code points and some context: array of (start, end, hit, left, right).
+
+    ``left`` is ``context`` of the match before (empty for the first) and the gap between the two, ``right`` the
+    first RIGHT characters of the gap behind.
+    """
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["h"])
         span = F.struct(
             start.alias("start"), end.alias("end"), x["h"].alias("hit"),
-            F.right(x["g"], F.lit(LEFT)).alias("left"), F.left(x["r"], F.lit(RIGHT)).alias("right"),
+            context(x["b"], x["g"]).alias("left"), F.left(x["r"], F.lit(RIGHT)).alias("right"),
         )
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
@@ -62,7 +77,11 @@ def located(gaps: Column, hits: Column) -> Column:
 
     def whole(z: Column) -> Column:
         n = F.size(z["hits"])
-        each = F.arrays_zip(F.slice(z["gaps"], F.lit(1), n).alias("g"), z["hits"].alias("h"), F.slice(z["gaps"], F.lit(2), n).alias("r"))
+        before = F.concat(F.array(F.lit("")), F.slice(z["hits"], F.lit(1), F.greatest(n - 1, F.lit(0))))
+        each = F.arrays_zip(
+            F.slice(z["gaps"], F.lit(1), n).alias("g"), z["hits"].alias("h"), F.slice(z["gaps"], F.lit(2), n).alias("r"),
+            F.slice(before, F.lit(1), n).alias("b"),
+        )
         return F.flatten(F.aggregate(let(each, blocks), zero, of_block, lambda acc: acc["out"]))
 
     return let(F.struct(gaps.alias("gaps"), hits.alias("hits")), whole)
