@@ -54,3 +54,12 @@ def test_awkward_rows(spark, sf_dir):
             d2 = spark.createDataFrame(out.collect(), out.schema)
             d = d2
         assert corpus_pipeline.STAGES[-1][1](spark, d, sf_dir).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_one_id_with_two_texts(spark, sf_dir):
+    """No stage loses a document because another one has its id; copies of it still go."""
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in ("the house ", "der Baum "))
+    d = docs(spark, [(2, a, "en", "x"), (2, b, "de", "x"), (2, b, "de", "x"), (3, a, "en", "y")])
+    out = corpus_pipeline.near_duplicates(spark, corpus_pipeline.language(spark, d, sf_dir), sf_dir)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(2, a), (2, b)])
+    assert len(corpus_pipeline.secret_scan(spark, out, sf_dir).collect()) == 2
