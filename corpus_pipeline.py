@@ -1,18 +1,17 @@
 """The corpus pipeline over ``documents``: each stage applies one operator to all that its predecessor kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``, other
-columns that ``docs`` may have pass through. Null or empty texts, null ids, repeated rows and empty tables are handled as
+columns that ``docs`` may have, whatever their names, pass through. Null or empty texts, null ids, repeated rows and empty tables are handled as
 the operators' docstrings say.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, langid, mixing, secrets, simhash
-from quillmill.llm.common import drop_materialized, materialize
+from quillmill.llm.common import drop_materialized, materialize, packed, unpacked
 
 #: A language must have at least this posterior; what no language explains better than that is rejected.
 LEAST_POSTERIOR = 0.5
@@ -29,29 +28,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text")))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    got = langid.predict(docs, model, names=("_lang_pred", "_lang_score"))
-    kept = got.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_POSTERIOR))
-    return kept.select(*[F.coalesce("lang", "_lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    src = packed(docs, text=F.col("text"), lang=F.col("lang"))
+    got = langid.predict(src, model, names=("pred", "score"))
+    kept = got.filter((F.col("pred") != "und") & (F.col("score") >= LEAST_POSTERIOR))
+    return unpacked(kept, docs.columns, lang=F.coalesce("lang", "pred"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash group the document of smallest id; one row of it, if it is repeated.
+    """Keeps of each SimHash group one row: that of smallest id, one of the rows that have it. Null ids come last.
 
-    Rows without an id cannot be named as a group's document and stay.
+    Rows of one id with different texts are different documents: each counts in its own group.
     """
-    classes = simhash.near_duplicates(docs, width=SHINGLE)
-    first = classes.filter(F.col("id") == F.col("component")).select(F.col("id").alias("_first")).distinct()
-    named = docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
-    once = named.withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))).filter("_k = 1").drop("_k")
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return simhash.representatives(docs, width=SHINGLE)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the secrets out of the texts; n_chars follows where a text changes. No document goes."""
-    got = secrets.scan(docs, names=("_candidates", "_secrets", "_redacted"))
-    changed = F.size("_secrets") > 0
-    new = {"text": F.col("_redacted"), "n_chars": F.when(changed, F.length("_redacted").cast("long")).otherwise(F.col("n_chars"))}
-    return got.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    got = secrets.scan(packed(docs, text=F.col("text"), source=F.col("source"), n_chars=F.col("n_chars")))
+    n_chars = F.when(F.size("secrets") > 0, F.length("redacted")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return unpacked(got, docs.columns, text=F.col("redacted"), n_chars=n_chars)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
