@@ -1,7 +1,9 @@
-"""What the two embedding operators share: which vectors count, and arrays of them."""
+"""What the two embedding operators share: which vectors count, arrays of them, and packed one-bit codes."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,3 +21,36 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+@lru_cache(maxsize=8)
+def rotation(dim: int, spread: int, seed: int = 9) -> np.ndarray:
+    """``spread`` independent random rotations one below the other, (spread * dim) x dim, scaled to keep lengths.
+
+    The same on every worker.
+    """
+    rng = np.random.default_rng(seed + dim)
+    out = []
+    for _ in range(spread):
+        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.concatenate(out) / np.sqrt(spread)
+
+
+def pack(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words; missing bits of the last word are zero."""
+    wide = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), dtype=bool)
+    wide[:, : bits.shape[1]] = bits
+    return np.packbits(wide, axis=1).view(np.uint64)
+
+
+def binary(words: np.ndarray) -> pa.Array:
+    """Each row of words as one binary value."""
+    size = words.shape[1] * 8
+    raw = pa.py_buffer(np.ascontiguousarray(words).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.arange(0, size * len(words) + 1, size, dtype=np.int32).tobytes()), raw])
+
+
+def words(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of ``width`` words each as rows of words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, width)

@@ -102,6 +102,7 @@ def test_search_over_many_blocks(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(bitcodes, "CANDIDATES", 64)
+    monkeypatch.setattr(bitcodes, "FINEST", 32)
     monkeypatch.setattr(bitcodes, "QUERIES", 8)
     rng = np.random.default_rng(2)
     rows = [(i, (rng.standard_normal(70) * rng.uniform(0.1, 9)).tolist(), 0) for i in range(400)]
@@ -114,12 +115,31 @@ def test_search_over_many_blocks(spark, monkeypatch):
 
 def test_error_bounds_hold():
     rng = np.random.default_rng(5)
-    x, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))
-    turn = bitcodes.rotation(64)
-    codes = bitcodes.encode(x, turn)
-    est, err = bitcodes.estimate(codes, bitcodes.signs(codes, len(turn)), q, turn)
-    assert np.mean(np.abs(est - q @ x.T) <= err) > 0.9995
-    assert np.abs(est - q @ x.T).mean() < np.abs(q @ x.T).mean() / 3
+    for dim in (64, 70):
+        x, q = rng.standard_normal((2000, dim)) * rng.uniform(0.2, 5, (2000, 1)), rng.standard_normal((50, dim))
+        codes, bits = bitcodes.encode(x), bitcodes.SPREAD * dim
+        turned = np.ascontiguousarray(codes.bits.T)
+        ones = np.bitwise_count(turned).sum(axis=0)
+        exact = q @ x.T
+        for row, one in zip(exact, bitcodes.queries_of(q), strict=True):
+            est, err = bitcodes.estimate(codes, turned, ones, one, bits)
+            assert np.mean(np.abs(est - row) <= err) > 0.995 and np.abs(est - row).mean() < np.abs(row).mean() / 4
+            rough = bitcodes.agreement(codes, turned, one, bits)
+            assert np.corrcoef(rough, row)[0, 1] > 0.9
+
+
+def test_few_candidates_are_left_to_rerank():
+    """On isotropic vectors, the worst case for codes: under 5% of 2,000 candidates reach the threshold's bound."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    codes, bits = bitcodes.encode(x), bitcodes.SPREAD * 64
+    turned = np.ascontiguousarray(codes.bits.T)
+    ones, left = np.bitwise_count(turned).sum(axis=0), []
+    for row, q in zip(x[:100] @ x.T, bitcodes.queries_of(x[:100]), strict=True):
+        est, err = bitcodes.estimate(codes, turned, ones, q, bits)
+        left.append(np.mean(est + err >= np.sort(row)[-21]))
+    assert np.mean(left) < 0.05
 
 
 def test_traversal_is_in_order():
