@@ -174,8 +174,8 @@ def search(
     packed sign bits of its rotated direction, and two scalars. Codes, not vectors, are dealt to units: candidates and
     queries by a hash of their id into blocks, each pair of blocks on some task.
 
-    (1) Units name each query's 2 * k candidates whose signs agree most; the exact products of the 2 * k best of all
-    give the query's threshold, its k-th largest, which its true k-th neighbour cannot fall below. (2) Units estimate
+    (1) Units name each query's candidates whose signs agree most, some 4 * k of all units together; the exact products
+    of the 2 * k best give the query's threshold, the k-th largest, which its true k-th neighbour cannot fall below. (2) Units estimate
     all products from popcounts and name the candidates whose error bound reaches the threshold. Only these fetch
     their vectors, by id, for the exact products that rank them. A bound that is missed (EPSILON standard deviations)
     loses a neighbour near the threshold; nothing else is approximate.
@@ -223,7 +223,7 @@ def search(
         got = base.select("id", "h", "vec", "dim").join(some, ["id", "h"]).join(small(target), "query_id").filter("dim = qdim")
         return got.select("query_id", F.col("id").alias("vec_id"), product(F.col("qvec"), F.col("vec")).alias("score"))
 
-    rough = meet(asked.withColumn("tau", F.lit(None).cast("double")), 2 * k)
+    rough = meet(asked.withColumn("tau", F.lit(None).cast("double")), max(3, -(-4 * k // c_blocks)))
     best = W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "h")
     first = scored(rough.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2 * k))
     kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))

@@ -12,8 +12,8 @@ from quillmill.llm.common import WORD, materialize, packed, shuffle_partitions,
 
 #: Documents of a source in one window of the running sum, about.
 WINDOW_ROWS = 50_000
-#: Steps of the histogram over virtual finish times.
-STEPS = 4096
+#: What the queue of all sources is put in order by: the finish time, then what tells copies of one time apart.
+ORDER = ("finish", "source", "r", "id", "size", "copy")
 
 
 def word_count(text: Column) -> Column:
@@ -64,8 +64,9 @@ def mix(
     source's words come within a document of its target and reruns agree.
 
     Running sums are taken in two levels (a sum per source and hash bucket, then within a bucket), so no task holds
-    a whole source, however large. The global cut is found by two histograms over virtual time of fixed size; only
-    copies in one step of the finer one are put in order.
+    a whole source, however large. The copies, as rows of numbers without texts, are range-sorted over all partitions;
+    the sums of the ranges, one row a partition, tell in which one the budget ends, and a running sum inside that one
+    finds the last copy that is taken. What is not behind it in the order is taken.
 
     Null and blank texts have size 0 and are taken 0 times; a null source is a source of its own; a source of size 0
     has target 0. A null id is hashed like any value; repeated rows are documents of their own. Empty table: empty.
@@ -97,32 +98,28 @@ def mix(
     copies = [F.struct(F.lit(e).alias("copy"), ((F.col("cum") + F.lit(e) * F.col("source_size")) / F.col("target")).alias("finish")) for e in range(int(cap))]
     live = queue.filter("size > 0 and target > 0")
     each = live.select("id", "source", "r", "size", F.explode(F.array(*copies)).alias("c")).select("id", "source", "r", "size", "c.*")
-    low, high, left = 0.0, 2.0, budget
-    for _ in range(2):  # two histograms: the step in which the budget ends, then the step within that step
-        span = (high - low) / STEPS
-        step = F.least(F.greatest(F.floor((F.col("finish") - F.lit(low)) / F.lit(span)), F.lit(-1)), F.lit(STEPS))
-        hist = dict(each.groupBy(step.alias("step")).agg(F.sum("size")).collect())
-        at, got = -1, hist.get(-1, 0)
-        while at < STEPS - 1 and got + hist.get(at + 1, 0) <= budget:
-            got += hist.get(at + 1, 0)
-            at += 1
-        low, high, left = low + (at + 1) * span, low + (at + 2) * span, budget - got
-    edge = W.orderBy("finish", "source", "r", "id", "size", "copy").rowsBetween(W.unboundedPreceding, 0)
-    within = each.filter((F.col("finish") >= F.lit(low)) & (F.col("finish") < F.lit(high)))
-    last = within.withColumn("words", F.sum("size").over(edge)).filter(F.col("words") <= F.lit(left))
-    top = last.agg(F.max(F.struct("finish", "source", "r", "id", "size", "copy"))).first()[0]
+    parts = shuffle_partitions(docs.sparkSession)
+    line = materialize(each.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id()), "mix")
+    got, cut = 0, None
+    for part, words in sorted(map(tuple, line.groupBy("part").agg(F.sum("size")).collect())):
+        if got + words > budget:
+            cut = part
+            break
+        got += words
     taken = F.lit(0)
+    if cut is None:
+        last, behind = None, F.lit(False)
+    else:
+        inside = line.filter(F.col("part") == cut)
+        run = F.sum("size").over(W.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0))
+        first = inside.withColumn("words", run).filter(F.col("words") > F.lit(budget - got))
+        last = first.agg(F.min(F.struct(*ORDER))).first()[0]  # the first copy that is beyond the budget
     for c in copies:
-        f = c["finish"]
-        ok = f < F.lit(low)
-        if top is not None:
-            mine = F.struct(f.alias("finish"), F.col("source"), F.col("r"), F.col("id"), F.col("size"), c["copy"].alias("copy"))
-            limit = F.struct(
-                F.lit(top["finish"]).alias("finish"), F.lit(top["source"]).cast("string").alias("source"), F.lit(top["r"]).alias("r"),
-                F.lit(top["id"]).cast(kind).alias("id"), F.lit(top["size"]).alias("size"), F.lit(top["copy"]).alias("copy"),
-            )
-            ok = ok | ((f >= F.lit(low)) & (f < F.lit(high)) & (mine <= limit))
-        taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & ok, 1).otherwise(0)
+        if last is not None:
+            own = F.struct(c["finish"].alias("finish"), "source", "r", "id", "size", c["copy"].alias("copy"))
+            kinds = dict(line.dtypes)
+            behind = own >= F.struct(*[F.lit(last[k]).cast(kinds[k]).alias(k) for k in ORDER])
+        taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & ~behind, 1).otherwise(0)
     out = queue.withColumn("times", taken.cast("int"))
     return out.select("id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 

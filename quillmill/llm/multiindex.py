@@ -28,7 +28,7 @@ FEWEST, PER_CENTROID, MOST = 20_000, 16, 200_000
 #: Classes in a cell of the grid, about, labels together: the grid has as many cells as that asks for.
 CELL = 128
 #: Codes of one cell compared in one unit, and vectors verified in one unit.
-BLOCK = 2048
+BLOCK = 1024
 #: Sampled pairs at the threshold that the traversal's length is set by.
 TRIALS = 4096
 #: Bits of the sign codes that tell which probes of a cell may be near each other.

@@ -38,6 +38,45 @@ def check(rows, got, longest_matters=True):
     assert abs(sum(taken.values()) - sum(want.values())) <= slack
 
 
+def plain_taken(spark, rows, weights=(3, 1, 2), share=1.5, cap=2):
+    """Weighted fair queueing by hand: every copy's finish time, all in one sorted list, until the budget is used up."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, id bigint")
+    turn = {r.k: r.r for r in df.select("k", F.xxhash64(F.col("id").cast("string"), F.lit(6)).alias("r")).collect()}
+    size = [len(WORD.findall(r[1] or "")) for r in rows]
+    of = {}
+    for k, r in enumerate(rows):
+        of.setdefault(r[3], []).append(k)
+    sizes = {s: sum(size[k] for k in ks) for s, ks in of.items()}
+    goal = plain_targets(sizes, weights, share, cap)
+    low = lambda x: (x is not None, x if x is not None else 0)
+    line = []
+    for s, ks in of.items():
+        cum = 0
+        for k in sorted(ks, key=lambda k: (turn[k] % 2**64, low(rows[k][0]), size[k])):
+            cum += size[k]
+            for e in range(cap):
+                if size[k] and goal[s]:
+                    line.append(((cum + e * sizes[s]) / goal[s], (s is not None, (s or "").encode()), turn[k], low(rows[k][0]), size[k], e, k))
+    times, left = [0] * len(rows), sum(goal.values())
+    for *_, n, _, k in sorted(line):
+        left -= n
+        if left < 0:
+            break
+        times[k] += 1
+    return times
+
+
+def test_taken_of_each_document(spark, sf_dir, monkeypatch):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = random.Random(16)
+    made = [(i, "w " * rng.randint(0, 30), "en", rng.choice(["hot", "hot", "a", "b", None])) for i in range(500)]
+    for some in (rows, made):
+        got = {r.id: r.times for r in mixing.mix(docs(spark, some)).collect()}
+        assert [got[r[0]] for r in some] == plain_taken(spark, some)
+
+
 def test_whole_table(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in d.collect()]
