@@ -97,11 +97,18 @@ def split_bloated(member: DataFrame, edges: DataFrame, tau: float, factor: float
     return member.join(again, "node", "left").select("node", F.coalesce("new", "cluster").alias("cluster"))
 
 
-def merge_fragments(member: DataFrame, base: DataFrame, edges: DataFrame, tau: float, limit: int = 100_000) -> DataFrame:
+def by_component(rows: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """``rows`` with the ``component`` of their ``node`` (long) under ``edges`` (a, b); nodes without edges are their own."""
+    comp = components(edges).select(F.col("node").alias("_node"), "component")
+    return rows.join(comp, rows[node] == comp["_node"], "left").drop("_node").withColumn("component", F.coalesce("component", F.col(node)))
+
+
+def merge_fragments(member: DataFrame, base: DataFrame, edges: DataFrame, tau: float) -> DataFrame:
     """Single nodes that a split left over join the cluster of their most similar node, if that is near enough.
 
-    In order of id, one after the other: two fragments may pick each other. Only the fragments and their best
-    partners go to the driver, and at most ``limit`` of them.
+    In order of id, one after the other: a fragment that another one has joined is no single node any more and stays.
+    Only fragments that pick each other, directly or by others, depend on that order; each such group is gone through
+    by one task, which holds three numbers a fragment.
     """
     size = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     was = base.groupBy("cluster").agg(F.count(F.lit(1)).alias("n0")).join(base, "cluster").select("node", "n0")
@@ -109,15 +116,20 @@ def merge_fragments(member: DataFrame, base: DataFrame, edges: DataFrame, tau: f
     near = symmetric(edges, "a", "b").join(alone, "node").filter(F.col("sim") >= 0.8 * tau)
     best = first_rows(near, ["node"], [F.desc("sim"), F.col("other")]).select("node", "other")
     best = best.join(member.select(F.col("node").alias("other"), F.col("cluster").alias("to")), "other")
-    rows = best.select("node", "other", "to").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} fragments: raise tau or the limit")
-    where = {r["node"]: r["node"] for r in rows}
-    for r in sorted(rows, key=lambda r: r["node"]):
-        if any(where[x] == r["node"] and x != r["node"] for x in where):
-            continue  # another fragment has joined it: it is no single node any more
-        where[r["node"]] = where.get(r["other"], r["to"])
-    moved = member.sparkSession.createDataFrame(list(where.items()), "node long, new long")
+    best = materialize(best.select("node", "other", "to"), "fragments")
+    linked = best.join(best.select(F.col("node").alias("other")), "other", "left_semi").select(F.col("node").alias("a"), F.col("other").alias("b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        where = dict(zip(pdf["node"], pdf["node"], strict=True))
+        joined: set[int] = set()
+        for node, other, to in zip(pdf["node"], pdf["other"], pdf["to"], strict=True):
+            if node not in joined:
+                where[node] = where.get(other, to)
+                joined.add(where[node])
+        return pd.DataFrame({"node": list(where), "new": list(where.values())})
+
+    moved = by_component(best, "node", linked).groupBy("component").applyInPandas(run, "node long, new long")
     return member.join(moved, "node", "left").select("node", F.coalesce("new", "cluster").alias("cluster"))
 
 
@@ -205,58 +217,67 @@ def posterior(books: DataFrame, features: DataFrame, least: int = 3) -> DataFram
     return got.select("node", F.when(stay, F.col("cluster")).when(move, F.col("best")).when(F.col("cluster") != "", F.col("cluster")).otherwise(F.coalesce("first", F.lit(""))).alias("cluster"))
 
 
-def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5, limit: int = 200_000) -> dict[str, str]:
-    """Which cluster each one ends in, when clusters that share ``least`` terms merge one pair after the other.
+def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5) -> DataFrame:
+    """(cluster, merged): where each cluster ends, when clusters that share ``least`` terms merge one pair at a time.
 
     Clusters come in order of their smallest book; the first pair in that order merges, the larger side keeps its
-    name (the first on ties) and its place, with the terms of both; then again. What goes to the driver is one row
-    a cluster, and one a cluster and shared term, the latter bounded by ``limit``.
+    name (the first on ties) and its place, with the terms of both; then again. Clusters that no chain of shared terms
+    joins cannot meet, so each component of the graph of shared terms is merged by itself, in a task that holds its
+    clusters' terms. Nothing reaches the driver.
     """
     of = features.join(books, "node").select("cluster", "term").distinct()
-    shared = of.join(of.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("term"), "term", "left_semi")
-    rows = shared.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} shared cluster terms: give fewer terms a book, or a higher limit")
-    terms: dict[str, set[str]] = {}
-    for r in rows:
-        terms.setdefault(r["cluster"], set()).add(r["term"])
-    heads = books.groupBy("cluster").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first").collect()
-    order = [r["cluster"] for r in heads]
-    size = {r["cluster"]: r["n"] for r in heads}
-    end = {c: c for c in order}
-    at = 0
-    while at < len(order):
-        a = order[at]
-        b = next((x for x in order[at + 1 :] if len(terms.get(a, set()) & terms.get(x, set())) >= least), None)
-        if b is None:
-            at += 1
-            continue
-        main, sub = (a, b) if size[a] >= size[b] else (b, a)
-        terms[main] = terms.get(main, set()) | terms.pop(sub, set())
-        size[main] += size.pop(sub)
-        order.remove(sub)
-        end = {c: main if e == sub else e for c, e in end.items()}
-        at = 0
-    return end
+    heads = books.groupBy("cluster").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    posted = of.join(heads.select("cluster", "first"), "cluster")
+    star = posted.groupBy("term").agg(F.min("first").alias("b"))
+    edges = posted.join(star, "term").select(F.col("first").alias("a"), "b").distinct()
+    terms = of.groupBy("cluster").agg(F.collect_list("term").alias("terms"))
+    rows = by_component(heads.join(terms, "cluster", "left"), "first", edges)
 
-
-def rename_clusters(named: DataFrame, counts: DataFrame, preferred: DataFrame) -> list[tuple[str, str]]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first")
+        order, end = list(pdf["cluster"]), {c: c for c in pdf["cluster"]}
+        size = dict(zip(pdf["cluster"], pdf["n"], strict=True))
+        has = {c: set() if t is None else set(t) for c, t in zip(pdf["cluster"], pdf["terms"], strict=True)}
+        at = 0
+        while at < len(order):
+            a = order[at]
+            b = next((x for x in order[at + 1 :] if len(has[a] & has[x]) >= least), None)
+            if b is None:
+                at += 1
+                continue
+            main, sub = (a, b) if size[a] >= size[b] else (b, a)
+            has[main] |= has.pop(sub)
+            size[main] += size.pop(sub)
+            order.remove(sub)
+            end = {c: main if e == sub else e for c, e in end.items()}
+            at = 0  # the merged cluster may share enough with an earlier one now
+        return pd.DataFrame({"cluster": list(end), "merged": list(end.values())})
+
+    return rows.groupBy("component").applyInPandas(run, "cluster string, merged string")
+
+
+def rename_clusters(named: DataFrame, counts: DataFrame, preferred: DataFrame) -> DataFrame:
     """(old, new) names: each cluster's most common term, preferred terms first; a name that is taken stays free.
 
-    named (cluster), counts (cluster, term, n), preferred (term). One row a cluster reaches the driver, where names
-    are given in order of the old ones.
+    named (cluster), counts (cluster, term, n), preferred (term). Names are given in order of the old ones; that order
+    only counts among clusters whose old and new names are joined by others', so each such group is one task's.
     """
     known = counts.join(preferred.select("term", F.lit(1).alias("k")), "term", "left")
     top = first_rows(known, ["cluster"], [F.coalesce("k", F.lit(0)).desc(), F.desc("n"), F.col("term")]).select("cluster", "term")
-    rows = {r["cluster"]: r["term"] for r in named.join(top, "cluster", "left").collect()}
-    taken, out = set(rows), []
-    for old in sorted(rows):
-        new = rows[old] or old
-        if new != old and new not in taken:
-            taken.discard(old)
-            taken.add(new)
-            out.append((old, new))
-    return out
+    wish = named.select("cluster").distinct().join(top, "cluster", "left").select(F.col("cluster").alias("old"), F.coalesce("term", "cluster").alias("new"))
+    wish = wish.withColumn("node", F.xxhash64("old"))
+    edges = wish.select(F.col("node").alias("a"), F.xxhash64("new").alias("b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(pdf["old"]), []
+        for old, new in sorted(zip(pdf["old"], pdf["new"], strict=True)):
+            if new not in taken:
+                taken.discard(old)
+                taken.add(new)
+                out.append((old, new))
+        return pd.DataFrame(out, columns=["old", "new"])
+
+    return by_component(wish, "node", edges).groupBy("component").applyInPandas(run, "old string, new string")
 
 
 def orientation(directed: Column, source: Column, a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
@@ -10,14 +10,21 @@ from quillmill.operators import graph as G
 from quillmill.operators import relational as R
 from quillmill.operators import similarity as S
 from quillmill.operators import terms as O
+from quillmill.operators.positions import numbered
 from quillmill.plans import sqltext as Q
 from quillmill.plans.registry import query
 from quillmill.tables import Tables
 
 
+def book_name() -> Column:
+    """A book: what a source has in a language among 500 documents, so that books grow in number with the table."""
+    part = F.concat_ws("-", "source", F.expr("doc_id div 500").cast("string"))
+    return F.concat_ws("/", part, "lang")
+
+
 def vectors(t: Tables) -> DataFrame:
-    """(doc, term, w, rank): the top 80 weighted terms of each source and language, bodies 1, first lines 2."""
-    name = F.concat_ws("/", "source", "lang").alias("book")
+    """(doc, term, w, rank): the top 80 weighted terms of each book, bodies 1, first lines 2."""
+    name = book_name().alias("book")
     body = t.documents.select(name, F.col("doc_id").alias("piece"), "text", F.lit(1.0).alias("weight"))
     head = t.documents.select(name, (F.lit(-1) - F.col("doc_id")).alias("piece"), F.get(F.split("text", "\r?\n", -1), F.lit(0)).alias("text"), F.lit(2.0).alias("weight"))
     return O.weighted_terms(body.unionByName(head), "book", "piece", "text", "weight").withColumnRenamed("book", "doc")
@@ -181,40 +188,62 @@ def _(t):
     v = vectors(t).filter("rank <= 15").select(F.col("doc").alias("name"), "term")
     ids = v.select("name").distinct().withColumn("node", F.xxhash64("name"))
     books = ids.select("node", F.col("name").alias("cluster"))
-    end = G.merge_clusters(books, v.join(ids, "name").select("node", "term"))
-    return t.spark.createDataFrame(sorted(end.items()), "cluster string, merged string")
+    return G.merge_clusters(books, v.join(ids, "name").select("node", "term"))
 
 
 @query("GR17_cluster_rename")
 def _(t):
     v = vectors(t).select(F.substring_index("doc", "/", -1).alias("cluster"), "doc", "term")
     n = v.groupBy("cluster", "term").agg(F.count_distinct("doc").alias("n"))
-    got = G.rename_clusters(v.select("cluster").distinct(), n, t.spark.createDataFrame([("eau",)], "term string"))
-    return t.spark.createDataFrame(got or [], "old string, new string")
+    return G.rename_clusters(v.select("cluster").distinct(), n, t.spark.createDataFrame([("eau",)], "term string"))
 
 
+# a reader's chat turns are notes on the book that holds the document of the conversation's number; judgements of two
+# documents labelled one after the other are feedback on their books' edge
 FLAGSHIP = f"""
 with {Q.TERMS}, {Q.IDF}, {Q.PAIRS.format(tau=0.06)},
-scored as (select a, b, least(100.0::double, round(100 * round(sim, 9), 1)) as strength, array_to_string(reasons, ',') as reasons from pair),
+home as (select doc_id, {Q.BOOK} as book from documents),
+n as (select distinct book as doc, conv_id * 1000 + turn as note, unnest({Q.words('c.text')}) as term from conversations c join home on doc_id = conv_id where role = 'user'),
+ex as (select a, b, unnest(reasons) as term from pair),
+ha as (select distinct ex.a, ex.b from ex join n on n.doc = ex.a and n.term = ex.term), hb as (select distinct ex.a, ex.b from ex join n on n.doc = ex.b and n.term = ex.term),
+cr as (select a, b, count(*) as c from (select distinct p.a, p.b, x.note as na, y.note as nb from pair p join n x on x.doc = p.a join n y on y.doc = p.b and y.term = x.term) group by a, b),
+scored as (select pair.a, pair.b, least(100.0::double, round(round(100 * round(sim, 9), 1) + case when len(reasons) > 0 then least(15, (ha.a is not null)::int * 2 + (hb.a is not null)::int * 2 + 3 * least(2, coalesce(cr.c, 0))) else 0 end, 1)) as strength, array_to_string(reasons, ',') as reasons
+  from pair left join ha on ha.a = pair.a and ha.b = pair.b left join hb on hb.a = pair.a and hb.b = pair.b left join cr on cr.a = pair.a and cr.b = pair.b),
 k as (select distinct doc, split_part(doc, '/', 2) as c from vec),
 same as (select x.doc as a, y.doc as b, 8.0::double as strength, 'same domain' as reasons from k x join k y on x.c = y.c and x.doc < y.doc where not exists (select 1 from pair where pair.a = x.doc and pair.b = y.doc)),
 every as (select * from scored union all select * from same),
-fb as (select a, b, case when a like '%/en' and b like '%/en' then 'confirmed' when a like 'src3/%' then 'ignored' end as feedback from every)
-select every.*, fb.feedback from every join fb on fb.a = every.a and fb.b = every.b
+said as (select labels.doc_id, book, quality, lead(book) over (order by labels.doc_id) as next from labels join home on home.doc_id = labels.doc_id),
+fb as (select least(book, next) as a, greatest(book, next) as b, case max(quality) when 1 then 'confirmed' else 'ignored' end as feedback from said where next is not null and book <> next group by all)
+select every.*, fb.feedback from every left join fb on fb.a = every.a and fb.b = every.b
 """
 
 
+def noted(t: Tables) -> DataFrame:
+    """(doc, note, term): readers' chat turns as notes on books."""
+    home = t.documents.select(F.col("doc_id").alias("book_doc"), book_name().alias("doc"))
+    n = t.notes.join(home, F.col("book") == F.col("book_doc"))
+    return n.select("doc", (F.col("book") * 1000 + F.col("note")).alias("note"), F.explode(T.raw_words(F.col("text"))).alias("term")).distinct()
+
+
+def feedback(t: Tables) -> DataFrame:
+    """(a, b, feedback): one judgement a pair of books, from documents labelled one after the other."""
+    home = t.documents.select("doc_id", book_name().alias("book"))
+    at = numbered(t.labels.join(home, "doc_id").select("doc_id", "book", "quality"), ["doc_id"], "at")
+    after = at.select((F.col("at") - 1).alias("at"), F.col("book").alias("next"))
+    got = at.join(after, "at").filter("book <> next").groupBy(F.least("book", "next").alias("a"), F.greatest("book", "next").alias("b"))
+    return got.agg(F.when(F.max("quality") == 1, "confirmed").otherwise("ignored").alias("feedback"))
+
+
 def cross_graph(t: Tables) -> DataFrame:
-    """Trace A as one plan: pieces, terms, idf, self-join, score, same-domain edges, feedback kept on all edges."""
+    """Trace A as one plan: pieces, terms, idf, self-join, score with note weight, same-domain edges, feedback by pair."""
     wv = weighted_vectors(t)
     pairs = S.cosine_pairs(wv)
-    scored = pairs.select("a", "b", F.least(F.lit(100.0), S.pair_score(F.round("sim", 9))).alias("strength"), F.array_join("reasons", ",").alias("reasons"))
+    weight = S.note_weight(pairs.select("a", "b", "reasons"), noted(t))
+    scored = pairs.join(weight, ["a", "b"]).select("a", "b", S.pair_score(F.round("sim", 9), F.col("weight")).alias("strength"), F.array_join("reasons", ",").alias("reasons"))
     c = wv.select(F.col("doc").alias("i"), F.substring_index("doc", "/", -1).alias("c")).distinct()
     same = R.shared_key_pairs(c, "i", "c", 1).select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     every = scored.unionByName(same.select("a", "b", F.lit(8.0).alias("strength"), F.lit("same domain").alias("reasons")))
-    both = F.endswith("a", F.lit("/en")) & F.endswith("b", F.lit("/en"))
-    feedback = F.when(both, "confirmed").when(F.startswith("a", F.lit("src3/")), "ignored")
-    return every.withColumn("feedback", feedback)
+    return every.join(feedback(t), ["a", "b"], "left")
 
 
 @query("GR18_cross_graph", FLAGSHIP)
@@ -259,21 +288,6 @@ def _(t):
 with src as (select item_id as src, -1::bigint as doc, term from (select item_id, term from (select item_id, unnest({Q.words('text')}) as term from benchmark) where term not in ({Q.STOP}) group by item_id, term
   qualify row_number() over (partition by item_id order by count(*) desc, term) <= 12)),
 p as (select distinct doc_id as doc, pos as point, unnest({Q.words('line')}) as term from {L_}),
-m as (select distinct src.src, p.doc, p.point, p.term from p join src using (term)),
-pp as (select src, doc, least(10, count(*)) as points from (select src, doc, point from m group by all) group by all),
-tot as (select src, doc, count(distinct term) as matched, array_to_string(list(distinct term order by term)[1:6], ',') as common from m group by all)
-select tot.src, tot.doc, matched, common, points from tot join pp using (src, doc)
-""")
-def _(t):
-    src, p = lookup_postings(t)
-    got = G.appears_in(src, p, p.select("doc", F.col("point").alias("entry"), "term").filter("false"))
-    return got.select("src", "doc", "matched", F.array_join("common", ",").alias("common"), "points")
-
-
-@query("GR21_appears_in_whole", rf"""
-with src as (select item_id as src, -1::bigint as doc, term from (select item_id, term from (select item_id, unnest({Q.words('text')}) as term from benchmark) where term not in ({Q.STOP}) group by item_id, term
-  qualify row_number() over (partition by item_id order by count(*) desc, term) <= 12)),
-p as (select distinct doc_id as doc, pos as point, unnest({Q.words('line')}) as term from {L_}),
 h as (select conv_id as doc, turn as entry, term from (select conv_id, turn, unnest({Q.words('text')}) as term from conversations where role = 'assistant') where term not in ({Q.STOP}) group by conv_id, turn, term
   qualify row_number() over (partition by conv_id, turn order by count(*) desc, term) <= 20),
 m as (select distinct src.src, p.doc, p.point, p.term from p join src using (term)),

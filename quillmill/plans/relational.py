@@ -91,12 +91,7 @@ def _(t):
     return t.nation.select(F.to_json(F.struct("n_nationkey", "n_name")).alias("json"))
 
 
-@query("SK9_content_hash", "select doc_id, sha256(text) as sha, strlen(text) as bytes from documents where strlen(text) <= 20000")
-def _(t):
-    return t.documents.filter(F.octet_length("text") <= 20000).select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"))
-
-
-@query("SK9_content_hash_whole", "select doc_id, sha256(text) as sha, strlen(text) as bytes from documents where strlen(text) <= 209715200")
+@query("SK9_content_hash", "select doc_id, sha256(text) as sha, strlen(text) as bytes from documents where strlen(text) <= 209715200")
 def _(t):
     return t.documents.filter(F.octet_length("text") <= 200 * 1024 * 1024).select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("bytes"))
 
@@ -278,15 +273,6 @@ def _(t):
 @query("JN9_index_probe", r"""
 with p as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}')) as w from benchmark),
 d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}')) as w from documents)
-select item_id, doc_id, count(*) as hits from p join d using (w) where item_id <> doc_id group by all having count(*) >= 12
-""")
-def _(t):
-    return probe_hits(t).filter("hits >= 12")
-
-
-@query("JN9_index_probe_whole", r"""
-with p as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}')) as w from benchmark),
-d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\-]{2,}')) as w from documents)
 select item_id, doc_id, count(*) as hits from p join d using (w) where item_id <> doc_id group by all
 """)
 def _(t):

@@ -10,10 +10,13 @@ def words(text: str) -> str:
     return RAW.format(text)
 
 
-# the top 200 terms of each document, then the weighted top 80 of each source and language
+# a book: what a source has in a language among 500 documents
+BOOK = "source || '-' || (doc_id // 500) || '/' || lang"
+
+# the top 200 terms of each document, then the weighted top 80 of each book
 TERMS = rf"""
-piece as (select source || '/' || lang as book, doc_id, text, 1.0::double as weight from documents
-  union all select source || '/' || lang, -1 - doc_id, string_split_regex(text, '\r?\n')[1], 2.0::double from documents),
+piece as (select {BOOK} as book, doc_id, text, 1.0::double as weight from documents
+  union all select {BOOK}, -1 - doc_id, string_split_regex(text, '\r?\n')[1], 2.0::double from documents),
 raw as (select book, doc_id, weight, unnest({words("text")}) as term from piece),
 tf as (select book, doc_id, weight, term, count(*) as n from raw where term not in ({STOP}) group by book, doc_id, weight, term
   qualify row_number() over (partition by book, doc_id, weight order by count(*) desc, term) <= 200),

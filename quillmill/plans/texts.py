@@ -65,22 +65,12 @@ def _(t):
     return t.benchmark.select("item_id", F.explode(T.query_tokens(F.col("text"))).alias("token"))
 
 
-@query("TX5_cluster_name", "select doc_id, trim(regexp_replace(left(text, 120), '[^一-鿿A-Za-z0-9]+', ' ', 'g')) as name from documents")
-def _(t):
-    return t.documents.select("doc_id", T.clean_cluster_name(F.left("text", F.lit(120))).alias("name"))
-
-
-@query("TX5_cluster_name_whole", "select doc_id, trim(regexp_replace(text, '[^一-鿿A-Za-z0-9]+', ' ', 'g')) as name from documents")
+@query("TX5_cluster_name", "select doc_id, trim(regexp_replace(text, '[^一-鿿A-Za-z0-9]+', ' ', 'g')) as name from documents")
 def _(t):
     return t.documents.select("doc_id", T.clean_cluster_name(F.col("text")).alias("name"))
 
 
-@query("TX6_profile_name", r"select doc_id, trim(regexp_replace(left(text, 120), '[^\p{L}\p{M}\p{N}_]+', ' ', 'g')) as name from documents")
-def _(t):
-    return t.documents.select("doc_id", T.clean_profile_name(F.left("text", F.lit(120))).alias("name"))
-
-
-@query("TX6_profile_name_whole", r"select doc_id, trim(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', ' ', 'g')) as name from documents")
+@query("TX6_profile_name", r"select doc_id, trim(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', ' ', 'g')) as name from documents")
 def _(t):
     return t.documents.select("doc_id", T.clean_profile_name(F.col("text")).alias("name"))
 
@@ -91,22 +81,12 @@ def _(t):
     return t.part.select("p_partkey", T.clean_title(raw).alias("title"))
 
 
-@query("TX8_strip_latex", r"""select item_id, regexp_replace(regexp_replace('\frac{a1}{b} ' || left(text, 50) || ' \alpha {x{y}}', '\{[^{}\n]*[A-Za-z0-9\\][^{}\n]*\}', ' ', 'g'), '\\[A-Za-z]+', ' ', 'g') as t from benchmark""")
-def _(t):
-    return t.benchmark.select("item_id", T.strip_latex(F.concat(F.lit("\\frac{a1}{b} "), F.left("text", F.lit(50)), F.lit(" \\alpha {x{y}}"))).alias("t"))
-
-
-@query("TX8_strip_latex_whole", r"""select item_id, regexp_replace(regexp_replace('\frac{a1}{b} ' || text || ' \alpha {x{y}}', '\{[^{}\n]*[A-Za-z0-9\\][^{}\n]*\}', ' ', 'g'), '\\[A-Za-z]+', ' ', 'g') as t from benchmark""")
+@query("TX8_strip_latex", r"""select item_id, regexp_replace(regexp_replace('\frac{a1}{b} ' || text || ' \alpha {x{y}}', '\{[^{}\n]*[A-Za-z0-9\\][^{}\n]*\}', ' ', 'g'), '\\[A-Za-z]+', ' ', 'g') as t from benchmark""")
 def _(t):
     return t.benchmark.select("item_id", T.strip_latex(F.concat(F.lit("\\frac{a1}{b} "), F.col("text"), F.lit(" \\alpha {x{y}}"))).alias("t"))
 
 
-@query("TX10_fragments", "select doc_id, false as fragment, 0::bigint as inner_ from documents")
-def _(t):
-    return t.documents.select("doc_id", T.is_fragment(F.left("text", F.lit(3))).alias("fragment"), F.size(T.inner_bigrams(F.left("text", F.lit(50)))).cast("long").alias("inner_"))
-
-
-@query("TX10_fragments_whole")
+@query("TX10_fragments")
 def _(t):
     text = F.col("text")
     every = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(f"[{T.HAN}]+|[A-Za-z][A-Za-z0-9_]*"), F.lit(0)), T.han_bigrams(text)))
@@ -180,12 +160,7 @@ def _(t):
     return R.first_rows(c, ["doc_id"], [level, F.desc("n"), F.col("term")]).select("doc_id", "term")
 
 
-@query("TX27_mask", "select c_custkey, left(c_name, 3) || repeat('*', length(c_name) - 7) || right(c_name, 4) as k, repeat('*', length(c_mktsegment)) as s from customer where length(c_mktsegment) <= 8")
-def _(t):
-    return t.customer.filter(F.length("c_mktsegment") <= 8).select("c_custkey", T.mask_key(F.col("c_name")).alias("k"), T.mask_key(F.col("c_mktsegment")).alias("s"))
-
-
-@query("TX27_mask_whole", "select c_custkey, left(c_name, 3) || repeat('*', length(c_name) - 7) || right(c_name, 4) as k, case when length(c_mktsegment) <= 8 then repeat('*', length(c_mktsegment)) else left(c_mktsegment, 3) || repeat('*', length(c_mktsegment) - 7) || right(c_mktsegment, 4) end as s from customer")
+@query("TX27_mask", "select c_custkey, left(c_name, 3) || repeat('*', length(c_name) - 7) || right(c_name, 4) as k, case when length(c_mktsegment) <= 8 then repeat('*', length(c_mktsegment)) else left(c_mktsegment, 3) || repeat('*', length(c_mktsegment) - 7) || right(c_mktsegment, 4) end as s from customer")
 def _(t):
     return t.customer.select("c_custkey", T.mask_key(F.col("c_name")).alias("k"), T.mask_key(F.col("c_mktsegment")).alias("s"))
 
@@ -235,10 +210,10 @@ def _(t):
     return got.select("conv_id", F.array_join(F.transform("l", lambda s: F.left(s["text"], F.lit(300))), "\n").alias("t"))
 
 
-@query("TX37_context_blocks", "select q.page_id, string_agg('[' || p.page_id || '] ' || left(p.html, 80), chr(10) order by p.page_id) as block from pages q join pages p on p.page_id between q.page_id - 1 and q.page_id + 1 group by q.page_id")
+@query("TX37_context_blocks", "select q.page_id, string_agg('[' || p.page_id || '] ' || p.html, chr(10) order by p.page_id) as block from pages q join pages p on p.page_id between q.page_id - 1 and q.page_id + 1 group by q.page_id")
 def _(t):
     q = t.pages.select(F.col("page_id").alias("q"), F.explode(F.sequence(F.col("page_id") - 1, F.col("page_id") + 1)).alias("page_id"))
-    line = F.concat(F.lit("["), F.col("page_id").cast("string"), F.lit("] "), F.left("html", F.lit(80)))
+    line = F.concat(F.lit("["), F.col("page_id").cast("string"), F.lit("] "), F.col("html"))
     got = q.join(t.pages, "page_id").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("page_id", line.alias("l")))).alias("l"))
     return got.select(F.col("q").alias("page_id"), F.array_join(F.transform("l", lambda s: s["l"]), "\n").alias("block"))
 
@@ -318,13 +293,7 @@ def _(t):
     return t.documents.select("doc_id", F.explode(run("text")).alias("n")).select("doc_id", "n.*")
 
 
-@query("TX38_plain_text", "select doc_id, text from documents where lang <> 'de'")
-def _(t):
-    d = t.documents.filter("lang <> 'de'")
-    return d.select("doc_id", U.plain_text(F.lit("md"), F.col("text")).alias("text"))
-
-
-@query("TX38_plain_text_whole")
+@query("TX38_plain_text")
 def _(t):
     books = t.documents.select(F.lit("md").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = t.pages.select(F.lit("epub").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))

@@ -79,17 +79,17 @@ def epub_chapters(raw: bytes) -> list[tuple[int, str, str]]:
         opf = ElementTree.fromstring(z.read(root))
         items = {i.get("id"): i for i in opf.iterfind(".//o:manifest/o:item", _NS)}
         here = posixpath.dirname(root)
-        images = [i.get("href") for i in items.values() if (i.get("media-type") or "").startswith("image/")]
+        links = [i.get("href") for i in items.values() if (i.get("media-type") or "").startswith("image/")]
+        images = {posixpath.normpath(posixpath.join(here, x)): f"images/{posixpath.basename(x)}" for x in links}
         for ref in opf.iterfind(".//o:spine/o:itemref", _NS):
             item = items.get(ref.get("idref"))
             if item is None or "nav" in (item.get("properties") or "").split():
                 continue
             at = posixpath.normpath(posixpath.join(here, item.get("href")))
             folder = posixpath.dirname(at)
-            names = {posixpath.relpath(posixpath.join(here, x), folder or "."): f"images/{posixpath.basename(x)}" for x in images}
             html = z.read(at).decode("utf-8", "replace")
             body = re.search(r"(?is)<body[^>]*>(.*)</body>", html)
-            clean = scrub(body[1] if body else html, names)
+            clean = scrub(body[1] if body else html, images, folder)
             head = re.search(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>", clean)
             text = html_text(clean)
             if text or "<img" in clean:

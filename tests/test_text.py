@@ -78,6 +78,12 @@ def test_html():
     assert text_udf.scrub(dirty, {"i.png": "images/i.png"}) == '<p>a<a>l</a>b<img src="images/i.png"/></p>'
     assert text_udf.scrub('<a title="x&quot; onerror=&quot;y">k</a>') == '<a title="x&quot; onerror=&quot;y">k</a>'
     assert text_udf.html_text(None) == "" and text_udf.scrub("") == ""
+    images = {"OPS/img/a.svg": "images/a.svg", "b.png": "images/b.png"}
+    page = '<img src="../img/a.svg#part"><img src="./x/../../img/a.svg"><img src="../../b.png"><a href="#here">k</a><a href="other.html#x">l</a>'
+    want = '<img src="images/a.svg#part"><img src="images/a.svg"><img src="images/b.png"><a href="#here">k</a><a href="other.html#x">l</a>'
+    assert text_udf.scrub(page, images, "OPS/text") == want
+    assert text_udf.scrub("<iframe>a<iframe>b</iframe>c</iframe>d</iframe>e<meta>f<object>g") == "def"
+    assert text_udf.html_text("a<script>b<style>c</script>d</style>e<br>f<br/>g</p>") == "ade\nf\ng"
 
 
 def test_chunks():

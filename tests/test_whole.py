@@ -26,19 +26,19 @@ def test_one_shared_word_is_a_hit(run):
     items = [(2, "beta gamma"), (7, "alpha delta beta"), (8, "omega")]
     words = lambda x: set(re.findall(r"[a-z][a-z\-]{2,}", x.lower()))
     want = {(i, d, len(words(a) & words(b))) for i, a in items for d, b in docs if i != d and words(a) & words(b)}
-    got = run("JN9_index_probe_whole", documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    got = run("JN9_index_probe", documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
     assert {tuple(r) for r in got} == want and len(got) == len(want) == 4
 
 
 def test_longer_keys_are_masked(run):
     made = [(1, "Customer#1", "BUILDING"), (2, "Customer#2", "AUTOMOBILE"), (3, "Customer#3", "MACHINERY"), (4, "Customer#4", None)]
-    got = run("TX27_mask_whole", customer=(made, "c_custkey long, c_name string, c_mktsegment string"))
+    got = run("TX27_mask", customer=(made, "c_custkey long, c_name string, c_mktsegment string"))
     assert {r.c_custkey: r.s for r in got} == {1: "********", 2: "AUT***BILE", 3: "MAC**NERY", 4: None}
 
 
 def test_all_languages_and_both_formats(run):
     docs = [(1, "<b>eins</b>", "de"), (2, "two", "en"), (3, "three", None)]
-    got = run("TX38_plain_text_whole", documents=(docs, "doc_id long, text string, lang string"), pages=([(1, "<p>one</p><script>x()</script>")], "page_id long, html string"))
+    got = run("TX38_plain_text", documents=(docs, "doc_id long, text string, lang string"), pages=([(1, "<p>one</p><script>x()</script>")], "page_id long, html string"))
     assert {(r.kind, r.id): r.text.strip() for r in got} == {("md", 1): "<b>eins</b>", ("md", 2): "two", ("md", 3): "three", ("epub", 1): "one"}
 
 
@@ -49,16 +49,16 @@ def test_whole_names_are_cleaned(run):
     made = [(1, LONG + "Ｔａｉｌ 图 论 (end)"), (2, LONG + "naïve_tail + x"), (3, "")]
     tables = {"documents": (made, "doc_id long, text string")}
     words = " ".join(["word"] * 40)
-    got = {r.doc_id: r.name for r in run("TX5_cluster_name_whole", **tables)}
+    got = {r.doc_id: r.name for r in run("TX5_cluster_name", **tables)}
     assert got == {1: f"{words} Tail 图论 end", 2: f"{words} na ve tail x", 3: ""}
-    got = {r.doc_id: r.name for r in run("TX6_profile_name_whole", **tables)}
+    got = {r.doc_id: r.name for r in run("TX6_profile_name", **tables)}
     assert got == {k: re.sub(r"[^\w]+", " ", x).strip() for k, x in made}
 
 
 def test_latex_is_stripped_behind_long_texts(run):
     made = [(1, LONG + r"\beta {c2} kept {图}")]
     want = re.sub(r"\\[A-Za-z]+", " ", re.sub(r"\{[^{}\n]*[A-Za-z0-9\\][^{}\n]*\}", " ", "\\frac{a1}{b} " + made[0][1] + r" \alpha {x{y}}"))
-    got = run("TX8_strip_latex_whole", benchmark=(made, "item_id long, text string"))
+    got = run("TX8_strip_latex", benchmark=(made, "item_id long, text string"))
     assert [r.t for r in got] == [want] and "beta" not in want and "c2" not in want and "{图}" in want
 
 
@@ -72,7 +72,7 @@ def test_fragments_of_whole_texts(run):
         terms |= {r[k : k + 2] for r in re.findall("[一-鿿]+", x) for k in range(len(r) - 1)} - set(STOPWORDS_HAN)
     inner = lambda x: len({r[k : k + 2] for r in re.findall("[一-鿿]{3,}", x) for k in range(len(r) - 1)})
     want = {(x, len(x) == 2 and any(c in FRAGMENT_CHARS for c in x), inner(x)) for x in terms}
-    got = run("TX10_fragments_whole", documents=(made, "doc_id long, text string"))
+    got = run("TX10_fragments", documents=(made, "doc_id long, text string"))
     assert {tuple(r) for r in got} == want and len(got) == len(want) and any(f for _, f, _ in want) and any(n for _, _, n in want)
 
 
@@ -89,7 +89,7 @@ def test_entries_are_looked_up(run):
     talk += [(4, k, "assistant", "gamma ray") for k in range(7)]
     asked = [(9, "alpha beta omega gamma")]
     got = run(
-        "GR21_appears_in_whole", documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"),
+        "GR21_appears_in", documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"),
         conversations=(talk, "conv_id long, turn int, role string, text string"),
     )
     want = {(9, 1, 4, "alpha,beta,gamma,omega", 2, 1), (9, 3, 1, "alpha", 0, 1), (9, 4, 1, "gamma", 0, 5)}
@@ -98,7 +98,7 @@ def test_entries_are_looked_up(run):
 
 def test_long_documents_are_hashed(run):
     made = [(1, "é" * 30_000), (2, "short")]
-    got = run("SK9_content_hash_whole", documents=(made, "doc_id long, text string"))
+    got = run("SK9_content_hash", documents=(made, "doc_id long, text string"))
     assert {tuple(r) for r in got} == {(k, hashlib.sha256(x.encode()).hexdigest(), len(x.encode())) for k, x in made}
 
 
