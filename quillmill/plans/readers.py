@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -457,3 +458,17 @@ def _(t):
         return s.map(lambda x: outline_markdown(outline(x)))
 
     return t.documents.select("doc_id", run("text").alias("markdown"))
+
+
+@query("SC5_epub_scan")
+def _(t):
+    """Ten pages each as an EPUB, read again: (path, idx, title, text)."""
+    from quillmill.functions.text_udf import html_text_of
+    from quillmill.sources.books import make_epub, read_epub
+
+    def bound(key, pdf):
+        pages = [(f"p{i}.xhtml", x or "") for i, x in sorted(zip(pdf["page_id"], pdf["html"], strict=True))]
+        return pd.DataFrame([(f"books/{key[0]}.epub", make_epub(pages))], columns=["path", "content"])
+
+    files = t.pages.groupBy(F.expr("page_id div 10").alias("book")).applyInPandas(bound, "path string, content binary")
+    return read_epub(files).select("path", "idx", "title", html_text_of(F.col("html")).alias("text"))

@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,21 @@ def epub_chapters(raw: bytes) -> list[tuple[int, str, str]]:
     return out
 
 
+def make_epub(pages: list[tuple[str, str]]) -> bytes:
+    """A minimal EPUB of (file name, HTML) pages in reading order."""
+    names = [escape(n, {'"': "&quot;"}) for n, _ in pages]
+    items = "".join(f'<item id="i{k}" href="text/{n}" media-type="application/xhtml+xml"/>' for k, n in enumerate(names))
+    spine = "".join(f'<itemref idref="i{k}"/>' for k in range(len(names)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+        z.writestr("META-INF/container.xml", f'<container xmlns="{_NS["c"]}"><rootfiles><rootfile full-path="book/content.opf"/></rootfiles></container>')
+        z.writestr("book/content.opf", f'<package xmlns="{_NS["o"]}"><manifest>{items}</manifest><spine>{spine}</spine></package>')
+        for name, html in pages:
+            z.writestr(f"book/text/{name}", html)
+    return out.getvalue()
+
+
 def read_epub(files: DataFrame) -> DataFrame:
     """(path, idx, title, html) of EPUB files (path, content)."""
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; where that is unset, a folder of our own, which only a local master can share."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         got = getattr(spark, "_own_checkpoint_dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         spark._own_checkpoint_dir = got
     return got.rstrip("/")
@@ -26,11 +28,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    expire(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_path = path
     return out
 
 
+def expire(spark: SparkSession, path: str) -> None:
+    """Has a path in the shared folder deleted when the driver ends, if it has not been before."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Deletes a table of ``materialize`` that nothing reads any more."""
     drop_path(df.sparkSession, df._materialized_path)
