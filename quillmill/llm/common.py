@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators.graph import components
-from quillmill.storage import drop_materialized, drop_path, fresh_path, materialize, shared_dir
+from quillmill.storage import drop_materialized, drop_path, expire, fresh_path, materialize, shared_dir
 
 __all__ = [
-    "WORD", "block_units", "columns", "components", "drop_materialized", "drop_path", "fresh_path", "materialize", "packed", "release",
+    "WORD", "block_units", "columns", "components", "drop_materialized", "drop_path", "expire", "fresh_path", "materialize", "packed", "release",
     "runs", "shared_dir", "shuffle_partitions", "spanning", "table", "unpacked",
 ]
 

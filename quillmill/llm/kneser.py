@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import fresh_path, release, shuffle_partitions, table
+from quillmill.llm.common import expire, fresh_path, release, shuffle_partitions, table
 from quillmill.llm.substring import _cut, _planes, _unplanes
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -28,6 +28,8 @@ BEGIN, END = np.uint64(1 << 56), np.uint64((1 << 56) + 1)
 FLUSH = 5_000_000
 #: Tokens looked up at once.
 LOOKUP = 1_000_000
+#: Characters of training text whose bigrams fall into one hash range, about: some 3 million tokens, tens of MB.
+RANGE_CHARS = 16_000_000
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -94,7 +96,7 @@ _mapped: dict[str, dict[str, np.ndarray]] = {}
 
 
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """Memory-maps the arrays of a file; a file in a remote store is fetched once per worker."""
+    """Memory-maps the arrays of a file in place; one in a remote store from a nameless copy, gone with the mapping."""
     if uri in _mapped:
         return _mapped[uri]
     if len(_mapped) > 4096:
@@ -104,11 +106,13 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         from pyarrow import fs
 
         store, at = fs.FileSystem.from_uri(uri)
-        with store.open_input_stream(at) as f, tempfile.NamedTemporaryFile(delete=False) as local:
+        with store.open_input_stream(at) as f, tempfile.TemporaryFile() as local:
             while block := f.read(1 << 22):
                 local.write(block)
-        path = local.name
-    raw = np.memmap(path, dtype=np.uint8, mode="r")
+            local.flush()
+            raw = np.memmap(local, dtype=np.uint8, mode="r")
+    else:
+        raw = np.memmap(path, dtype=np.uint8, mode="r")
     size = int.from_bytes(raw[:8].tobytes(), "little")
     at, out = 8 + size, {}
     for item in raw[8 : 8 + size].tobytes().decode().strip().split(";"):
@@ -200,13 +204,15 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 def fit(texts: DataFrame, parts: int | None = None) -> Model:
     """Counts all rows of ``texts`` (text: string) into a model in the shared folder.
 
-    Bigrams are counted in each task, packed by hash range (even, whatever the words' frequencies) and summed by
-    range; each range is written as one file of sorted hashes with counts. What each range knows of each word (as
+    Bigrams are counted in each task, packed by hash range (even, whatever the words' frequencies; as many ranges as
+    RANGE_CHARS asks for, so that a range's size does not grow with the corpus) and summed by range; each range is written as one file of sorted hashes with counts. What each range knows of each word (as
     right word: count, distinct left words; as left word: total, right words seen once, twice, more often) is
     summed by word hash range and written likewise. Only counts of counts reach the driver.
     """
     spark = texts.sparkSession
-    parts = parts or 1 << max(4, (shuffle_partitions(spark) - 1).bit_length())
+    if parts is None:
+        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        parts = 1 << max(4, (max(shuffle_partitions(spark), chars // RANGE_CHARS) - 1).bit_length())
     root = fresh_path(spark, "kneser")
 
     up = texts.select("text").mapInArrow(
@@ -267,6 +273,7 @@ def fit(texts: DataFrame, parts: int | None = None) -> Model:
     got = mid.groupBy("part").applyInPandas(words, "level string, " + ", ".join(f"{c} bigint" for c in names[1:]))
     sums = {r["level"]: r for r in got.groupBy("level").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect()}
     pair, word = sums.get("pair"), sums.get("word")
+    expire(spark, root)
     counts = [[r[c] if r else 0 for c in names[1:5]] for r in (pair, word)]
     high, low = _discounts(counts[0]), _discounts(counts[1])
     v, pairs = (word["types"], word["pairs"]) if word else (0, 0)
