@@ -13,6 +13,7 @@ from quillmill.operators import terms as O
 from quillmill.operators.positions import numbered
 from quillmill.plans import sqltext as Q
 from quillmill.plans.registry import query
+from quillmill.storage import materialize
 from quillmill.tables import Tables
 
 
@@ -237,7 +238,7 @@ def feedback(t: Tables) -> DataFrame:
 def cross_graph(t: Tables) -> DataFrame:
     """Trace A as one plan: pieces, terms, idf, self-join, score with note weight, same-domain edges, feedback by pair."""
     wv = weighted_vectors(t)
-    pairs = S.cosine_pairs(wv)
+    pairs = materialize(S.cosine_pairs(wv), "pairs")  # read by the scores, by the note weights and by the rest
     weight = S.note_weight(pairs.select("a", "b", "reasons"), noted(t))
     scored = pairs.join(weight, ["a", "b"]).select("a", "b", S.pair_score(F.round("sim", 9), F.col("weight")).alias("strength"), F.array_join("reasons", ",").alias("reasons"))
     c = wv.select(F.col("doc").alias("i"), F.substring_index("doc", "/", -1).alias("c")).distinct()
