@@ -41,5 +41,29 @@ pair as (
 )
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
 from pair qualify rank <= 20
+""",
+    "op11_fill_in_middle": r"""
+with u as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as us,
+    sha256('42:' || doc_id) as d
+  from documents
+),
+h as (
+  select *, len(us)::bigint as n, ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4
+  from u
+),
+f as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from h
+),
+p as (
+  select *, array_to_string(us[1:lo], '') as a, array_to_string(us[lo + 1:hi], '') as m, array_to_string(us[hi + 1:], '') as z from f
+)
+select doc_id, n, form, case when form <> 'plain' then length(a) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m else '<S>' || z || '<P>' || a || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
 """,
 }
