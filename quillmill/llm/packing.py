@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.bpe import CACHE_WORDS, _byte_chars, _words, blocks
+from quillmill.llm.bpe import _byte_chars, _words, blocks
 from quillmill.llm.common import release, table
 
 #: A task packs so many examples or tokens at a time; bounds memory and the search for the best example.
 BLOCK_ITEMS, BLOCK_TOKENS = 4096, 4_000_000
+#: Encoded words and pieces of words kept by a task; emptied when full. Bounds memory (about 100 MB), never results.
+CACHE_WORDS = 500_000
 
 
 @dataclass(frozen=True)
@@ -244,15 +246,15 @@ class Encoder:
 
     def ids_of(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each whole text its ids, little-endian unsigned 32-bit."""
-        words: set[str] = set()
-        for x in texts:
-            words.update(_words(x))
+        split = [_words(x) for x in texts]
+        words = set().union(*split) - self.cache.keys()
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache = {}
-        self.learn(words - self.cache.keys())
-        cache = self.cache
-        for x in texts:
-            yield b"".join([cache[w] for w in _words(x)])
+            words = set().union(*split)
+        self.learn(words)
+        get = self.cache.__getitem__
+        for x in split:
+            yield b"".join(map(get, x))
 
 
 _encoders: dict[str, Encoder] = {}
