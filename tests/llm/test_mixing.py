@@ -42,8 +42,9 @@ def plain_taken(spark, rows, weights=(3, 1, 2), share=1.5, cap=2):
     """Weighted fair queueing by hand: every copy's finish time, all in one sorted list, until the budget is used up."""
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, id bigint")
-    turn = {r.k: r.r for r in df.select("k", F.xxhash64(F.col("id").cast("string"), F.lit(6)).alias("r")).collect()}
+    df = docs(spark, rows)  # ids are unique here, so every row is the first of its likes
+    by = {r.doc_id: r.r for r in df.select("doc_id", mixing.turn(F.col("doc_id"), mixing.row_keys(df)[0], F.lit(0), 6).alias("r")).collect()}
+    turn = {k: by[r[0]] for k, r in enumerate(rows)}
     size = [len(WORD.findall(r[1] or "")) for r in rows]
     of = {}
     for k, r in enumerate(rows):
@@ -124,3 +125,45 @@ def test_rows_of_the_mix(spark, sf_dir):
     assert re is not None
     rows = mixing.mixed_rows(docs(spark, AWKWARD))
     assert rows.columns == docs(spark, AWKWARD).columns and rows.count() > 0
+
+
+def words_of(rows):
+    return sum(len(WORD.findall(r.text or "")) for r in rows)
+
+
+def test_null_and_repeated_ids_keep_the_budget(spark, monkeypatch):
+    """The rows of the mix have as many words as ``mix`` takes, whatever ids they share."""
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 100)
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    nulls = [(None, f"three words {k}", "en", "a") for k in range(3000)]
+    equal = [(None, "the same words again", "en", "a")] * 500 + [(7, "the same words again", "en", "b")] * 300
+    shared = [(1, f"x{k} y z w" + " v" * (k % 3), "en", "a") for k in range(40)] + [(k, "p q", "en", None) for k in range(10)]
+    for rows in (nulls, equal, shared, nulls[:100] + equal + shared):
+        d = docs(spark, rows)
+        plan, out = mixing.mix(d).collect(), mixing.mixed_rows(d).collect()
+        check(rows, plan)
+        assert words_of(out) == sum(r.taken for r in plan)
+        times = {}
+        for r in plan:
+            times[r.id, r.source, r.size] = times.get((r.id, r.source, r.size), 0) + r.times
+        got = {}
+        for r in out:
+            key = r.doc_id, r.source, len(WORD.findall(r.text))
+            got[key] = got.get(key, 0) + 1
+        assert got == {k: n for k, n in times.items() if n}
+        again = mixing.mixed_rows(d.repartition(3)).collect()
+        assert sorted(again, key=str) == sorted(out, key=str)
+    many = {}
+    for r in mixing.mixed_rows(docs(spark, nulls)).collect():
+        many[r.text] = many.get(r.text, 0) + 1
+    assert max(many.values()) <= 2
+
+
+def test_no_window_holds_all_rows_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 100)
+    rows = [(None, f"three words {k}", "en", "a") for k in range(2000)] + [(5, "equal rows here", "en", "a")] * 2000
+    r = mixing._numbered(docs(spark, rows), "doc_id", "text", "source", 6)
+    from pyspark.sql import functions as F
+
+    got = r.groupBy(F.shiftrightunsigned("r", 58)).count().collect()
+    assert len(got) == 64 and max(x["count"] for x in got) < 4 * 4000 / 64
