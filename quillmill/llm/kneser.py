@@ -188,6 +188,7 @@ class Model:
     high: tuple[float, float, float]  # the discounts of bigram counts 1, 2, 3 and more
     low: tuple[float, float, float]  # of continuation counts
     gamma: float  # what continuation discounts leave to the uniform distribution
+    written: dict[str, np.ndarray]  # by kind, which of the ranges have a file
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -202,7 +203,8 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def fit(texts: DataFrame, parts: int | None = None) -> Model:
-    """Counts all rows of ``texts`` (text: string) into a model in the shared folder.
+    """Counts all rows of ``texts`` (text: string) into a model in the shared folder; repeated rows count each, null texts as
+    empty ones, other columns do not matter, an empty table gives a model of no texts.
 
     Bigrams are counted in each task, packed by hash range (even, whatever the words' frequencies; as many ranges as
     RANGE_CHARS asks for, so that a range's size does not grow with the corpus) and summed by range; each range is written as one file of sorted hashes with counts. What each range knows of each word (as
@@ -253,25 +255,26 @@ def fit(texts: DataFrame, parts: int | None = None) -> Model:
                 o = order[x:y]
                 rows.append((p, wk[x:y].tobytes(), *[_narrow(cols[c][o].astype(np.uint64)) for c in _STATS], 0, 0, 0, 0))
         rows.append((-1, b"", *[b""] * 6, *[int((n == c).sum()) for c in (1, 2, 3, 4)]))
-        return pd.DataFrame(rows, columns=["part", "word", *_STATS, "c1", "c2", "c3", "c4"])
+        return pd.DataFrame([(*r, k[0]) for r in rows], columns=["part", "word", *_STATS, "c1", "c2", "c3", "c4", "own"])
 
-    schema = "part int, word binary, " + ", ".join(f"{c} binary" for c in _STATS) + ", c1 bigint, c2 bigint, c3 bigint, c4 bigint"
+    schema = "part int, word binary, " + ", ".join(f"{c} binary" for c in _STATS) + ", c1 bigint, c2 bigint, c3 bigint, c4 bigint, own int"
     mid = up.groupBy("part").applyInPandas(bigrams, schema)
 
     def words(k, pdf: pd.DataFrame) -> pd.DataFrame:
         if k[0] < 0:
             c = [int(pdf[x].sum()) for x in ("c1", "c2", "c3", "c4")]
-            return pd.DataFrame([("pair", *c, 0, 0, 0)], columns=names)
+            return pd.DataFrame([("pair", *c, 0, 0, 0, sorted(pdf["own"].tolist()))], columns=[*names, "written"])
         key = np.frombuffer(b"".join(pdf["word"]), dtype=np.uint64)
         key, cols = _sum_by(key, **{c: np.concatenate([_unplanes(x, np.uint64) for x in pdf[c]]).astype(np.int64) for c in _STATS})
         write_arrays(f"{root}/word/{k[0]}", key=key, **cols)
         cont = cols["cont"]
         c = [int((cont == x).sum()) for x in (1, 2, 3, 4)]
-        return pd.DataFrame([("word", *c, int(cols["raw"].sum()), int((cols["raw"] > 0).sum()), int(cont.sum()))], columns=names)
+        return pd.DataFrame([("word", *c, int(cols["raw"].sum()), int((cols["raw"] > 0).sum()), int(cont.sum()), [k[0]])], columns=[*names, "written"])
 
     names = ["level", "c1", "c2", "c3", "c4", "tokens", "types", "pairs"]
-    got = mid.groupBy("part").applyInPandas(words, "level string, " + ", ".join(f"{c} bigint" for c in names[1:]))
-    sums = {r["level"]: r for r in got.groupBy("level").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect()}
+    got = mid.groupBy("part").applyInPandas(words, "level string, " + ", ".join(f"{c} bigint" for c in names[1:]) + ", written array<int>")
+    every = F.flatten(F.collect_list("written")).alias("written")  # a number a range, however many texts there are
+    sums = {r["level"]: r for r in got.groupBy("level").agg(*[F.sum(c).alias(c) for c in names[1:]], every).collect()}
     pair, word = sums.get("pair"), sums.get("word")
     expire(spark, root)
     counts = [[r[c] if r else 0 for c in names[1:5]] for r in (pair, word)]
@@ -279,24 +282,29 @@ def fit(texts: DataFrame, parts: int | None = None) -> Model:
     v, pairs = (word["types"], word["pairs"]) if word else (0, 0)
     more = v - counts[1][0] - counts[1][1]
     gamma = (low[0] * counts[1][0] + low[1] * counts[1][1] + low[2] * more) / pairs if pairs else 1.0
-    return Model(root, parts, word["tokens"] if word else 0, v, pairs, high, low, gamma)
+    written = {}
+    for kind in ("pair", "word"):
+        written[kind] = np.zeros(parts, dtype=bool)
+        written[kind][sums[kind]["written"] if kind in sums else []] = True
+    return Model(root, parts, word["tokens"] if word else 0, v, pairs, high, low, gamma, written)
 
 
 # -- scoring -----------------------------------------------------------------------------------------------------
 
 
-def _look_up(root: str, kind: str, parts: int, key: np.ndarray, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
-    """The values of sorted distinct keys, 0 where a key is not there; each range's file is read in key order."""
+def _look_up(model: Model, kind: str, key: np.ndarray, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The values of sorted distinct keys, 0 where a key is not there; each range's file is read in key order.
+
+    A range without a file had no n-gram; a file that was written and is gone is an error, not a count of zero.
+    """
+    root, parts = model.root, model.parts
     out = {c: np.zeros(len(key), dtype=np.int64) for c in columns}
     cut = _cut(key, parts)
     for p in range(parts):
         a, b = int(cut[p]), int(cut[p + 1])
-        if a == b:
-            continue
-        try:
-            m = map_arrays(f"{root}/{kind}/{p}")
-        except FileNotFoundError:  # no n-gram of the training texts fell into this range
+        if a == b or not model.written[kind][p]:
             continue
+        m = map_arrays(f"{root}/{kind}/{p}")
         at = np.minimum(np.searchsorted(m["key"], key[a:b]), len(m["key"]) - 1)
         hit = m["key"][at] == key[a:b]
         for c in columns:
@@ -317,13 +325,13 @@ def score_tokens(model: Model, right: np.ndarray) -> tuple[np.ndarray, np.ndarra
     left[0] = BEGIN
     left[1:] = np.where(right[:-1] == END, BEGIN, right[:-1])
     wk, of = np.unique(word_key(np.append(right, BEGIN)), return_inverse=True)
-    w = _look_up(model.root, "word", model.parts, wk, _STATS)
+    w = _look_up(model, "word", wk, _STATS)
     lk = np.searchsorted(wk, word_key(left))
     of = of[:-1]
     uniform = 1.0 / (model.vocabulary + 1)
     p1 = _discount(w["cont"], model.low) / max(model.bigrams, 1) + model.gamma * uniform
     pk, inv = np.unique(pair_key(left, right), return_inverse=True)
-    n = _look_up(model.root, "pair", model.parts, pk, ("n",))["n"][inv]
+    n = _look_up(model, "pair", pk, ("n",))["n"][inv]
     total = w["total"][lk]
     seen = np.maximum(total, 1)
     back = (model.high[0] * w["n1"] + model.high[1] * w["n2"] + model.high[2] * w["n3"])[lk] / seen
@@ -338,7 +346,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     The end of a text is a token, so a null, empty or blank text has one. Unknown words get the mass that the
     continuation discounts leave, shared evenly by the vocabulary and one unknown word; with a model of no texts
-    every token has probability 1. Workers memory-map the model's sorted hash arrays.
+    every token has probability 1. Workers memory-map the model's sorted hash arrays; a file of it that is lost is an
+    error. Repeated rows are scored each, null ids are kept, other columns are not looked at, an empty table gives an empty
+    table; a text is hashed whole, however long.
     """
 
     def run(batches):

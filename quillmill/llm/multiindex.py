@@ -20,7 +20,7 @@ from quillmill.llm.common import (
     spanning,
     table,
 )
-from quillmill.llm.vectors import matrix, pack, rotation, usable
+from quillmill.llm.vectors import matrix, pack, rotation, scaled, usable
 
 #: Vectors that the codebooks are fitted on: FEWEST or PER_CENTROID for each centroid of a half, at most MOST; every vector
 #: is indexed.
@@ -162,7 +162,7 @@ def _probe(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             dims = b["dim"].to_numpy()
             for dim in np.unique(dims).tolist():
                 where = np.flatnonzero(dims == dim)
-                x = matrix(b["vec"].take(pa.array(where)), dim)
+                x = scaled(matrix(b["vec"].take(pa.array(where)), dim))
                 turn = rotation(dim, -(-BITS // dim))[:BITS]
                 code = pack(x @ turn.T >= 0)[:, 0].view(np.int64)
                 cells = visit(x / np.linalg.norm(x, axis=1)[:, None], shared.value[dim]).astype(np.int64)
@@ -222,7 +222,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         if b - a < 2 or not len(m):
             continue
         cross = u["_i"][0].as_py() != u["_j"][0].as_py()
-        x = matrix(u["vec"], u["dim"][0].as_py())
+        x = scaled(matrix(u["vec"], u["dim"][0].as_py()))
         norm = np.sqrt((x * x).sum(1))
         links = np.zeros(b - a, dtype=np.int64)
         left: list[int] = []
@@ -258,7 +258,7 @@ def _books(classes: DataFrame, threshold: float, recall: float) -> dict[int, Cod
         dim, count = r["dim"], r["count"]
         most = min(MOST, max(FEWEST, PER_CENTROID * centroids(count)))
         some = classes.filter(F.col("dim") == dim).select("vec").orderBy(F.xxhash64("cid")).limit(most).toArrow()
-        x = matrix(some["vec"], dim)
+        x = scaled(matrix(some["vec"], dim))
         out[dim] = fit_codebooks(x / np.linalg.norm(x, axis=1)[:, None], count, threshold, recall)
     return out
 
@@ -282,7 +282,8 @@ def near_duplicates(
     verified in double precision. A unit sends counts and a spanning forest of its links.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with null label or id, link
-    with nothing: n_links 0, their own component. Repeated rows link with each other. Other columns are not looked
+    with nothing: n_links 0, their own component. Vectors are scaled by powers of two first, so the size of components
+    does not matter. Repeated rows link with each other. Other columns are not looked
     at. An empty table gives none.
     """
     spark = rows.sparkSession

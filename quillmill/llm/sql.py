@@ -4,7 +4,8 @@ _USABLE = "embedding is not null and len(embedding) > 0 and len(list_filter(embe
 
 ORACLES = {
     "op3_multi_index": f"""
-with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where {_USABLE} and label is not null),
+with recursive m as (select vec_id, label, embedding::double[] as e, pow(2.0, floor(log2(list_max(list_transform(embedding::double[], lambda x: abs(x)))))) as s from embeddings where {_USABLE} and label is not null),
+v as (select vec_id, label, list_transform(e, lambda x: x / s) as e from m),
 link as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98

@@ -23,6 +23,11 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near 1: exact, and no square of it over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 @lru_cache(maxsize=8)
 def rotation(dim: int, spread: int, seed: int = 9) -> np.ndarray:
     """``spread`` independent random rotations one below the other, (spread * dim) x dim, scaled to keep lengths.

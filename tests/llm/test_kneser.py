@@ -103,3 +103,17 @@ def test_arrays_survive_the_file(tmp_path):
     kneser.write_arrays(f"file://{tmp_path}/x/0", key=a, n=b, none=a[:0])
     got = kneser.map_arrays(f"file://{tmp_path}/x/0")
     assert all(np.array_equal(got[k], v) for k, v in (("key", a), ("n", b), ("none", a[:0])))
+
+
+@pytest.mark.parametrize("kind", ["pair", "word"])
+def test_a_lost_file_is_an_error(spark, sf_dir, kind):
+    import os
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = kneser.fit(d, parts=8)
+    assert model.written[kind].any()
+    lost = int(np.flatnonzero(model.written[kind])[0])
+    path = kneser._posix(f"{model.root}/{kind}/{lost}")
+    os.unlink(path)
+    with pytest.raises(Exception, match="FileNotFoundError|No such file"):
+        kneser.score(d, model).collect()

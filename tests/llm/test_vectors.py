@@ -175,3 +175,13 @@ def test_recall_reaches_the_target():
 
 def test_the_grid_grows_with_the_rows():
     assert [multiindex.centroids(n) for n in (10, 50_000, 10**6, 10**8, 10**9)] == [4, 20, 88, 884, 2795]
+
+
+def test_size_of_components_does_not_matter(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [2e-200, 2e-200]), (5, [1e200, 1e200]), (6, [1e300, 0.0]), (7, [5e-324, 0.0]), (8, [1.0, -1.0]), (9, [1e-310, 1e-310])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component) for r in multiindex.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 6: (2, 1), 7: (2, 1), 2: (4, 2), 3: (4, 2), 4: (4, 2), 5: (4, 2), 9: (4, 2), 8: (0, 8)}
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    assert {r[0]: (r[1], r[2]) for r in con.execute(sql.ORACLES["op3_multi_index"]).fetchall()} == got
