@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import packed, release, table, unpacked
+from quillmill.llm.common import materialize, packed, release, table, unpacked
 
 #: Hash buckets of the n-grams of all orders together, by default; a power of two.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: The log-probability matrix that is broadcast may have this many bytes; ``fit`` refuses to make a larger one.
-MATRIX_BYTES = 512_000_000
+#: A broadcast block of the log-probability matrix has about so many bytes at most; more languages are more blocks.
+MATRIX_BYTES = 128_000_000
 #: Characters hashed at once; bounds memory on very long texts.
 _SLICE = 1 << 20
 
@@ -63,13 +64,22 @@ def grams(c: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
                 yield (h[:n] >> top).astype(np.int64)
 
 
+def scrambled(c: np.ndarray) -> np.ndarray:
+    """The same letters in words of the same lengths, in another order: what is no language, with a language's letters."""
+    out = c.copy()
+    at = np.flatnonzero(c != 32)
+    out[at] = c[np.random.default_rng(zlib.crc32(c.tobytes())).permutation(at)]
+    return out
+
+
 @dataclass
 class Model:
-    """langs, and log P(bucket | lang) as buckets x langs; prior is log P(lang)."""
+    """langs, and log P(bucket | lang) as buckets x langs; prior is log P(lang). ``other`` is log P(bucket) of scrambled texts."""
 
     langs: list[str]
     prior: np.ndarray
     logp: np.ndarray
+    other: np.ndarray | None = field(default=None)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The languages and posteriors of a batch of texts; ('und', 0.0) without a letter. Ties go to the smaller name.
@@ -78,24 +88,41 @@ class Model:
         in order of text; one take of the log-probability rows of these cells and one sum over each text's run
         multiply it with the model. Slices hold at most _SLICE grams of an order; sums go on over slices.
         """
+        langs, best, top, mass, _, _ = self.weigh(texts)
+        return [langs[k] if k >= 0 else "und" for k in best.tolist()], np.where(best >= 0, np.exp(top - mass), 0.0)
+
+    def weigh(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """langs, and for each text the best one's number (-1: none), its log probability, the log of the sum over all
+        languages, the log probability under ``other``, and how many grams it has."""
         n, langs = len(texts), self.langs
-        total = np.tile(self.prior, (n, 1)) if langs else np.zeros((n, 0))
+        wide = self.logp if self.other is None else np.column_stack([self.logp, self.other])
+        total = np.tile(self.prior if self.other is None else np.append(self.prior, 0.0), (n, 1))
+        size = np.zeros(n)
         cs = [letters(t) for t in texts]
         some = np.array([len(c) > 0 for c in cs], dtype=bool) & bool(langs)
         if some.any():
-            for of, g in _gram_cells([(k, cs[k]) for k in np.flatnonzero(some).tolist()], len(self.logp)):
-                cell, count = np.unique(of * len(self.logp) + g, return_counts=True)
-                step = max(1, _SLICE * 4 // len(langs))
+            for of, g in _gram_cells([(k, cs[k]) for k in np.flatnonzero(some).tolist()], len(wide)):
+                size += np.bincount(of, minlength=n)
+                cell, count = np.unique(of * len(wide) + g, return_counts=True)
+                step = max(1, _SLICE * 4 // wide.shape[1])
                 for a in range(0, len(cell), step):
-                    of, g = np.divmod(cell[a : a + step], len(self.logp))
+                    of, g = np.divmod(cell[a : a + step], len(wide))
                     at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                    total[of[at]] += np.add.reduceat(self.logp[g] * count[a : a + step, None], at, axis=0)
+                    total[of[at]] += np.add.reduceat(wide[g] * count[a : a + step, None], at, axis=0)
         if not langs:
-            return ["und"] * n, np.zeros(n)
-        best = total.argmax(axis=1)
-        top = total[np.arange(n), best]
-        sure = 1.0 / np.exp(total - top[:, None]).sum(axis=1)
-        return [langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, sure, 0.0)
+            return langs, np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n), size
+        own = total[:, : len(langs)]
+        best = own.argmax(axis=1)
+        top = own[np.arange(n), best]
+        mass = top + np.log(np.exp(own - top[:, None]).sum(axis=1))
+        return langs, np.where(some, best, -1), top, mass, total[:, -1] if self.other is not None else np.zeros(n), size
+
+
+class Blocks:
+    """A model of many languages: the matrix in blocks of columns, each broadcast for itself; ``langs`` are all of them."""
+
+    def __init__(self, langs: list[str], parts: list):
+        self.langs, self.parts = langs, parts
 
 
 def _gram_cells(texts: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -119,21 +146,26 @@ def _gram_cells(texts: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[t
             yield of[: len(g)][ok], g[ok]
 
 
-def count_grams(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(lang, bucket, n) over all rows of (lang, text); bucket -1 counts documents. Summed in each task first."""
+def count_grams(labelled: DataFrame, buckets: int = BUCKETS, other: bool = False) -> DataFrame:
+    """(lang, bucket, n) over all rows of (lang, text); bucket -1 counts documents. Summed in each task first.
+
+    With ``other``, scrambled texts are counted too, under the null language.
+    """
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-                docs[lang] = docs.get(lang, 0) + 1
-                mine = counts.setdefault(lang, np.zeros(buckets, dtype=np.int64))
-                for g in grams(letters(text), buckets):
-                    if len(g) > 4096:
-                        mine += np.bincount(g, minlength=buckets)
-                    else:
-                        np.add.at(mine, g, 1)
+                own = letters(text)
+                for name, c in ((lang, own), (None, scrambled(own))) if other else ((lang, own),):
+                    docs[name] = docs.get(name, 0) + 1
+                    mine = counts.setdefault(name, np.zeros(buckets, dtype=np.int64))
+                    for g in grams(c, buckets):
+                        if len(g) > 4096:
+                            mine += np.bincount(g, minlength=buckets)
+                        else:
+                            np.add.at(mine, g, 1)
                 if len(counts) > 64:
                     yield from sums(counts, docs)
                     counts, docs = {}, {}
@@ -144,61 +176,94 @@ def count_grams(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         for lang, mine in counts.items():
             at = np.flatnonzero(mine)
             at, n = np.r_[-1, at], np.r_[docs[lang], mine[at]]
-            names = pa.array([lang]).dictionary_encode().dictionary.take(pa.array(np.zeros(len(at), dtype=np.int32)))
+            names = pa.repeat(pa.scalar(lang, pa.string()), len(at))
             yield pa.RecordBatch.from_arrays([names, pa.array(at.astype(np.int32)), pa.array(n)], ["lang", "bucket", "n"])
 
     parts = labelled.select("lang", "text").mapInArrow(run, "lang string, bucket int, n bigint")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, smoothing: float = 0.5, buckets: int = BUCKETS) -> Model:
-    """Learns from all rows of (lang not null, text).
+def fit(labelled: DataFrame, smoothing: float = 0.5, buckets: int = BUCKETS, other: bool = False) -> Model | Blocks:
+    """Learns from all rows of (lang not null, text), and with ``other`` what scrambled texts look like.
 
-    What reaches the driver is a number a language and bucket. Both are parameters of the model, not of the table's
-    size: the same buckets are used for however many languages, and where the matrix would pass MATRIX_BYTES (977
-    languages with the default buckets) it is an error that asks for fewer buckets.
+    What reaches the driver is a number a language and bucket, a block of languages at a time: a matrix over
+    MATRIX_BYTES (244 languages with the default buckets) is made, and broadcast, in blocks of columns, so the number of
+    languages has no limit. Repeated rows count each; other columns do not matter; an empty table gives a model of none.
     """
-    most = MATRIX_BYTES // (8 * buckets)
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().limit(most + 1).collect())
-    if len(langs) > most:
-        raise ValueError(f"more than {most} languages make a matrix over {MATRIX_BYTES} bytes: give fewer buckets")
-    got = count_grams(labelled, buckets)
-    col = {x: k for k, x in enumerate(langs)}
-    t = got.toArrow()
-    count = np.zeros((buckets, len(langs)))
-    docs = np.zeros(len(langs))
-    at = t["bucket"].to_numpy()
-    lang = np.array([col[x] for x in t["lang"].to_pylist()], dtype=np.int64)
-    n = t["n"].to_numpy().astype(float)
-    inside = at >= 0
-    np.add.at(count, (at[inside], lang[inside]), n[inside])
-    np.add.at(docs, lang[~inside], n[~inside])
-    logp = np.log(count + smoothing) - np.log((count + smoothing).sum(axis=0))
-    return Model(langs, np.log(docs / docs.sum()) if len(langs) else docs, logp)
-
-
-def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its posterior (0 to 1) to each row, from its whole text alone; no shuffle.
+    got = materialize(count_grams(labelled, buckets, other), "langid")
+    per = got.filter("bucket = -1 and lang is not null").select("lang", "n").orderBy("lang").toArrow()
+    langs = per["lang"].to_pylist()
+    docs = per["n"].to_numpy().astype(float)
+    prior = np.log(docs / docs.sum()) if langs else docs
+
+    def logs(t: pa.Table, names: list) -> np.ndarray:
+        col = {x: k for k, x in enumerate(names)}
+        count = np.full((buckets, len(names)), smoothing)
+        lang = np.array([col[x] for x in t["lang"].to_pylist()], dtype=np.int64)
+        np.add.at(count, (t["bucket"].to_numpy(), lang), t["n"].to_numpy().astype(float))
+        return np.log(count) - np.log(count.sum(axis=0))
+
+    cells = got.filter("bucket >= 0")
+    against = logs(cells.filter("lang is null").toArrow(), [None])[:, 0] if other else None
+    most = max(1, MATRIX_BYTES // (8 * buckets))
+    if len(langs) <= most:
+        return Model(langs, prior, logs(cells.filter("lang is not null").toArrow(), langs), against)
+    parts = []
+    for at in range(0, len(langs), most):
+        some = langs[at : at + most]
+        t = cells.filter(F.col("lang").between(some[0], some[-1])).toArrow()
+        block = Model(some, prior[at : at + most], logs(t, some), against)
+        parts.append(labelled.sparkSession.sparkContext.broadcast(block))
+    return Blocks(langs, parts)
+
+
+def _weighed(docs: DataFrame, part) -> DataFrame:
+    """(row, text, and what is known so far) after one more block of languages: the better best, the sum of both sums."""
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    A null text, or one without a letter, is ``und`` with score 0, as is any text where nothing was learnt. Repeated
-    rows are predicted each, an empty table gives an empty table. Other columns are kept as they are, whatever their
-    names; one that has a name of ``names`` is replaced, as ``withColumn`` would. The model is broadcast: a number a
-    bucket and language.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    src = packed(docs, text=F.col(f"`{text_col}`").cast("string"))
+    numbers = ("top", "mass", "against", "grams")
+    first = "top" not in docs.columns
 
     def run(batches):
         for b in batches:
-            lang, score = shared.value.score(b["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([b["row"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang", "score"])
+            langs, best, top, mass, against, size = part.value.weigh(b["text"].to_pylist())
+            names = [langs[k] if k >= 0 else None for k in best.tolist()]
+            if not first:
+                was, was_top, was_mass = b["lang"].to_pylist(), b["top"].to_numpy(), b["mass"].to_numpy()
+                names = [y if x is None or (y is not None and t > u) else x for x, y, t, u in zip(was, names, top.tolist(), was_top.tolist(), strict=True)]
+                top, mass = np.maximum(top, was_top), np.logaddexp(mass, was_mass)
+            yield pa.RecordBatch.from_arrays(
+                [b["row"], b["text"], pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in (top, mass, against, size)]], ["row", "text", "lang", *numbers]
+            )
         release()
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    kept = [docs.schema["row"], StructField("text", StringType()), StructField("lang", StringType())]
+    return docs.mapInArrow(run, StructType([*kept, *[StructField(k, DoubleType()) for k in numbers]]))
+
+
+def predict(
+    docs: DataFrame, model: Model | Blocks, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), margin: str | None = None
+) -> DataFrame:
+    """Adds the predicted language and its posterior (0 to 1) to each row, from its whole text alone; no shuffle.
 
-    schema = StructType([StructField("row", docs.schema), StructField("lang", StringType()), StructField("score", DoubleType())])
-    return unpacked(src.mapInArrow(run, schema), docs.columns, **{names[0]: F.col("lang"), names[1]: F.col("score")})
+    A null text, or one without a letter, is ``und`` with score 0, as is any text where nothing was learnt. Repeated
+    rows are predicted each, an empty table gives an empty table. Other columns are kept as they are, whatever their
+    names; one that has a name of ``names`` is replaced, as ``withColumn`` would. The model is broadcast: a number a
+    bucket and language; one of blocks is gone through block by block, with the same result.
+
+    ``margin`` names a further column, for a model with ``other``: by how much the best language explains a gram better
+    than scrambled letters do, as the mean log ratio of all grams of a text. Unlike a posterior, which long texts drive
+    to 1 whatever they are, it does not grow with a text's length; it is below 0 for what no language explains. Null for ``und``.
+    """
+    spark = docs.sparkSession
+    parts = model.parts if isinstance(model, Blocks) else [spark.sparkContext.broadcast(model)]
+    got = packed(docs, text=F.col(f"`{text_col}`").cast("string"))
+    for part in parts:
+        got = _weighed(got, part)
+    new = {names[0]: F.coalesce("lang", F.lit("und")), names[1]: F.when(F.col("lang").isNull(), 0.0).otherwise(F.exp(F.col("top") - F.col("mass")))}
+    if margin is not None:
+        new[margin] = F.when(F.col("lang").isNotNull(), (F.col("top") - F.col("against")) / F.col("grams"))
+    return unpacked(got, docs.columns, **new)
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:

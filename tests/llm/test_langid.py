@@ -2,7 +2,7 @@ import binascii
 import math
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import langid
 from tests.llm.helpers import AWKWARD, docs
@@ -47,9 +47,42 @@ def test_buckets_are_a_parameter(spark, monkeypatch):
     rows = [(i, ("äöü " if i % 2 else "xyz ") * 20, f"l{i % 2}", None) for i in range(20)]
     model = langid.fit(docs(spark, rows).select("lang", "text"), buckets=4096)
     assert model.logp.shape == (4096, 2) and model.score(["äöü", "xyz"])[0] == ["l1", "l0"]
-    monkeypatch.setattr(langid, "MATRIX_BYTES", 8 * 4096)
-    with pytest.raises(ValueError, match="fewer buckets"):
-        langid.fit(docs(spark, rows).select("lang", "text"), buckets=4096)
+
+
+def test_blocks_of_languages_give_the_same(spark, sf_dir, monkeypatch):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 3).cast("string")).alias("lang"))
+    whole = langid.fit(d.select("lang", "text"), buckets=4096, other=True)
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 8 * 4096 * 5)
+    parts = langid.fit(d.select("lang", "text"), buckets=4096, other=True)
+    assert isinstance(parts, langid.Blocks) and len(parts.parts) > 1 and parts.langs == whole.langs
+    odd = docs(spark, AWKWARD).select("doc_id", "text", "lang").unionByName(d)
+    a, b = (sorted(langid.predict(odd, m, margin="m").collect(), key=lambda r: (str(r.doc_id), str(r.text))) for m in (whole, parts))
+    assert [r.lang_pred for r in a] == [r.lang_pred for r in b]
+    for k in ("score", "m"):
+        assert np.allclose([r[k] if r[k] is not None else -99 for r in a], [r[k] if r[k] is not None else -99 for r in b])
+
+
+def test_more_than_a_thousand_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 8 * 1024 * 400)
+    word = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(3))
+    rows = [(f"l{k:04}", f"{word(k)} " * 40) for k in range(1100)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), buckets=1024)
+    assert len(model.langs) == 1100 and len(model.parts) == 3
+    got = langid.predict(spark.createDataFrame(rows[::37], "lang string, text string"), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
+
+
+def test_margin_tells_gibberish_from_language(spark, sf_dir):
+    """Held-out documents lie above 0, the same letters in another order and keyboard noise below, at any length."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text]
+    model = langid.fit(spark.createDataFrame([(x, t) for i, t, x in rows if i % 3 and x], "lang string, text string"), other=True)
+    held = [(i, t) for i, t, _ in rows if i % 3 == 0 and len(t) > 40]
+    noise = [(-1, "asdkj qwoeiu zmxnb qpwoei alskdj"), (-2, "xkq zzvw qpj " * 200)]
+    mess = [(1_000_000 + i, "".join(chr(c) for c in langid.scrambled(langid.letters(t)).tolist())) for i, t in held]
+    got = {r.i: r.m for r in langid.predict(spark.createDataFrame(held + noise + mess, "i bigint, text string"), model, margin="m").collect()}
+    assert np.mean([got[i] > 0 for i, _ in held]) > 0.99
+    assert np.mean([got[i] < 0 for i, _ in mess]) > 0.99
+    assert all(got[i] < 0 for i, _ in noise)
 
 
 def plain_posterior(learnt, text, smoothing=0.5, buckets=langid.BUCKETS):
