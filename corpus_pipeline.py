@@ -13,24 +13,26 @@ from pyspark.sql import functions as F
 from quillmill.llm import bpe, langid, mixing, secrets, simhash
 from quillmill.llm.common import drop_materialized, materialize, packed, unpacked
 
-#: A language must have at least this posterior; what no language explains better than that is rejected.
-LEAST_POSTERIOR = 0.5
+#: By how much a language must explain a text's n-grams better than scrambled letters do, as the mean log ratio of a gram.
+LEAST_MARGIN = 0.0
 #: Near-duplicate shingles have five words.
 SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letters at all, or no language with LEAST_POSTERIOR.
+    """Rejects documents without a language: no letters at all, or none that explains them better than scrambled letters.
 
-    The model is learnt from all rows with a language; a missing language is filled in with the predicted one. Where no
-    row has a language, nothing can be told and only documents without letters go.
+    The model is learnt from all rows with a language; a given language is kept even where the prediction differs, a
+    missing one is filled in with the predicted one. Where no row has a language, nothing can be told and only documents
+    without letters go. Null and empty texts go; null ids, repeated rows, empty tables and other columns are no matter.
     """
-    model = langid.fit(docs.filter(F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text")))
+    known = docs.filter(F.col("lang").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
+    model = langid.fit(known, other=True)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     src = packed(docs, text=F.col("text"), lang=F.col("lang"))
-    got = langid.predict(src, model, names=("pred", "score"))
-    kept = got.filter((F.col("pred") != "und") & (F.col("score") >= LEAST_POSTERIOR))
+    got = langid.predict(src, model, names=("pred", "score"), margin="margin")
+    kept = got.filter((F.col("pred") != "und") & (F.col("margin") >= LEAST_MARGIN))
     return unpacked(kept, docs.columns, lang=F.coalesce("lang", "pred"))
 
 
@@ -50,12 +52,19 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources to their target weights: each document as often as the mix takes it."""
+    """Mixes the sources to their target weights: each document as often as the mix takes it, none twice its size over.
+
+    Null texts have no words and go, as do blank ones; a null source is one of its own; null ids and repeated rows are
+    documents of their own; an empty table stays empty; other columns pass through.
+    """
     return mixing.mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every text: (doc_id, n_tokens, ids_sha256, decoded_sha256) a row."""
+    """Encodes and decodes every text: (doc_id, n_tokens, ids_sha256, decoded_sha256) a row, repeated rows included.
+
+    A null text is the empty one, a null id stays null, an empty table gives none, other columns are not looked at.
+    """
     import public_tokenizers
 
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
