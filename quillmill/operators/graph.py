@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import is_theorem
-from quillmill.operators.relational import first_rows, symmetric
+from quillmill.operators.relational import first_rows, small, symmetric
 from quillmill.storage import drop_materialized, materialize
 
 
@@ -285,23 +289,141 @@ def orientation(directed: Column, source: Column, a: Column, b: Column) -> Colum
     return F.when(directed & (source == a), "a->b").when(directed & (source == b), "b->a").otherwise("a-b")
 
 
-def inner_nodes(lines: DataFrame, chapters: DataFrame, notes: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, level, pos, title, summary, importance): chapters, theorem lines and the reader's own notes as nodes.
+#: Line ends and white space at the ends of lines, as text editors see them, beyond ASCII too.
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+EDGE_SPACE = r"^[\s\u001c-\u001f\u0085   -     　]+|[\s\u001c-\u001f\u0085   -     　]+$"
 
-    Positions of theorem lines are raw line numbers from 1.
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, EDGE_SPACE, "")
+
+
+def inner_nodes(chapters: DataFrame, notes: DataFrame) -> DataFrame:
+    """(doc, level, chapter, pos, title, summary, importance): chapters, theorem lines and the reader's own notes as nodes.
+
+    chapters (doc, chapter, title, text, words), notes (doc, chapter, note, quote, text, kind). A chapter without a title is
+    named by its number, one without words counts 2 instead of 4; theorem lines and notes count 5. A theorem line's position
+    is its number, from 1, among its chapter's lines; a note's its id. Notes without quote, text and kind are passed over.
     """
-    c = chapters.select(doc, F.lit("chapter").alias("level"), "pos", F.left("title", F.lit(50)).alias("title"), F.left("body", F.lit(200)).alias("summary"), F.when(F.length("body") > 0, 4).otherwise(3).alias("importance"))
-    t = lines.filter((F.length("line") > 8) & is_theorem(F.col("line")))
-    t = t.select(doc, F.lit("theorem").alias("level"), "pos", F.left("line", F.lit(50)).alias("title"), F.left("line", F.lit(300)).alias("summary"), F.lit(5).alias("importance"))
-    n = notes.select(doc, F.lit("note").alias("level"), "pos", F.left("text", F.lit(50)).alias("title"), F.left("text", F.lit(300)).alias("summary"), F.lit(4).alias("importance"))
-    return c.unionByName(t).unionByName(n)
+    text = F.coalesce("text", F.lit(""))
+    named = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.format_string("Chapter %s", "chapter"))
+    c = chapters.select(
+        "doc", F.lit("chapter").alias("level"), "chapter", F.lit(None).cast("long").alias("pos"), F.left(stripped(named), F.lit(200)).alias("title"),
+        F.left(stripped(text), F.lit(200)).alias("summary"), F.when(F.col("words") > 0, 4).otherwise(2).alias("importance"),
+    )
+    lines = chapters.select("doc", "chapter", F.posexplode(F.split(text, LINE_END, -1)).alias("p", "line")).withColumn("line", stripped(F.col("line")))
+    t = lines.filter((F.length("line") > 8) & is_theorem(F.col("line"))).select(
+        "doc", F.lit("theorem").alias("level"), "chapter", (F.col("p") + 1).cast("long").alias("pos"), F.left("line", F.lit(50)).alias("title"),
+        F.left("line", F.lit(300)).alias("summary"), F.lit(5).alias("importance"),
+    )
+    first = lambda *names: F.coalesce(*[F.when(F.col(k) != "", F.col(k)) for k in names], F.lit(""))
+    n = notes.select(
+        "doc", F.lit("note").alias("level"), "chapter", F.col("note").cast("long").alias("pos"), F.left(stripped(first("quote", "text", "kind")), F.lit(50)).alias("title"),
+        F.left(first("text", "quote"), F.lit(300)).alias("summary"), F.lit(5).alias("importance"),
+    )
+    return c.unionByName(t).unionByName(n.filter("title <> ''"))
+
 
+def inner_edges(nodes: DataFrame) -> DataFrame:
+    """(doc, level, chapter, a, b, strength): each chapter to the next one, 60; each theorem line to the next of its chapter, 50."""
+    c = nodes.filter("level = 'chapter'").withColumn("b", F.lead("chapter").over(W.partitionBy("doc").orderBy("chapter")))
+    c = c.select("doc", "level", "chapter", F.col("chapter").alias("a"), "b", F.lit(60).alias("strength"))
+    t = nodes.filter("level = 'theorem'").withColumn("b", F.lead("pos").over(W.partitionBy("doc", "chapter").orderBy("pos")))
+    t = t.select("doc", "level", "chapter", F.col("pos").alias("a"), "b", F.lit(50).alias("strength"))
+    return c.unionByName(t).filter("b is not null")
 
-def inner_edges(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, level, a, b, strength): each node to the next of its level, chapters 60, theorems 50."""
-    w = W.partitionBy(doc, "level").orderBy("pos")
-    got = nodes.filter("level <> 'note'").withColumn("b", F.lead("pos").over(w)).filter("b is not null")
-    return got.select(doc, "level", F.col("pos").alias("a"), "b", F.when(F.col("level") == "chapter", 60).otherwise(50).alias("strength"))
+
+#: Questions whose terms all tasks hold as one dictionary: so many terms at most, some tens of bytes each.
+DICTIONARY = 200_000
+
+
+def appears_in_texts(source: DataFrame, texts: DataFrame, hits: DataFrame, most_points: int = 10, most_hits: int = 5) -> DataFrame:
+    """``appears_in`` for few questions over many texts: texts (doc, points: an array of distinct terms for each point).
+
+    A text is matched where it lies, against a dictionary of all questions' terms that is broadcast up to DICTIONARY terms;
+    nothing is a row of its own but a question that a text answers. Entries, summed up by question and document first,
+    come to the texts as one array a document, of a row a question at most. More questions go by equi-joins on terms.
+    """
+    s = source.select("src", F.col("doc").alias("own"), "term").distinct()
+    found = s.limit(DICTIONARY + 1).toArrow()
+    if found.num_rows > DICTIONARY:
+        points = texts.select("doc", F.posexplode("points").alias("point", "terms")).select("doc", "point", F.explode("terms").alias("term"))
+        return appears_in(source, points, hits, most_points, most_hits)
+    table = found.to_pandas().drop_duplicates().sort_values(["src", "own", "term"])
+    asks = table[["src", "own"]].drop_duplicates().reset_index(drop=True)
+    asks["k"] = range(len(asks))
+    terms = sorted(table["term"].unique())
+    number = {t: k for k, t in enumerate(terms)}
+    table = table.merge(asks, on=["src", "own"])
+    table["t"] = table["term"].map(number)
+    table = table.sort_values(["t", "k"])
+    starts = np.searchsorted(table["t"].to_numpy(), np.arange(len(terms) + 1))
+    shared = texts.sparkSession.sparkContext.broadcast((asks["src"].tolist(), asks["own"].to_numpy(), terms, starts, table["k"].to_numpy(dtype=np.int64)))
+
+    e = hits.join(small(s), "term").filter("doc <> own").groupBy("doc", "src", "own")
+    e = e.agg(F.count_distinct("entry").alias("n"), F.collect_set("term").alias("terms"))
+    e = e.groupBy("doc").agg(F.collect_list(F.struct("src", "own", "n", "terms")).alias("entries"))
+    both = texts.select("doc", "points").join(e, "doc", "full")
+    kinds = dict(both.dtypes)
+    src_kind = dict(source.dtypes)["src"]
+
+    def run(batches):
+        srcs, own, terms, starts, of = shared.value
+        known = pa.array(terms, pa.string())
+        ask = {x: k for k, x in enumerate(zip(srcs, own.tolist(), strict=True))}
+        width, wide = max(len(terms), 1), max(len(srcs), 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                docs, points = b["doc"], pc.fill_null(b["points"], [])
+                if isinstance(points, pa.ChunkedArray):
+                    points = points.combine_chunks()
+                lines = points.flatten()
+                row = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(points)))  # of each line
+                line = np.repeat(np.arange(len(lines)), np.asarray(pc.list_value_length(lines).fill_null(0)))  # of each word
+                got = pc.index_in(lines.flatten(), value_set=known)
+                hit = np.flatnonzero(np.asarray(got.is_valid()))
+                t = np.asarray(got.take(pa.array(hit))).astype(np.int64)
+                many = starts[t + 1] - starts[t]
+                k = of[np.arange(int(many.sum())) + np.repeat(starts[t] - np.r_[0, np.cumsum(many)[:-1]].astype(np.int64), many)] if len(t) else t
+                ln, t = np.repeat(line[hit], many), np.repeat(t, many)
+                r = row[ln] if len(ln) else ln
+                if len(r):
+                    ok = np.asarray(docs.take(pa.array(r)))[:] != own[k]
+                    r, k, ln, t = r[ok], k[ok], ln[ok], t[ok]
+                ask_of = r * wide + k
+                point = np.unique(ask_of * max(len(lines), 1) + ln) // max(len(lines), 1)
+                pk, pn = np.unique(point, return_counts=True)
+                pairs, counts = [ask_of * width + t], {}
+                for n, items in enumerate(b["entries"].to_pylist()):
+                    for x in items or ():
+                        key = n * wide + ask[x["src"], x["own"]]
+                        counts[key] = x["n"]
+                        pairs.append(key * width + np.array([number_of(terms, y) for y in x["terms"]], dtype=np.int64))
+                pairs = np.unique(np.concatenate(pairs))
+                key = pairs // width
+                cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
+                ends = np.r_[cuts[1:], len(key)].astype(np.int64) if len(key) else cuts
+                key = key[cuts]
+                if not len(key):
+                    continue
+                points_of = dict(zip(pk.tolist(), pn.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([srcs[x] for x in (key % wide).tolist()]).cast(kind_of[0]), docs.take(pa.array(key // wide)), pa.array(ends - cuts, pa.int64()),
+                        pa.array([[terms[y] for y in (pairs[a : min(z, a + 6)] % width).tolist()] for a, z in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.list_(pa.string())),
+                        pa.array([min(points_of.get(x, 0), most_points) for x in key.tolist()], pa.int64()),
+                        pa.array([min(counts.get(x, 0), most_hits) for x in key.tolist()], pa.int64()),
+                    ],
+                    ["src", "doc", "matched", "common", "points", "entries"],
+                )
+
+    kind_of = [found.schema.field("src").type]
+    return both.mapInArrow(run, f"src {src_kind}, doc {kinds['doc']}, matched bigint, common array<string>, points bigint, entries bigint")
+
+
+def number_of(terms: list[str], term: str) -> int:
+    return bisect_left(terms, term)
 
 
 def appears_in(source: DataFrame, points: DataFrame, hits: DataFrame, most_points: int = 10, most_hits: int = 5) -> DataFrame:
@@ -324,9 +446,18 @@ def appears_in(source: DataFrame, points: DataFrame, hits: DataFrame, most_point
 
 
 def link_stubs(edges: DataFrame, feedback: str, ignored: str, least: float = 50, keep: int = 20) -> DataFrame:
-    """(node, other, strength): strong edges that are not ignored, from both ends, the ``keep`` strongest of a node."""
+    """(node, other, strength): what each node's list of linked ones holds after edges (a, b, strength, at) came in order of ``at``.
+
+    Strong edges that are not ignored are noted at both ends, with strengths of one decimal; one that comes again with the
+    strength it has changes nothing, with another one it moves to the end; a list keeps its last ``keep`` entries. (One that
+    had dropped out and comes again unchanged stays out.)
+    """
     e = edges.filter((F.col("strength") >= least) & ~F.col(feedback).eqNullSafe(F.lit(ignored)))
-    return first_rows(symmetric(e, "a", "b"), ["node"], [F.desc("strength"), F.col("other")], keep).select("node", "other", "strength")
+    both = symmetric(e, "a", "b").withColumn("strength", F.round("strength", 1))
+    before = F.lag("strength").over(W.partitionBy("node", "other").orderBy("at"))
+    changed = both.withColumn("_was", before).filter(~F.col("strength").eqNullSafe(F.col("_was")))
+    last = changed.groupBy("node", "other").agg(F.max(F.struct("at", "strength")).alias("x"))
+    return first_rows(last.select("node", "other", "x.*"), ["node"], [F.desc("at"), F.col("other")], keep).select("node", "other", "strength")
 
 
 def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

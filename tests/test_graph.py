@@ -80,9 +80,24 @@ def test_orientation(spark):
 
 
 def test_stubs_and_feedback(spark):
-    e = spark.createDataFrame([(1, 2, 85.0, None), (3, 4, 95.0, "ignored"), (5, 6, 40.0, None)], "a bigint, b bigint, strength double, feedback string")
+    rows = [(1, 2, 85.0, None, 1), (3, 4, 95.0, "ignored", 2), (5, 6, 40.0, None, 3)]
+    e = spark.createDataFrame(rows, "a bigint, b bigint, strength double, feedback string, at bigint")
     got = graph.link_stubs(e, "feedback", "ignored")
     assert sorted(map(tuple, got.collect())) == [(1, 2, 85.0), (2, 1, 85.0)]
+    rng = __import__("random").Random(24)  # lists as they grow, one edge after the other
+    many = [(0, rng.randrange(1, 12), rng.choice([55.04, 60.0, 70.0]), None, k) for k in range(40)]
+    lists, dropped = {}, set()
+    for a, b, s, _, _ in many:
+        for x, y in ((a, b), (b, a)):
+            mine = lists.setdefault(x, [])
+            if (y, round(s, 1)) in mine or (x, y, round(s, 1)) in dropped:
+                continue
+            mine[:] = [z for z in mine if z[0] != y] + [(y, round(s, 1))]
+            dropped -= {z for z in dropped if z[:2] == (x, y)}
+            dropped |= {(x, *z) for z in mine[:-6]}
+            mine[:] = mine[-6:]
+    got = graph.link_stubs(spark.createDataFrame(many, e.schema), "feedback", "ignored", keep=6)
+    assert sorted(map(tuple, got.collect())) == sorted((x, y, s) for x, mine in lists.items() for y, s in mine)
     from pyspark.sql import functions as F
 
     assert [r["a"] for r in e.filter(relational.not_marked(F.col("feedback"), "ignored")).collect()] == [1, 5]

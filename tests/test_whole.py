@@ -76,11 +76,66 @@ def test_fragments_of_whole_texts(run):
     assert {tuple(r) for r in got} == want and len(got) == len(want) and any(f for _, f, _ in want) and any(n for _, _, n in want)
 
 
-def test_theorem_lines_are_linked(run):
-    docs = [(1, "\n".join(["x" * 400, "Theorem 1 holds", "and so on", "y" * 400, "Proof of theorem 1", "Lemma 2 too"]))]
-    talk = [(1, 0, "user", "a note")]
-    got = run("GR20_inner_edges", documents=(docs, "doc_id long, text string"), conversations=(talk, "conv_id long, turn int, role string, text string"))
-    assert {tuple(r) for r in got} == {(1, "chapter", 1, 4, 60), (1, "theorem", 2, 5, 50), (1, "theorem", 5, 6, 50)}
+def test_theorem_lines_are_linked(spark):
+    """Chapters in their order, theorem lines within their chapter; blank notes and titles as the rule has them."""
+    from quillmill.operators import graph
+
+    long = "Proposition " + "é" * 400
+    chapters = [
+        ("b", 1, " One\t", "x\r\nTheorem 1 holds\nand so on\x0b  Proof of theorem 1  \u2028Lemma\nLemma two of it", 9), ("b", 4, None, "", 0),
+        ("b", 9, "", long + "\n", 1), ("c", 2, "Two", None, 3),
+    ]
+    notes = [("b", 1, 7, None, "a thought", "idea"), ("b", 1, 8, "a quote", "", "idea"), ("b", 1, 9, "", None, "mark"), ("b", 4, 10, None, " ", " "), ("b", 4, 11, "  ", "t", "k")]
+    c = spark.createDataFrame(chapters, "doc string, chapter long, title string, text string, words int")
+    n = spark.createDataFrame(notes, "doc string, chapter long, note long, quote string, text string, kind string")
+    nodes = graph.inner_nodes(c, n)
+    got = {(r.doc, r.level, r.chapter, r.pos, r.title, r.summary, r.importance) for r in nodes.collect()}
+    want = {
+        ("b", "chapter", 1, None, "One", "x\r\nTheorem 1 holds\nand so on\x0b  Proof of theorem 1  \u2028Lemma\nLemma two of it", 4), ("b", "chapter", 4, None, "Chapter 4", "", 2),
+        ("b", "chapter", 9, None, "Chapter 9", long[:200], 4), ("c", "chapter", 2, None, "Two", "", 4),
+        ("b", "theorem", 1, 2, "Theorem 1 holds", "Theorem 1 holds", 5), ("b", "theorem", 1, 4, "Proof of theorem 1", "Proof of theorem 1", 5),
+        ("b", "theorem", 1, 6, "Lemma two of it", "Lemma two of it", 5), ("b", "theorem", 9, 1, long[:50], long[:300], 5),
+        ("b", "note", 1, 7, "a thought", "a thought", 5), ("b", "note", 1, 8, "a quote", "a quote", 5), ("b", "note", 1, 9, "mark", "", 5),
+    }
+    assert got == want
+    assert {tuple(r) for r in graph.inner_edges(nodes).collect()} == {
+        ("b", "chapter", 1, 1, 4, 60), ("b", "chapter", 4, 4, 9, 60), ("b", "theorem", 1, 2, 4, 50), ("b", "theorem", 1, 4, 6, 50)
+    }
+
+
+def test_the_tables_have_theorem_lines_in_a_row(spark, sf_dir):
+    levels = {r.level: r["count"] for r in __import__("__spark_entry__").queries()["GR20_inner_edges"](spark, sf_dir).groupBy("level").count().collect()}
+    assert levels["chapter"] > 10 and levels["theorem"] > 10
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_questions_against_texts(spark, monkeypatch, most):
+    """By dictionary and by joins: own documents left out, points and entries counted up to their limits."""
+    from quillmill.operators import graph
+
+    monkeypatch.setattr(graph, "DICTIONARY", most)
+    rng = __import__("random").Random(21)
+    vocab = [f"w{k}" for k in range(30)]
+    asks = [(f"q{k}", k % 4, x) for k in range(6) for x in rng.sample(vocab, 5)]
+    texts = [(d, [sorted(set(rng.choices(vocab, k=3))) for _ in range(rng.randrange(14))]) for d in range(8)] + [(20, None), (21, [])]
+    hits = [(d, e, x) for d in (1, 2, 30) for e in range(8) for x in rng.sample(vocab, 3)]
+    got = graph.appears_in_texts(
+        spark.createDataFrame(asks, "src string, doc long, term string"), spark.createDataFrame(texts, "doc long, points array<array<string>>"),
+        spark.createDataFrame(hits, "doc long, entry long, term string"),
+    )
+    want = set()
+    for q in {a[0] for a in asks}:
+        mine, own = {x for s, _, x in asks if s == q}, next(d for s, d, _ in asks if s == q)
+        for d in [t[0] for t in texts] + [30]:
+            points = [set(p) & mine for t, ps in texts if t == d for p in ps or []]
+            entries = {}
+            for dd, e, x in hits:
+                if dd == d and x in mine:
+                    entries.setdefault(e, set()).add(x)
+            every = set().union(*points, *entries.values())
+            if every and d != own:
+                want.add((q, d, len(every), tuple(sorted(every)[:6]), min(10, sum(map(bool, points))), min(5, len(entries))))
+    assert {(r.src, r.doc, r.matched, tuple(r.common), r.points, r.entries) for r in got.collect()} == want
 
 
 def test_entries_are_looked_up(run):
