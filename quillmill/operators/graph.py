@@ -221,21 +221,48 @@ def posterior(books: DataFrame, features: DataFrame, least: int = 3) -> DataFram
     return got.select("node", F.when(stay, F.col("cluster")).when(move, F.col("best")).when(F.col("cluster") != "", F.col("cluster")).otherwise(F.coalesce("first", F.lit(""))).alias("cluster"))
 
 
+def overlapping(sets: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of items a < b that share at least ``least`` keys; sets (i, k), each row once.
+
+    Prefix filter: with the keys of each item from the rarest to the most common, items that share ``least`` keys also
+    share one that is not among the last ``least`` - 1 of either, so the most common keys bring no pairs together.
+    Candidates' whole sets are compared.
+    """
+    many = sets.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
+    own = sets.join(many, "k").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("ks")).filter(F.size("ks") >= least)
+    own = materialize(own.select("i", F.transform("ks", lambda x: x["k"]).alias("ks")), "overlap")
+    front = own.select("i", F.explode(F.slice("ks", F.lit(1), F.size("ks") - (least - 1))).alias("k"))
+    a, b = front.alias("a"), front.alias("b")
+    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
+    both = pairs.join(own.select(F.col("i").alias("a"), F.col("ks").alias("x")), "a").join(own.select(F.col("i").alias("b"), F.col("ks").alias("y")), "b")
+    return both.filter(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
+
+
 def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5) -> DataFrame:
     """(cluster, merged): where each cluster ends, when clusters that share ``least`` terms merge one pair at a time.
 
     Clusters come in order of their smallest book; the first pair in that order merges, the larger side keeps its
-    name (the first on ties) and its place, with the terms of both; then again. Clusters that no chain of shared terms
-    joins cannot meet, so each component of the graph of shared terms is merged by itself, in a task that holds its
-    clusters' terms. Nothing reaches the driver.
+    name (the first on ties) and its place, with the terms of both; then again. What can ever merge is found without any
+    order first: groups that share ``least`` terms are joined and their terms united, as Spark rounds, until no two groups
+    share so many. A cluster's terms, whatever it has taken in, are among its group's, so clusters of two groups never
+    merge, and each group goes through the rule by itself, in a task that holds its clusters' terms; a group is
+    those that overlaps chain together, not all that have a word in common. Nothing reaches the driver.
     """
-    of = features.join(books, "node").select("cluster", "term").distinct()
-    heads = books.groupBy("cluster").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-    posted = of.join(heads.select("cluster", "first"), "cluster")
-    star = posted.groupBy("term").agg(F.min("first").alias("b"))
-    edges = posted.join(star, "term").select(F.col("first").alias("a"), "b").distinct()
+    of = materialize(features.join(books, "node").select("cluster", "term").distinct(), "merge")
+    heads = materialize(books.groupBy("cluster").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "merge")
+    group = heads.select("cluster", F.col("first").alias("g"))
+    while True:
+        sets = of.join(group, "cluster").select(F.col("g").alias("i"), F.col("term").alias("k")).distinct()
+        pairs = materialize(overlapping(sets, least), "merge")
+        if pairs.isEmpty():
+            break
+        comp = components(pairs)
+        group = materialize(group.join(comp, F.col("g") == F.col("node"), "left").select("cluster", F.coalesce("component", "g").alias("g")), "merge")
+    size = group.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    inside = heads.join(group, "cluster").join(size, "g")
+    alone = inside.filter("m = 1").select("cluster", F.col("cluster").alias("merged"))
     terms = of.groupBy("cluster").agg(F.collect_list("term").alias("terms"))
-    rows = by_component(heads.join(terms, "cluster", "left"), "first", edges)
+    rows = inside.filter("m > 1").join(terms, "cluster", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
@@ -257,7 +284,7 @@ def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5) -> Dat
             at = 0  # the merged cluster may share enough with an earlier one now
         return pd.DataFrame({"cluster": list(end), "merged": list(end.values())})
 
-    return rows.groupBy("component").applyInPandas(run, "cluster string, merged string")
+    return alone.unionByName(rows.groupBy("g").applyInPandas(run, "cluster string, merged string"))
 
 
 def rename_clusters(named: DataFrame, counts: DataFrame, preferred: DataFrame) -> DataFrame:

@@ -135,6 +135,24 @@ def test_cluster_merge(spark, t, rows):
     one = spark.createDataFrame(list(books.items()), "node long, cluster string")
     two = spark.createDataFrame([(n, x) for n, xs in features.items() for x in xs], "node long, term string")
     assert {r.cluster: r.merged for r in graph.merge_clusters(one, two, 4).collect()} == plain_merge(books, features, 4)
+    # words common to all, fewer than a merge needs; chains that only meet by what others brought in
+    books = {n: f"c{n:02}" for n in range(60)}
+    features = {n: {"of", "and", "the"} | {f"g{n // 6}w{(n + j) % 9}" for j in range(3)} for n in range(60)}
+    two = spark.createDataFrame([(n, x) for n, xs in features.items() for x in xs], "node long, term string")
+    one = spark.createDataFrame(list(books.items()), "node long, cluster string")
+    got = graph.merge_clusters(one, two, 5)
+    want = plain_merge(books, features, 5)
+    assert {r.cluster: r.merged for r in got.collect()} == want and 1 < len(set(want.values())) < 60
+
+
+def test_overlap_pairs(spark):
+    rng = __import__("random").Random(3)
+    sets = {i: {"common", "word"} | {f"k{rng.randrange(40)}" for _ in range(rng.randrange(12))} for i in range(50)}
+    df = spark.createDataFrame([(i, k) for i, ks in sets.items() for k in ks], "i long, k string")
+    for least in (1, 2, 3, 5):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+        got = [tuple(r) for r in graph.overlapping(df, least).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def plain_rename(wish):
