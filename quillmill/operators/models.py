@@ -8,13 +8,18 @@ missing or failing model changes nothing but that table.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.storage import materialize
+
 # What directions and relation types a model may name.
 DIRECTIONS = ("无", "承接", "发展", "批判")
 RELATIONS = ("主题相似", "概念共现", "理论传承", "应用扩展")
@@ -91,3 +96,82 @@ def summaries(chunks: DataFrame, doc: str, text: str, client: Client | None = No
     parts = F.array_sort(F.collect_list(F.when(F.col("reply").isNotNull(), F.struct("pos", "reply"))))
     out = got.groupBy(doc).agg(F.count(F.lit(1)).alias("chunks"), parts.alias("p"))
     return out.select(doc, "chunks", F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda s: s["reply"]), "\n")).alias("summary"))
+
+
+@dataclass(frozen=True)
+class Echo:
+    """A stand-in for a model: says the first ``size`` characters of a prompt behind ``mark``, nothing where the prompt's length is a multiple of ``skip``."""
+
+    size: int
+    skip: int = 0
+    mark: str = ""
+    name: str = "echo"
+
+    def complete(self, prompts: list[str]) -> list[str | None]:
+        return [None if self.skip and len(x) % self.skip == 0 else self.mark + x[: self.size] for x in prompts]
+
+
+def summarised(docs: DataFrame, doc: str, text: str, client: Client | None = None, block: int = 65_536) -> DataFrame:
+    """(doc, blocks, failed, summary): summaries of long texts by blocks of ``block`` characters, one document a row.
+
+    Map: every block is a prompt of its own, spread over the tasks. Reduce: the partial summaries in order, with the numbers
+    of the blocks that failed named behind them, are a prompt again where there is more than one block; if that fails the
+    partial summaries stand. ``failed`` holds the numbers of the blocks without a reply. No block answered, or no text: null.
+    """
+    size = F.coalesce(F.length(text), F.lit(0))
+    cut = docs.filter(size > 0).select(doc, F.explode(F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int"))).alias("k"), text)
+    cut = cut.select(doc, "k", F.substring(text, F.col("k") * block + 1, F.lit(block)).alias("part")).withColumn("_key", F.concat_ws("-", F.col(doc).cast("string"), "k"))
+    got = cut.join(replies(cut, "_key", F.col("part"), client), "_key", "left")
+    parts = F.array_sort(F.collect_list(F.struct("k", "reply")))  # a document's blocks: as many as its own length asks for
+    got = got.groupBy(doc).agg(F.count(F.lit(1)).alias("blocks"), parts.alias("p"))
+    said = F.array_join(F.transform(F.filter("p", lambda s: s["reply"].isNotNull()), lambda s: s["reply"]), "\n")
+    failed = F.transform(F.filter("p", lambda s: s["reply"].isNull()), lambda s: s["k"])
+    whole = F.concat(said, F.when(F.size(failed) > 0, F.concat(F.lit("\n[missing: "), F.array_join(failed.cast("array<string>"), ","), F.lit("]"))).otherwise(""))
+    any_ = F.exists("p", lambda s: s["reply"].isNotNull())
+    got = materialize(got.select(doc, "blocks", failed.alias("failed"), F.when(any_, whole).alias("whole"), F.when(any_, said).alias("said")), "summaries")
+    last = replies(got.filter("blocks > 1 and whole is not null"), doc, F.col("whole"), client)
+    out = got.join(last, doc, "left")
+    out = out.select(doc, "blocks", "failed", F.when(F.col("blocks") > 1, F.coalesce("reply", "whole")).otherwise(F.col("said")).alias("summary"))
+    none = docs.filter(size == 0).select(doc, F.lit(0).cast("bigint").alias("blocks"), F.array().cast("array<int>").alias("failed"), F.lit(None).cast("string").alias("summary"))
+    return out.unionByName(none)
+
+
+# -- transcriptions, kept by content -----------------------------------------------------------------------------
+
+
+def content_key(content: Column, params: dict) -> Column:
+    """What a transcription is kept under: a digest of the content and of all parameters that shape the result."""
+    return F.sha2(F.concat_ws("|", F.sha2(F.coalesce(content, F.lit("")), 256), F.lit(json.dumps(params, sort_keys=True))), 256)
+
+
+def cached(spark: SparkSession, path: str, kind: str = "text") -> DataFrame:
+    """The transcriptions (digest, reply) of a cache, or with ``kind`` "failed" the tries that failed (digest, run)."""
+    schema = "digest string, reply string" if kind == "text" else "digest string, run string"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    got = spark.read.schema(schema).parquet(f"{path}/{kind}")
+    return got.groupBy("digest").agg(F.min("reply").alias("reply")) if kind == "text" else got.distinct()
+
+
+def transcribe(pages: DataFrame, content: str, client: Client | None, cache: str, params: dict | None = None) -> DataFrame:
+    """Adds (digest, transcript, status) to pages: their transcription by content, asked for only where the cache has none.
+
+    The cache is two tables in a shared folder: texts by digest, and tries that failed, which are asked for again by the
+    next run. Equal pages are one prompt. Runs only add files, and one digest read twice is one text, so a job that is repeated
+    or runs beside another changes nothing. status: cached, new or failed (transcript null). Null contents count as empty,
+    columns named digest, transcript and status are replaced.
+    """
+    spark, params = pages.sparkSession, {"client": getattr(client, "name", None)} | (params or {})
+    keyed = pages.withColumn("digest", content_key(F.col(content), params))
+    known = cached(spark, cache).select("digest", F.col("reply").alias("known"))
+    wanted = keyed.select("digest", F.coalesce(F.col(content), F.lit("")).alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
+    wanted = materialize(wanted.join(known, "digest", "left_anti"), "wanted")
+    said = materialize(replies(wanted, "digest", F.col("content"), client), "transcripts")
+    lost = wanted.join(said, "digest", "left_anti").select("digest", F.lit(uuid.uuid4().hex).alias("run"))
+    before = materialize(keyed.select("digest").distinct().join(known, "digest"), "known")  # as it was before this run's files
+    said.write.mode("append").parquet(f"{cache}/text")
+    lost.write.mode("append").parquet(f"{cache}/failed")
+    got = keyed.drop("transcript", "status").join(before, "digest", "left").join(said, "digest", "left")
+    status = F.when(F.col("known").isNotNull(), "cached").when(F.col("reply").isNotNull(), "new").otherwise("failed")
+    return got.withColumn("transcript", F.coalesce("known", "reply")).withColumn("status", status).drop("known", "reply")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +39,59 @@ def fold_aliases(df: DataFrame, by: Sequence[str], term: str, weight: str, alias
     return got.groupBy(*by, F.coalesce("_c", term).alias(term)).agg(F.sum(weight).alias(weight))
 
 
+#: A lexicon of so many terms at most is one automaton that every worker holds; some hundred bytes a term.
+AUTOMATON = 1_000_000
+#: What a term that is not Han may not touch.
+_INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789-")
+
+
 def lexicon_hits(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """(key, term): lexicon terms in a text; Han terms as substrings, others at word bounds in any case.
+    """(key, term): distinct lexicon terms in each row's text; Han terms as substrings, others at word bounds in any case.
 
-    The lexicon (term) is a small dictionary: it is broadcast if Spark's estimate of it is within bounds.
+    Each text is gone through once, by an Aho-Corasick automaton of the lexicon (term), whatever number of terms it has; bounds are
+    looked at where there is a hit. Null texts and empty terms hit nothing. The lexicon is broadcast up to AUTOMATON terms and
+    joined condition by condition beyond.
     """
     from quillmill.functions.text import HAN
-    from quillmill.operators.relational import small
 
-    han = F.col("term").rlike(f"[{HAN}]")
-    lex = lexicon.select("term", han.alias("_han"), F.concat(F.lit(r"(?<![a-z0-9\-])\Q"), F.lower("term"), F.lit(r"\E(?![a-z0-9\-])")).alias("_re"))
-    hit = F.when(F.col("_han"), F.contains(F.col(text), F.col("term"))).otherwise(F.contains(F.lower(F.col(text)), F.lower("term")) & F.rlike(F.lower(F.col(text)), F.col("_re")))
-    return df.select(key, text).join(small(lex), hit).select(key, "term")
+    lex = lexicon.select("term").filter("term <> ''").distinct().select("term", F.col("term").rlike(f"[{HAN}]").alias("han"), F.lower("term").alias("low"))
+    found = lex.limit(AUTOMATON + 1).toArrow()
+    if found.num_rows > AUTOMATON:
+        bounded = F.concat(F.lit(r"(?<![a-z0-9\-])\Q"), "low", F.lit(r"\E(?![a-z0-9\-])"))
+        hit = F.when(F.col("han"), F.contains(F.col(text), F.col("term"))).otherwise(F.contains(F.lower(F.col(text)), F.col("low")) & F.rlike(F.lower(F.col(text)), bounded))
+        return df.select(key, text).join(lex, hit).select(key, "term")
+    shared = df.sparkSession.sparkContext.broadcast(found.to_pylist())
+
+    def run(batches):
+        import ahocorasick
+
+        han, other = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for r in shared.value:
+            form = r["term"] if r["han"] else r["low"]
+            a = han if r["han"] else other
+            a.add_word(form, (len(form), [*(a.get(form)[1] if form in a else []), r["term"]]))
+        for a in (han, other):
+            a.make_automaton()
+        for b in batches:
+            rows, terms = [], []
+            for k, (x, low) in enumerate(zip(b["text"], b["low"], strict=True)):
+                if (x := x.as_py()) is None:
+                    continue
+                got = set()
+                if len(han):
+                    for _, (_, own) in han.iter(x):
+                        got.update(own)
+                if len(other):
+                    low = low.as_py()
+                    for end, (size, own) in other.iter(low):
+                        if (end - size < 0 or low[end - size] not in _INSIDE) and (end + 1 == len(low) or low[end + 1] not in _INSIDE):
+                            got.update(own)
+                rows += [k] * len(got)
+                terms += sorted(got)
+            yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(rows, pa.int64())), pa.array(terms, pa.string())], ["key", "term"])
+
+    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lower(text).alias("low"))
+    return src.mapInArrow(run, f"key {dict(src.dtypes)['key']}, term string").select(F.col("key").alias(key), "term")
 
 
 def preferences(df: DataFrame, doc: str, text: str, per_doc: int = 15, top: int = 60, sink: int = 2) -> tuple[DataFrame, DataFrame]:

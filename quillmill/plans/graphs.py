@@ -37,9 +37,12 @@ def weighted_vectors(t: Tables) -> DataFrame:
 
 
 def part_edges(t: Tables, least: int = 3) -> DataFrame:
-    """Suppliers that share parts, with a similarity: (a, b, sim)."""
+    """Suppliers of neighbouring nations that share parts, with a similarity: (a, b, sim). Five nations are a chain of their own, so
+    the graph has several components."""
     p = R.shared_key_pairs(t.lineitem, "l_suppkey", "l_partkey", least)
-    return p.select("a", "b", (F.col("shared") / 40.0).alias("sim"))
+    home = lambda end: t.supplier.select(F.col("s_suppkey").alias(end), F.col("s_nationkey").alias(f"n{end}"))
+    near = p.join(R.small(home("a")), "a").join(R.small(home("b")), "b").filter("na div 5 = nb div 5 and abs(na - nb) <= 1")
+    return near.select("a", "b", (F.col("shared") / 1500.0).alias("sim"))
 
 
 def suppliers(t: Tables) -> DataFrame:

@@ -325,11 +325,38 @@ def _(t):
     return got.select("a", "b", "strength", "direction", "relation")
 
 
-@query("LM2_summaries", "select doc_id, count(*) as chunks, null::varchar as summary from " + L_ + " group by doc_id")
+# a stand-in answers with a prompt's beginning and fails on lengths divisible by 7
+@query("LM2_summaries", """
+with b as (select doc_id, k, substr(text, k * 65536 + 1, 65536) as part from (select doc_id, text, unnest(range(0, (length(text) - 1) // 65536 + 1)) as k from documents where length(text) > 0)),
+r as (select doc_id, k, case when length(part) % 7 <> 0 then left(part, 40) end as reply from b),
+g as (select doc_id, count(*) as blocks, list(k::int order by k) filter (where reply is null) as failed, string_agg(reply, chr(10) order by k) as said from r group by doc_id),
+w as (select *, said || case when failed is null then '' else chr(10) || '[missing: ' || array_to_string(failed, ',') || ']' end as whole from g)
+select doc_id, blocks, array_to_string(coalesce(failed, []), ',') as failed, case when blocks = 1 then said when length(whole) % 7 <> 0 then left(whole, 40) else whole end as summary from w
+union all select doc_id, 0, '', null from documents where coalesce(length(text), 0) = 0
+""")
+def _(t):
+    from quillmill.operators.models import Echo, summarised
+
+    got = summarised(t.documents, "doc_id", "text", Echo(40, 7))
+    return got.select("doc_id", "blocks", F.array_join(F.col("failed").cast("array<string>"), ",").alias("failed"), "summary")
+
+
+@query("LM5_transcription", """
+select page_id, case when length(coalesce(html, '')) % 11 = 0 then 'new' else 'cached' end as status, case when length(coalesce(html, '')) % 11 = 0 then 'again: ' else '' end || left(coalesce(html, ''), 60) as transcript,
+  (select count(distinct html) from pages) as prompts, (select count(distinct coalesce(html, '')) from pages where length(coalesce(html, '')) % 11 = 0) as failed_first
+from pages
+""")
 def _(t):
-    from quillmill.operators.models import summaries
+    """Twice over all pages: what failed at first is asked for again, nothing else is."""
+    from quillmill.operators.models import Echo, cached, transcribe
+    from quillmill.storage import expire, fresh_path
 
-    return summaries(t.lines, "doc_id", "line")
+    cache = fresh_path(t.spark, "transcription-cache")
+    expire(t.spark, cache)
+    transcribe(t.pages, "html", Echo(60, 11), cache)
+    again = transcribe(t.pages, "html", Echo(60, 0, "again: "), cache)
+    texts, lost = cached(t.spark, cache).agg(F.count(F.lit(1)).alias("prompts")), cached(t.spark, cache, "failed").agg(F.count_distinct("digest").alias("failed_first"))
+    return again.select("page_id", "status", "transcript").crossJoin(F.broadcast(texts)).crossJoin(F.broadcast(lost))
 
 
 @query("RD5_book_detail", """
@@ -407,15 +434,37 @@ def _(t):
     return X.search(t.documents, "doc_id", "text", "schung", enabled=False)
 
 
-@query("RD9_page_cache", "select conv_id as doc, count(*) as pages, count(*) as cached, '' as missing from conversations group by conv_id")
+@query("RD9_page_cache", """
+with p as (select page_id // 20 as doc, page_id as idx, length(coalesce(html, '')) % 11 <> 0 as ok from pages)
+select doc, count(*) as pages, count_if(ok)::bigint as cached, coalesce(string_agg(idx::varchar, ',' order by idx) filter (where not ok), '') as missing from p group by doc
+""")
 def _(t):
+    """Twenty pages are a document; pages whose transcription failed are missing."""
+    from quillmill.operators.models import Echo, transcribe
     from quillmill.sources.books import page_status
+    from quillmill.storage import expire, fresh_path
 
-    w = t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("idx"))
-    got = page_status(w, w)
+    cache = fresh_path(t.spark, "transcription-cache")
+    expire(t.spark, cache)
+    p = t.pages.withColumn("doc", F.expr("page_id div 20")).withColumn("idx", F.col("page_id"))
+    read = transcribe(p, "html", Echo(60, 11), cache).filter("status <> 'failed'")
+    got = page_status(p.select("doc", "idx"), read.select("doc", "idx"))
     return got.select("doc", "pages", "cached", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 
+@query("SM2_stale_guard", """
+with c as (select client_id, click_id, arrived_at, ts, date_diff('day', date '1970-01-01', ts::date) as generation from clicks where arrived_at is not null and ts is not null),
+m as (select *, max(generation) over (partition by client_id order by arrived_at, click_id, ts rows unbounded preceding) as newest from c)
+select client_id, click_id, generation::int as generation from m where generation >= newest
+""")
+def _(t):
+    """Clicks of a day that a client's later day had overtaken when they arrived are refused."""
+    from quillmill.streaming.jobs import current_only
+
+    c = t.clicks.filter("arrived_at is not null and ts is not null").withColumn("generation", F.unix_date(F.to_date("ts")))
+    return current_only(c, "client_id", "generation", ["arrived_at", "click_id", "ts"], F.to_date("arrived_at")).select("client_id", "click_id", "generation")
+
+
 @query("SM3_incremental_edges", """
 with d as (select distinct l_suppkey as i, l_partkey as k from lineitem), n as (select d.* from d join supplier on s_suppkey = i where s_acctbal > 9000)
 select least(n.i, d.i) as a, greatest(n.i, d.i) as b, count(distinct n.k) as shared from n join d on d.k = n.k and d.i <> n.i group by all

@@ -233,15 +233,15 @@ def _(t):
 
 @query("JN6_same_cluster", """
 with s as (select s_suppkey as i, s_nationkey as c from supplier where s_nationkey <> 0),
-d as (select distinct l_suppkey as i, l_partkey as k from lineitem),
-e as (select a.i as a, b.i as b from d a join d b on a.k = b.k and a.i < b.i group by all having count(*) >= 2)
+d as (select distinct l_suppkey as i, l_orderkey as k from lineitem),
+e as (select a.i as a, b.i as b from d a join d b on a.k = b.k and a.i < b.i group by all having count(*) >= 25)
 select a.i as a, b.i as b, 8.0::double as strength from s a join s b on a.c = b.c and a.i < b.i
 where not exists (select 1 from e where e.a = a.i and e.b = b.i)
 """)
 def _(t):
     s = t.supplier.filter("s_nationkey <> 0").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").alias("c"))
     pairs = R.shared_key_pairs(s, "i", "c", 1).select("a", "b")
-    return pairs.join(R.shared_key_pairs(t.lineitem, "l_suppkey", "l_partkey", 2).select("a", "b"), ["a", "b"], "left_anti").withColumn("strength", F.lit(8.0))
+    return pairs.join(R.shared_key_pairs(t.lineitem, "l_suppkey", "l_orderkey", 25).select("a", "b"), ["a", "b"], "left_anti").withColumn("strength", F.lit(8.0))
 
 
 @query("JN7_one_against_all", """

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -101,6 +102,88 @@ def latest(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(max(done)) if done else None
 
 
+# -- stale generations -------------------------------------------------------------------------------------------
+
+
+def current_only(events: DataFrame, key: str, generation: str, order: list[str], bucket) -> DataFrame:
+    """The events whose generation no earlier event of their key had overtaken, in ``order``; null generations are refused.
+
+    ``bucket`` is a column that grows with the first of ``order``: the newest generation is carried from bucket to bucket, then
+    followed inside each, so a key that has most events is not one task's.
+    """
+    e = events.withColumn("_bucket", bucket)
+    w = W.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    per = e.groupBy(key, "_bucket").agg(F.max(generation).alias("_top"))
+    before = F.max("_top").over(W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    per = per.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), before.alias("_before"))
+    got = e.withColumn("_inside", F.max(generation).over(w)).join(per, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return got.filter(F.col(generation) >= F.greatest("_inside", "_before")).select(*events.columns)
+
+
+def guarded(events: DataFrame, key: str, generation: str, order: list[str]) -> DataFrame:
+    """``current_only`` over a stream: a key's state is the newest generation seen; events of an older one are dropped."""
+    names = events.columns
+
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(batches)).sort_values(order)
+        newest = got[generation].cummax()
+        if state.exists:
+            newest = newest.clip(lower=state.get[0])
+        if len(newest) and pd.notna(newest.max()):
+            state.update((int(newest.max()),))
+        yield got[got[generation] >= newest][names]
+
+    return events.groupBy(key).applyInPandasWithState(run, events.schema, "newest bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+class StaleGenerationError(RuntimeError):
+    """A writer found that a newer generation has taken over."""
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def claim(spark: SparkSession, path: str) -> int:
+    """Takes over a table of ``fenced``: the number of a new generation, newer than all before. Atomic, as a folder is made once."""
+    g = max([int(x.partition("=")[2]) for x in _listed(spark, path) if x.startswith("generation=")], default=0)
+    while True:
+        g += 1
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={g:09d}/claim")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.createNewFile(p):
+            return g
+
+
+def fenced(stream: DataFrame, generation: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream's batches as one generation of a table. Once a newer one has been claimed, a batch is refused.
+
+    Batches lie in their generation's folder, one folder a batch, so a repeated batch replaces itself, and readers follow the newest
+    generation only: whatever an overtaken writer still writes, even between check and commit, is in no result.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        newest = max(int(x.partition("=")[2]) for x in _listed(spark, path) if x.startswith("generation="))
+        if newest > generation:
+            raise StaleGenerationError(f"generation {generation} of {path} was overtaken by {newest}")
+        batch.write.mode("overwrite").parquet(f"{path}/generation={generation:09d}/epoch={epoch:012d}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """What the newest generation of a ``fenced`` table has committed; None if nothing."""
+    of = [x for x in _listed(spark, path) if x.startswith("generation=")]
+    if not of:
+        return None
+    root = f"{path}/{of[-1]}"
+    done = [f"{root}/{x}" for x in _listed(spark, root) if x.startswith("epoch=") and "_SUCCESS" in _listed(spark, f"{root}/{x}")]
+    return spark.read.parquet(*done) if done else None
+
+
 def growing_edges(stream: DataFrame, static: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Edges (a, b, shared) of new items (i, k) against all items so far, added batch by batch; old edges stay."""
 

@@ -66,3 +66,46 @@ def test_growing_edges(spark, tmp_path):
     every = relational.shared_key_pairs(items.unionByName(new), "i", "k")
     assert got == {tuple(r) for r in every.filter("b >= 4").collect()} == {(1, 4, 2), (2, 4, 1), (3, 4, 1)}
     assert similarity.delta_pairs(new, items.unionByName(new), spark.createDataFrame([(1, 4)], "a bigint, b bigint")).count() == 2
+
+
+def test_stale_generations_are_dropped(spark, tmp_path):
+    """The stream, batch by batch, gives what its batch twin gives over all rows."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(4), max(0, k // 20 - rng.randrange(3)), k) for k in range(200)]
+    df = spark.createDataFrame(rows, "key long, generation long, at long")
+    for k in range(4):
+        df.filter(f"at div 50 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    newest, want = {}, set()
+    for key, g, at in rows:
+        newest[key] = max(newest.get(key, 0), g)
+        if g >= newest[key]:
+            want.add((key, g, at))
+    from pyspark.sql import functions as F
+
+    twin = jobs.current_only(df, "key", "generation", ["at"], F.expr("at div 30"))
+    assert {tuple(r) for r in twin.collect()} == want and len(want) < len(rows)
+    whole = jobs.guarded(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "key", "generation", ["at"])
+    got = jobs.run_to_end(whole, "guarded", "append", f"{tmp_path}/cp")
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_an_overtaken_writer_changes_nothing(spark, tmp_path):
+    import pytest
+
+    path, source = f"file://{tmp_path}/table", f"{tmp_path}/in"
+    spark.range(5).coalesce(1).write.parquet(source)
+    stream = lambda: spark.readStream.schema("id long").parquet(source)
+    one = jobs.claim(spark, path)
+    jobs.fenced(stream(), one, path, f"{tmp_path}/cp1").awaitTermination()
+    assert jobs.current(spark, path).count() == 5
+    two = jobs.claim(spark, path)
+    assert two > one and jobs.current(spark, path) is None
+    jobs.fenced(stream(), two, path, f"{tmp_path}/cp2").awaitTermination()
+    spark.range(5, 9).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="overtaken"):
+        jobs.fenced(stream(), one, path, f"{tmp_path}/cp1").awaitTermination()
+    assert sorted(r.id for r in jobs.current(spark, path).collect()) == [0, 1, 2, 3, 4]
+    jobs.fenced(stream(), two, path, f"{tmp_path}/cp2").awaitTermination()
+    assert sorted(r.id for r in jobs.current(spark, path).collect()) == [*range(9)]

@@ -109,3 +109,30 @@ def test_profile_terms():
     lex, stop = frozenset(["泛函", "Hilbert"]), frozenset(["任意"])
     got = dict(text_udf.profile_terms("泛函 任意 Hilbert \\frac{a1}{b} space space 123", lex, stop, {"space": "空间"}))
     assert got["泛函"] == 3 and got["Hilbert"] == 3 and got["空间"] == 2 and "123" not in got and "任意" not in got and "frac" not in got
+
+
+def test_lexicon_by_automaton(spark, monkeypatch):
+    """Equal to the condition by condition join, with terms inside terms, at bounds, in any case, and Han ones."""
+    import random
+
+    from quillmill.operators import terms as O
+
+    rng = random.Random(12)
+    words = ["Graph", "graph theory", "theory", "a.b", "x-ray", "ray", "图论", "论", "Ä", "c++", "42"]
+    texts = [" ".join(rng.choice([*words, "graphs", "pre-graph", "THEORY,", "(x-ray)", "图论x", "ä"]) for _ in range(6)) for _ in range(60)] + [None, "", "graph"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lex = spark.createDataFrame([(w,) for w in [*words, "", None, "theory"]], "term string")
+    got = [tuple(r) for r in O.lexicon_hits(df, "id", "text", lex).collect()]
+    monkeypatch.setattr(O, "AUTOMATON", 3)
+    want = [tuple(r) for r in O.lexicon_hits(df, "id", "text", lex).collect()]
+    assert sorted(got) == sorted(want) and len(set(got)) == len(got) > 60
+
+
+def test_a_large_lexicon(spark):
+    from quillmill.operators import terms as O
+
+    lex = spark.range(100_000).selectExpr("concat('term', id) as term")
+    df = spark.createDataFrame([(1, "term7 term99999 term100000 xterm8 term5-a TERM42"), (2, None)], "id long, text string")
+    got = O.lexicon_hits(df, "id", "text", lex)
+    assert {tuple(r) for r in got.collect()} == {(1, "term7"), (1, "term99999"), (1, "term42")}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
