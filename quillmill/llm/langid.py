@@ -217,8 +217,9 @@ def fit(labelled: DataFrame, smoothing: float = 0.5, buckets: int = BUCKETS, oth
     return Blocks(langs, parts)
 
 
-def _weighed(docs: DataFrame, part) -> DataFrame:
-    """(row, text, and what is known so far) after one more block of languages: the better best, the sum of both sums."""
+def _weighed(docs: DataFrame, part, last: bool) -> DataFrame:
+    """(row, text unless this block is the ``last``, and what is known so far) after one more block of languages: the better
+    best, the sum of both sums."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     numbers = ("top", "mass", "against", "grams")
@@ -233,11 +234,12 @@ def _weighed(docs: DataFrame, part) -> DataFrame:
                 names = [y if x is None or (y is not None and t > u) else x for x, y, t, u in zip(was, names, top.tolist(), was_top.tolist(), strict=True)]
                 top, mass = np.maximum(top, was_top), np.logaddexp(mass, was_mass)
             yield pa.RecordBatch.from_arrays(
-                [b["row"], b["text"], pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in (top, mass, against, size)]], ["row", "text", "lang", *numbers]
+                [b["row"], *[b["text"]] * (not last), pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in (top, mass, against, size)]],
+                ["row", *["text"] * (not last), "lang", *numbers],
             )
         release()
 
-    kept = [docs.schema["row"], StructField("text", StringType()), StructField("lang", StringType())]
+    kept = [docs.schema["row"], *[StructField("text", StringType())] * (not last), StructField("lang", StringType())]
     return docs.mapInArrow(run, StructType([*kept, *[StructField(k, DoubleType()) for k in numbers]]))
 
 
@@ -258,8 +260,8 @@ def predict(
     spark = docs.sparkSession
     parts = model.parts if isinstance(model, Blocks) else [spark.sparkContext.broadcast(model)]
     got = packed(docs, text=F.col(f"`{text_col}`").cast("string"))
-    for part in parts:
-        got = _weighed(got, part)
+    for k, part in enumerate(parts):
+        got = _weighed(got, part, last=k == len(parts) - 1)
     new = {names[0]: F.coalesce("lang", F.lit("und")), names[1]: F.when(F.col("lang").isNull(), 0.0).otherwise(F.exp(F.col("top") - F.col("mass")))}
     if margin is not None:
         new[margin] = F.when(F.col("lang").isNotNull(), (F.col("top") - F.col("against")) / F.col("grams"))
