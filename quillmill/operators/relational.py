@@ -72,16 +72,34 @@ def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
     return one.unionByName(edges.withColumn("node", F.col(b)).withColumn("other", F.col(a)))
 
 
+#: Rows of a key that meet as one unit; a key of more is cut into chunks, each pair of which is a unit of its own.
+CHUNK = 2048
+
+
+def meeting(df: DataFrame, item: str, key: str, chunk: int = CHUNK) -> DataFrame:
+    """All pairs of rows that share a key: structs (x, y), each unordered pair of rows with different items once, x's item the smaller.
+
+    A key's rows are dealt by their item's hash into chunks of about ``chunk`` rows; two chunks meet in a unit of their
+    own, so a key that most rows have is many units of bounded size, over as many tasks. Keys of one row, null keys and
+    null items bring nothing together.
+    """
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    dealt = df.join(sizes.filter("_n > 1").select(key, "_k"), key).withColumn("_c", F.pmod(F.xxhash64(item), F.col("_k").cast("bigint")).cast("int"))
+    row = F.struct(*df.columns)
+    left = dealt.select(F.col(key).alias("_key"), row.alias("x"), F.col("_c").alias("_i"), F.explode(F.sequence("_c", F.col("_k") - 1)).alias("_j"))
+    right = dealt.select(F.col(key).alias("_key"), row.alias("y"), F.explode(F.sequence(F.lit(0), F.col("_c"))).alias("_i"), F.col("_c").alias("_j"))
+    x, y = F.col("x").getField(item), F.col("y").getField(item)
+    got = left.join(right, ["_key", "_i", "_j"]).filter((x < y) | ((F.col("_i") < F.col("_j")) & (x != y)))
+    return got.select(F.when(x < y, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(x < y, F.col("y")).otherwise(F.col("x")).alias("y"))
+
+
 def shared_key_pairs(df: DataFrame, item: str, key: str, least: int = 1) -> DataFrame:
     """Pairs a < b of items that share at least ``least`` distinct keys: (a, b, shared).
 
-    An inverted-index self-join: both sides are partitioned by key, pairs are counted by partial aggregation. The
-    exchange of both sides is one and the same; adaptive execution splits a key that is hot.
+    An inverted-index self-join in units of bounded size; pairs are counted by partial aggregation.
     """
-    d = df.select(F.col(item).alias("i"), F.col(key).alias("k")).distinct()
-    a, b = d.alias("a"), d.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.i") < F.col("b.i")))
-    return pairs.groupBy(F.col("a.i").alias("a"), F.col("b.i").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    pairs = meeting(df.select(F.col(item).alias("i"), F.col(key).alias("k")).distinct(), "i", "k")
+    return pairs.groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
 # -- rows per group ----------------------------------------------------------------------------------------------

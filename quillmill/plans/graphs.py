@@ -32,7 +32,7 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def weighted_vectors(t: Tables) -> DataFrame:
-    v = vectors(t)
+    v = materialize(vectors(t), "vectors")  # read by the document frequencies, by N and by the weights
     return S.weighted(v, S.idf(v))
 
 
