@@ -478,12 +478,28 @@ def _(t):
 
 
 @query("SM4_index_triggers", """
-select item_id, count(*) as grams from (select distinct item_id, substr(lower(text), i, 3) as gram from benchmark, lateral (select unnest(range(1, length(text) - 1)) as i)) group by item_id
+with s as (
+  select client_id, city, 'I' as op, -1 as seq, -1 as change_id from clients union all select client_id, city, op, seq, change_id from client_changes),
+n as (select * from s where client_id is not null qualify row_number() over (partition by client_id order by seq desc nulls last, change_id desc nulls last, op nulls last, city nulls last) = 1)
+select client_id, count(*) as grams from (
+  select distinct client_id, substr(lower(city), i, 3) as gram from n, lateral (select unnest(range(1, length(city) - 1)) as i) where op is distinct from 'D') group by client_id
 """)
 def _(t):
-    none = X.trigram_index(t.benchmark.filter("false"), "item_id", "text")
-    got = X.maintain_index(none, t.benchmark.select("item_id"), t.benchmark, "item_id", "text")
-    return got.groupBy("item_id").agg(F.count(F.lit(1)).alias("grams"))
+    """The trigrams of clients' cities: filled from the clients, then kept up by the insertions, updates and deletions of each month."""
+    from quillmill.storage import expire, fresh_path
+    from quillmill.streaming.buckets import Buckets, indexed
+
+    root = fresh_path(t.spark, "city-index")
+    expire(t.spark, root)
+    state = Buckets(t.spark, f"{root}/state", ["client_id"], "client_id bigint, city string, op string, seq bigint, change_id bigint")
+    index = Buckets(t.spark, f"{root}/index", ["client_id"], "client_id bigint, gram string")
+    order = [F.desc_nulls_last("seq"), F.desc_nulls_last("change_id"), F.asc_nulls_last("op"), F.asc_nulls_last("city")]
+    old = t.clients.select("client_id", "city", F.lit("I").alias("op"), F.lit(-1).cast("long").alias("seq"), F.lit(-1).cast("long").alias("change_id"))
+    changes = t.client_changes.select("client_id", "city", "op", "seq", "change_id", F.date_trunc("month", F.col("valid_at").cast("timestamp")).alias("month"))
+    months = sorted((r[0] for r in changes.select("month").distinct().collect()), key=lambda m: (m is None, str(m)))  # some months
+    for k, batch in enumerate([old, *[changes.filter(F.col("month").eqNullSafe(F.lit(m))).drop("month") for m in months]]):
+        indexed(state, index, k, batch, order, ~F.col("op").eqNullSafe("D"), lambda now: X.trigram_index(now, "client_id", "city"))
+    return index.rows().groupBy("client_id").agg(F.count(F.lit(1)).alias("grams"))
 
 
 @query("LM3_sync_fallback", "with s as (select l_suppkey as node, l_partkey as other, max(l_quantity) * 2 as strength from lineitem group by all having max(l_quantity) * 2 >= 50) select node, other, strength from s qualify row_number() over (partition by node order by strength desc, other) <= 20")
