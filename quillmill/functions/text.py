@@ -200,7 +200,18 @@ def mask_key(key: Column) -> Column:
     return F.when(n <= 8, stars(n)).otherwise(F.concat(F.left(key, F.lit(3)), stars(n - 7), F.right(key, F.lit(4))))
 
 
+def utf16_units(text: Column) -> Column:
+    """The UTF-16 code units of a text, two for a character beyond the basic plane, as browsers number them."""
+    digits = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.transform(digits, lambda d: F.conv(d, 16, 10).cast("long"))
+
+
 def rolling_hash(text: Column, start: int, factor: int) -> Column:
-    """h = h * factor + code unit, modulo 2**32, over the code points of a text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(start).cast("long"), lambda h, c: (h * factor + F.ascii(c)) % (1 << 32))
+    """h = h * factor + code unit, modulo 2**32, over the UTF-16 code units of a text."""
+    return F.aggregate(utf16_units(text), F.lit(start).cast("long"), lambda h, u: (h * factor + u) % (1 << 32))
+
+
+def list_fingerprint(texts: Column) -> Column:
+    """djb2 over a list of texts, each followed by a comma, so that where they part counts."""
+    joined = F.array_join(F.transform(texts, lambda x: F.concat(F.coalesce(x, F.lit("")), F.lit(","))), "")
+    return rolling_hash(joined, 5381, 33)

@@ -377,11 +377,19 @@ def _(t):
     return t.part.select("p_partkey", book_format(F.concat("p_name", suffix)).alias("format"))
 
 
-@query("SC4_decoding", "select doc_id, text from documents")
+@query("SC4_decoding", r"""
+with a as (select doc_id, text, regexp_replace(text, '[^\x00-\x7f]', '', 'g') as plain from documents)
+select doc_id, case doc_id % 3 when 1 then plain || ' caf' || chr(233) || ' ' when 2 then plain || chr(20013) || chr(25991) else text end as text from a
+""")
 def _(t):
+    """Texts as files of three kinds: UTF-8, Latin-1 (a word that is neither UTF-8 nor GBK) and GBK (two characters)."""
     from quillmill.sources.books import decoded
 
-    return t.documents.select("doc_id", decoded(F.encode("text", "UTF-8")).alias("text"))
+    plain = F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", ""), "UTF-8")
+    latin, gbk = F.unhex(F.lit("20636166E920")), F.unhex(F.lit("D6D0CEC4"))
+    kind = F.col("doc_id") % 3
+    raw = F.when(kind == 1, F.concat(plain, latin)).when(kind == 2, F.concat(plain, gbk)).otherwise(F.encode("text", "UTF-8"))
+    return t.documents.select("doc_id", decoded(raw).alias("text"))
 
 
 @query("TK6_first_seen_ties", f"""

@@ -165,9 +165,19 @@ def _(t):
     return t.customer.select("c_custkey", T.mask_key(F.col("c_name")).alias("k"), T.mask_key(F.col("c_mktsegment")).alias("s"))
 
 
-@query("TX28_hashes", "select p_partkey, sha256(p_name) as sha, list_reduce(list_prepend(5381::bigint, list_transform(string_split(p_name, ''), lambda c: ord(c)::bigint)), lambda h, c: (h * 33 + c) % 4294967296) as djb2 from part")
+# every text ends with a character beyond the basic plane, which is two code units
+TX28_UNITS = "flatten(list_transform(string_split({}, ''), lambda c: case when ord(c) > 65535 then [(55296 + (ord(c) - 65536) // 1024)::bigint, (56320 + (ord(c) - 65536) % 1024)::bigint] else [ord(c)::bigint] end))"
+
+
+@query("TX28_hashes", f"""
+with d as (select doc_id, text || chr(128214) as text from documents),
+p as (select doc_id, text, array_to_string(list_transform(string_split(text, chr(10)), lambda x: x || ','), '') as paras from d)
+select doc_id, sha256(text) as sha, list_reduce({TX28_UNITS.format("text")}, lambda h, c: (h * 31 + c) % 4294967296, 0::bigint) as h31,
+  list_reduce({TX28_UNITS.format("paras")}, lambda h, c: (h * 33 + c) % 4294967296, 5381::bigint) as djb2 from p
+""")
 def _(t):
-    return t.part.select("p_partkey", F.sha2("p_name", 256).alias("sha"), T.rolling_hash(F.col("p_name"), 5381, 33).alias("djb2"))
+    d = t.documents.select("doc_id", F.concat("text", F.lit("\U0001f4d6")).alias("text"))
+    return d.select("doc_id", F.sha2("text", 256).alias("sha"), T.rolling_hash(F.col("text"), 0, 31).alias("h31"), T.list_fingerprint(F.split("text", "\n", -1)).alias("djb2"))
 
 
 @query("TX29_session_keys", "select conv_id, turn, role, case when turn > 0 then 'book:' || turn || ':' || role else 'global:' || conv_id end as k from conversations")

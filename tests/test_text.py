@@ -52,6 +52,10 @@ def test_snippets_and_marks(spark):
     assert one(spark, text.mask_key(F.lit("sk-1234567890"))) == "sk-******7890" and one(spark, text.mask_key(F.lit("short"))) == "*****"
     assert one(spark, text.quote_position(F.lit("a  b\n c"), F.lit("b c"))) == 3
     assert one(spark, text.rolling_hash(F.lit("ab"), 5381, 33)) == (5381 * 33 + 97) * 33 + 98
+    assert one(spark, text.rolling_hash(F.lit("é\U0001f4d6"), 0, 31)) == ((0xE9 * 31 + 0xD83D) * 31 + 0xDCD6) % 2**32  # units of UTF-16
+    assert one(spark, text.rolling_hash(F.lit(""), 7, 31)) == 7 and one(spark, text.rolling_hash(F.lit(None).cast("string"), 7, 31)) is None
+    ends = [one(spark, text.list_fingerprint(F.array(*map(F.lit, x)))) for x in (("ab", "c"), ("a", "bc"))]
+    assert ends[0] != ends[1]
     assert one(spark, text.numbered_paragraphs(F.lit("x\n\n y "))) == "【第1段】x\n【第2段】y"
 
 
