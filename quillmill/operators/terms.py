@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -25,10 +26,31 @@ def first_seen_counts(df: DataFrame, by: Sequence[str], text: str, top: int = 20
     return first_rows(got, by, [F.desc("n"), F.col("seen")], top)
 
 
-def weighted_terms(pieces: DataFrame, doc: str, piece: str, text: str, weight: str, top_piece: int = 200, top: int = 80) -> DataFrame:
-    """(doc, term, w, rank): weighted sums over a document's pieces, each cut to its top terms before weighting."""
-    counts = term_counts(pieces, [doc, piece, weight], text, top_piece)
-    sums = counts.groupBy(doc, "term").agg(F.sum(F.col("n") * F.col(weight)).alias("w"))
+def row_counts(words: Column, top: int = 200) -> Column:
+    """array<(term, n)>: how often each word of a row's array occurs, the ``top`` most frequent ones, ties by term."""
+
+    @F.arrow_udf("array<struct<term:string,n:bigint>>")
+    def run(v: pa.Array) -> pa.Array:
+        ends, terms, ns = [0], [], []
+        for x in v:
+            best = sorted(Counter(x.as_py() or ()).items(), key=lambda p: (-p[1], p[0]))[:top]
+            terms += [t for t, _ in best]
+            ns += [n for _, n in best]
+            ends.append(len(terms))
+        flat = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(ns, pa.int64())], ["term", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+    return run(words)
+
+
+def weighted_terms(pieces: DataFrame, doc: str, text: str, weight: str, top_piece: int = 200, top: int = 80) -> DataFrame:
+    """(doc, term, w, rank): weighted sums over a document's pieces, each cut to its top terms before weighting.
+
+    A row is a piece, so pieces are counted where they lie and only their top terms are shuffled, summed in part before. Null
+    texts have no terms; a repeated row is a piece of its own.
+    """
+    counts = pieces.select(doc, weight, F.explode(row_counts(terms(F.col(text)), top_piece)).alias("c"))
+    sums = counts.groupBy(doc, F.col("c.term").alias("term")).agg(F.sum(F.col("c.n") * F.col(weight)).alias("w"))
     return first_rows(sums, [doc], [F.desc("w"), F.col("term")], top, rank="rank")
 
 

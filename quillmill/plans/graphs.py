@@ -26,9 +26,9 @@ def book_name() -> Column:
 def vectors(t: Tables) -> DataFrame:
     """(doc, term, w, rank): the top 80 weighted terms of each book, bodies 1, first lines 2."""
     name = book_name().alias("book")
-    body = t.documents.select(name, F.col("doc_id").alias("piece"), "text", F.lit(1.0).alias("weight"))
-    head = t.documents.select(name, (F.lit(-1) - F.col("doc_id")).alias("piece"), F.get(F.split("text", "\r?\n", -1), F.lit(0)).alias("text"), F.lit(2.0).alias("weight"))
-    return O.weighted_terms(body.unionByName(head), "book", "piece", "text", "weight").withColumnRenamed("book", "doc")
+    body = t.documents.select(name, "text", F.lit(1.0).alias("weight"))
+    head = t.documents.select(name, F.get(F.split("text", "\r?\n", -1), F.lit(0)).alias("text"), F.lit(2.0).alias("weight"))
+    return O.weighted_terms(body.unionByName(head), "book", "text", "weight").withColumnRenamed("book", "doc")
 
 
 def weighted_vectors(t: Tables) -> DataFrame:
