@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import is_theorem
+from quillmill.operators.propagation import UNITS, by_sweeps, units
 from quillmill.operators.relational import first_rows, small, symmetric
 from quillmill.storage import drop_materialized, materialize
 
@@ -137,19 +138,25 @@ def merge_fragments(member: DataFrame, base: DataFrame, edges: DataFrame, tau: f
     return member.join(moved, "node", "left").select("node", F.coalesce("new", "cluster").alias("cluster"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, guard: float = 1.05) -> DataFrame:
-    """(node, cluster) by weighted label propagation over edges (a, b, sim), component by component.
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, guard: float = 1.05, task_edges: int = 500_000) -> DataFrame:
+    """(node, cluster) by weighted label propagation over edges (a, b, sim); a cluster is named by its smallest node.
 
     Nodes take turns in order of id and see what those before them did; a node changes to the label of largest weight
-    around it, of equal ones to the rarest, only if that beats its own label's weight by ``guard``. Being sequential,
-    it runs on one component at a time, which must fit a task.
+    around it, of equal ones to the rarest, then the smallest, only if that beats its own label's weight by ``guard``.
+    Weights are sums of similarities (0 to 9,000), exact in any order, compared to nine decimals. Components of at most
+    ``task_edges`` edges are a task's each; larger ones are swept together by Spark rounds (``propagation.by_sweeps``), with the
+    same result. Edges of a node to itself count for nothing, repeated ones add up, edges with nulls are left out.
     """
-    comp = components(edges)
-    parts = edges.join(comp.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "sim")
+    e = materialize(edges.filter("a <> b and sim is not null").select("a", "b", units(F.col("sim")).alias("unit")), "weighted")
+    comp = materialize(components(e), "components")
+    parts = e.join(comp.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "unit")
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_edges).select("component")
+    large = materialize(large, "large")
+    step = 10**UNITS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        around: dict[int, list[tuple[int, float]]] = {}
-        for a, b, s in zip(pdf["a"], pdf["b"], pdf["sim"], strict=True):
+        around: dict[int, list[tuple[int, int]]] = {}
+        for a, b, s in zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["unit"].tolist(), strict=True):
             around.setdefault(a, []).append((b, s))
             around.setdefault(b, []).append((a, s))
         order = sorted(around)
@@ -158,23 +165,25 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, guar
         for _ in range(rounds):
             still = True
             for v in order:
-                weight: dict[int, float] = {}
+                sums: dict[int, int] = {}
                 for u, s in around[v]:
-                    weight[label[u]] = weight.get(label[u], 0.0) + s
+                    sums[label[u]] = sums.get(label[u], 0) + s
+                weight = {c: (w + step // 2) // step for c, w in sums.items()}
                 best = min(weight, key=lambda c: (-weight[c], many[c], c))
-                if best != label[v] and weight[best] > guard * weight.get(label[v], 0.0):
+                if float(weight[best] * step) > guard * float(weight.get(label[v], 0) * step):
                     many[label[v]] -= 1
                     many[best] += 1
                     label[v] = best
                     still = False
             if still:
                 break
-        least: dict[int, int] = {}
-        for v in order:
-            least.setdefault(label[v], v)
-        return pd.DataFrame({"node": order, "cluster": [least[label[v]] for v in order]})
+        return pd.DataFrame({"node": order, "label": [label[v] for v in order]})
 
-    got = parts.groupBy("component").applyInPandas(run, "node bigint, cluster bigint")
+    got = parts.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, "node bigint, label bigint")
+    if not large.isEmpty():
+        got = got.unionAll(by_sweeps(parts.join(large, "component", "left_semi").select("a", "b", "unit"), rounds, guard))
+    least = got.groupBy("label").agg(F.min("node").alias("cluster"))
+    got = got.join(least, "label").select("node", "cluster")
     return nodes.join(got, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 

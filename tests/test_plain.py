@@ -77,6 +77,16 @@ def test_label_propagation(spark, t, rows):
         assert {r.node: r.cluster for r in got.collect()} == want
 
 
+def test_label_propagation_by_sweeps(spark):
+    """A component beyond one task's share beside a small one; equal weights, so that nearly every choice is one of the rarest label."""
+    rng = __import__("random").Random(3)
+    made = sorted({(min(p), max(p)) for p in ((rng.randrange(14), rng.randrange(14)) for _ in range(24)) if p[0] != p[1]} | {(20, 21), (21, 22)})
+    some = [(a, b, 0.5) for a, b in made]
+    df = spark.createDataFrame(some, "a long, b long, sim double")
+    got = graph.label_propagation(spark.range(24).toDF("node"), df, task_edges=5)
+    assert {r.node: r.cluster for r in got.collect()} == plain_propagation(range(24), some)
+
+
 def plain_fragments(member, base, edges, tau):
     count = lambda m, c: sum(x == c for x in m.values())
     now, alone = dict(member), [n for n in sorted(member) if count(member, member[n]) == 1 and count(base, base[n]) >= 2]
