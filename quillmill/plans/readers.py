@@ -535,13 +535,20 @@ def _(t):
 
 @query("SC5_epub_scan")
 def _(t):
-    """Ten pages each as an EPUB, read again: (path, idx, title, text)."""
+    """Ten pages each bound as an EPUB file, read again by the EPUB source: (path, idx, title, text)."""
     from quillmill.functions.text_udf import html_text_of
-    from quillmill.sources.books import make_epub, read_epub
+    from quillmill.sources.books import make_epub
+    from quillmill.sources.epub import epub_rows
+    from quillmill.storage import expire, fresh_path, put_file
+
+    root = fresh_path(t.spark, "epub")
+    expire(t.spark, root)
 
     def bound(key, pdf):
         pages = [(f"p{i}.xhtml", x or "") for i, x in sorted(zip(pdf["page_id"], pdf["html"], strict=True))]
-        return pd.DataFrame([(f"books/{key[0]}.epub", make_epub(pages))], columns=["path", "content"])
+        put_file(f"{root}/books/{key[0]}.epub", make_epub(pages))
+        return pd.DataFrame([(key[0],)], columns=["book"])
 
-    files = t.pages.groupBy(F.expr("page_id div 10").alias("book")).applyInPandas(bound, "path string, content binary")
-    return read_epub(files).select("path", "idx", "title", html_text_of(F.col("html")).alias("text"))
+    t.pages.groupBy(F.expr("page_id div 10").alias("book")).applyInPandas(bound, "book bigint").agg(F.count("book")).first()
+    got = epub_rows(t.spark, root, "path string, idx int, title string, html string")
+    return got.select(F.regexp_extract("path", "books/[^/]*$", 0).alias("path"), "idx", "title", html_text_of(F.col("html")).alias("text"))

@@ -48,3 +48,22 @@ def drop_materialized(df: DataFrame) -> None:
 def drop_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def store_of(uri: str):
+    """(file system, path) of a folder or file, as tasks see it without a JVM; an error for schemes that only Spark reads."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def put_file(uri: str, data: bytes) -> None:
+    """Writes a file from a task; renamed into place, so a task that runs twice leaves it whole."""
+    store, path = store_of(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, path)

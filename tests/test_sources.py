@@ -54,6 +54,29 @@ def test_epub(spark):
     assert [(r["idx"], r["title"]) for r in books.read_epub(df).collect()] == [(1, "One")]
 
 
+def test_epub_source(spark, tmp_path):
+    """Files in groups; a broken archive is an error row; other files and columns that nobody asked for stay out."""
+    from quillmill.sources.epub import EpubReader, epub_rows
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.EPUB").write_bytes(epub())
+    (tmp_path / "broken.epub").write_bytes(epub()[:60])
+    (tmp_path / "empty.epub").write_bytes(b"")
+    (tmp_path / "note.txt").write_text("x")
+    assert [len(p.paths) for p in EpubReader(str(tmp_path), ["path"], 1).partitions()] == [1] * 5
+    assert [len(p.paths) for p in EpubReader(f"file://{tmp_path}", ["path"], 1 << 20).partitions()] == [5]
+    df = epub_rows(spark, str(tmp_path), groupBytes="1000")
+    assert df.columns == ["path", "idx", "title", "html", "error"]
+    got = {r.path.split("/")[-1]: (r.idx, r.title, r.error) for r in df.collect()}
+    assert all(got[f"{k}.EPUB"] == (1, "One", None) for k in range(3)) and len(got) == 5
+    assert all(got[k][:2] == (None, None) and "BadZipFile" in got[k][2] for k in ("broken.epub", "empty.epub"))
+    some = epub_rows(spark, f"file://{tmp_path}/in", "title string, path string")
+    assert some.columns == ["title", "path"] and [r.title for r in some.collect()] == ["One"] * 3
+    (tmp_path / "none").mkdir()
+    assert epub_rows(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_lexicon(spark):
     text = "# note\n泛函\n\n机器学习 = ML, 机器 学习 \n# 系统缓存\n拓扑\n"
     got = sorted(map(str, (tuple(r) for r in books.read_lexicon(spark.createDataFrame([(text,)], "text string")).collect())))
