@@ -70,3 +70,20 @@ def test_cosine_with_a_term_in_every_book(spark, tau):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "i bigint, k string")
     assert R.meeting(none, "i", "k").count() == 0 and R.shared_key_pairs(none, "i", "k").count() == 0
+
+
+def test_tasks_follow_the_pairs(spark, monkeypatch):
+    """300 rows of one key are few bytes, but 44,850 pairs; they meet and are counted by several tasks."""
+    monkeypatch.setattr(R, "TASK_PAIRS", 1000)
+    df = spark.range(300).select(F.col("id").alias("i"), F.lit("hot").alias("k"))
+    for got in (R.meeting(df, "i", "k", 32), R.shared_key_pairs(df, "i", "k")):
+        assert got.count() == 300 * 299 // 2 and got.rdd.getNumPartitions() >= 44
+
+
+def test_part_edges_are_made_once(spark, sf_dir):
+    """Queries that read the edges several times read a table, not the join that makes them."""
+    from quillmill.plans.graphs import part_edges
+    from quillmill.tables import Tables
+
+    e = part_edges(Tables(spark, sf_dir))
+    assert e.count() > 0 and "Join" not in e._jdf.queryExecution().optimizedPlan().toString()
