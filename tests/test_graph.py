@@ -115,3 +115,19 @@ def test_similarity_is_symmetric_and_bounded(spark, sf_dir):
 
     got = similarity.cosine_pairs(weighted_vectors(Tables(spark, sf_dir)), tau=0.0).collect()
     assert got and all(0 <= r["sim"] <= 1 + 1e-9 and r["a"] < r["b"] and 1 <= len(r["reasons"]) <= 5 for r in got)
+
+
+@pytest.mark.parametrize("name", ["GR7_components", "GR9_inner_similarity", "GR10_bloat", "GR13_cascade", "GR22_best_edges", "GR23_strongest_edge", "GR25_top_edges"])
+def test_edges_of_all_nations(name):
+    """Their graph has all suppliers that share parts, whatever their nations."""
+    import __spark_entry__
+
+    assert "s_nationkey // 5" not in __spark_entry__.oracle_sql()[name]
+
+
+def test_whole_edges(spark, sf_dir):
+    from quillmill.plans.graphs import part_edges, whole_edges
+    from quillmill.tables import Tables
+
+    t = Tables(spark, sf_dir)
+    assert {tuple(r) for r in part_edges(t).collect()} < {tuple(r) for r in whole_edges(t).collect()}
