@@ -215,12 +215,14 @@ def posterior(books: DataFrame, features: DataFrame, least: int = 3) -> DataFram
 
     books (node, cluster), features (node, term, rank). Ties between clusters go to the smaller name.
     """
-    f = features.select("node", "term").distinct()
+    features, books = materialize(features, "features"), materialize(books, "books")  # read several times each
+    f = features.select("node", "term").filter("node is not null and term is not null").distinct()
     of = f.join(books.select("node", "cluster"), "node").filter("cluster <> ''")
-    mine, theirs = f.alias("m"), of.alias("t")
-    hit = mine.join(theirs, (F.col("m.term") == F.col("t.term")) & (F.col("m.node") != F.col("t.node")))
-    overlap = hit.select(F.col("m.node").alias("node"), F.col("t.cluster").alias("c"), F.col("m.term").alias("term")).distinct()
-    overlap = overlap.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
+    # a cluster has a term of others if another node of it has the term; so many nodes a cluster and term, not all pairs of nodes
+    has = of.groupBy("term", F.col("cluster").alias("c")).agg(F.count_distinct("node").alias("nodes"))
+    inside = of.select("node", "term", F.col("cluster").alias("c"), F.lit(1).alias("me")).distinct()
+    hit = f.join(has, "term").join(inside, ["node", "term", "c"], "left").filter(F.col("nodes") > F.coalesce("me", F.lit(0)))
+    overlap = hit.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"))
     own = overlap.join(books, "node").filter("c = cluster").select("node", F.col("n").alias("own"))
     best = first_rows(overlap.join(books, "node").filter("c <> cluster and n >= " + str(least)), ["node"], [F.desc("n"), F.col("c")])
     first = first_rows(features, ["node"], [F.col("rank")]).select("node", F.col("term").alias("first"))
@@ -305,7 +307,7 @@ def rename_clusters(named: DataFrame, counts: DataFrame, preferred: DataFrame) -
     known = counts.join(preferred.select("term", F.lit(1).alias("k")), "term", "left")
     top = first_rows(known, ["cluster"], [F.coalesce("k", F.lit(0)).desc(), F.desc("n"), F.col("term")]).select("cluster", "term")
     wish = named.select("cluster").distinct().join(top, "cluster", "left").select(F.col("cluster").alias("old"), F.coalesce("term", "cluster").alias("new"))
-    wish = wish.withColumn("node", F.xxhash64("old"))
+    wish = materialize(wish.withColumn("node", F.xxhash64("old")), "wish")  # read by the edges, from both ends, and by the renaming
     edges = wish.select(F.col("node").alias("a"), F.xxhash64("new").alias("b"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -87,3 +87,30 @@ def test_part_edges_are_made_once(spark, sf_dir):
 
     e = part_edges(Tables(spark, sf_dir))
     assert e.count() > 0 and "Join" not in e._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_delta_pairs_of_a_hot_key(spark, monkeypatch):
+    """New rows that are among all, and one that is not; a key of all rows is dealt over tasks."""
+    monkeypatch.setattr(S, "TASK_PAIRS", 50)
+    every = [(i, k) for i in range(30) for k in ("all", f"g{i % 4}")] + [(3, None)]
+    new = [(i, k) for i, k in every if i in (2, 6, 9)] + [(99, "all"), (99, "g1"), (0, "g3")]
+    frame = lambda x: spark.createDataFrame(x, "i bigint, k string")
+    df = S.delta_pairs(frame(new), frame(every), spark.createDataFrame([(2, 6)], "a bigint, b bigint"))
+    met = {(min(i, j), max(i, j), k) for i, k in new for j, other in every if k == other and i != j}
+    want = {}
+    for a, b, _ in met:
+        want[a, b] = want.get((a, b), 0) + 1
+    want.pop((2, 6))
+    got = df.collect()
+    assert {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
+
+
+def test_posterior_joins_no_nodes(spark):
+    """Books meet clusters' terms, not each other."""
+    from quillmill.operators.graph import posterior
+
+    books = spark.createDataFrame([("p", "x"), ("q", "y"), ("r", "y"), ("s", "")], "node string, cluster string")
+    rows = [(n, t, k) for n in "pqrs" for k, t in enumerate("abcd", 1)]
+    got = posterior(books, spark.createDataFrame(rows, "node string, term string, rank int"))
+    assert {r.node: r.cluster for r in got.collect()} == {"p": "y", "q": "y", "r": "y", "s": "x"}
+    assert "NOT (node" not in got._jdf.queryExecution().optimizedPlan().toString()
