@@ -524,13 +524,18 @@ def _(t):
 
 @query("LM6_outline_fallback")
 def _(t):
+    import pyarrow as pa
+
     from quillmill.functions.text_udf import outline, outline_markdown
 
-    @F.pandas_udf("string")
-    def run(s):
-        return s.map(lambda x: outline_markdown(outline(x)))
+    def run(batches):  # few texts as Python strings at once, whatever a batch holds
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([outline_markdown(outline(x.as_py())) for x in b["text"]], pa.string())], ["doc_id", "markdown"])
 
-    return t.documents.select("doc_id", run("text").alias("markdown"))
+    d = t.documents.select("doc_id", "text")
+    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, markdown string")
 
 
 @query("SC5_epub_scan")
