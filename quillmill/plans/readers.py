@@ -555,5 +555,5 @@ def _(t):
         return pd.DataFrame([(key[0],)], columns=["book"])
 
     t.pages.groupBy(F.expr("page_id div 10").alias("book")).applyInPandas(bound, "book bigint").agg(F.count("book")).first()
-    got = epub_rows(t.spark, root, "path string, idx int, title string, html string")
+    got = epub_rows(t.spark, root, "path string, idx int, title string, html string", groupBytes=str(8 << 20))  # a task's rows are held at once
     return got.select(F.regexp_extract("path", "books/[^/]*$", 0).alias("path"), "idx", "title", html_text_of(F.col("html")).alias("text"))
