@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -249,25 +250,117 @@ def overlapping(sets: DataFrame, least: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
 
 
+#: Of the most common keys of a set so many are tried, ``least`` at a time, to join sets without meeting in pairs.
+COMMON = 8
+
+
+def joined_by_common(sets: DataFrame, least: int) -> DataFrame:
+    """(node, component) of items that share ``least`` of their ``COMMON`` most common keys, directly or by others; sets (i, k).
+
+    Some of the links that ``overlapping`` finds, in rows that grow with the items, not with their pairs: every choice of
+    ``least`` of an item's most common keys is a row (56 for 5 of 8), and items of one choice are linked to the smallest.
+    """
+    many = sets.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
+    own = sets.join(many, "k").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("ks")).filter(F.size("ks") >= least)
+    top = own.select("i", F.transform(F.slice("ks", F.greatest(F.lit(1), F.size("ks") - (COMMON - 1)), F.lit(COMMON)), lambda x: x["k"]).alias("ks"))
+    picks = F.array(*[F.when(F.size("ks") > max(c), F.array(*[F.get("ks", F.lit(j)) for j in c])) for c in combinations(range(max(COMMON, least)), least)])
+    rows = materialize(top.select("i", F.explode(picks).alias("pick")).filter("pick is not null"), "picks")
+    low = rows.groupBy("pick").agg(F.min("i").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("pick", "b")
+    return components(rows.join(low, "pick").select(F.col("i").alias("a"), "b").filter("a <> b").distinct())
+
+
+def merge_in_order(size: list[int], terms: list[set], least: int) -> list[int]:
+    """Where each cluster ends: the first two clusters, in order, that share ``least`` terms merge, then again.
+
+    The larger of the two (the first on ties) takes the other's terms. Once a cluster has none to merge with, only clusters that
+    grow can bring it one, so nothing starts again: a merged cluster is compared with all others at once, by counts over the
+    clusters of its terms that are kept for the last few that grew, and that only its new terms add to.
+    """
+    size, has = list(size), [set(x) for x in terms]
+    n, held = len(size), {}
+    for c, x in enumerate(has):
+        for t in x:
+            held.setdefault(t, []).append(c)
+    held = {t: np.array(x, dtype=np.int64) for t, x in held.items()}
+    alive, end = np.ones(n, dtype=bool), list(range(n))
+    kept: dict[int, np.ndarray] = {}
+
+    def shared(c: int) -> np.ndarray:
+        if c not in kept:
+            counts = np.zeros(n, dtype=np.int32)
+            for t in has[c]:
+                counts[held[t]] += 1
+            if len(kept) >= 8:
+                del kept[next(iter(kept))]
+            kept[c] = counts
+        return kept[c]
+
+    def partner(c: int, since: int) -> int | None:
+        """The first living cluster from ``since`` on, but ``c``, that shares enough with it."""
+        ok = (shared(c)[since:] >= least) & alive[since:]
+        if c >= since:
+            ok[c - since] = False
+        k = int(ok.argmax()) if len(ok) else 0
+        return since + k if len(ok) and ok[k] else None
+
+    at = 0
+    while at < n:
+        other = partner(at, at + 1) if alive[at] else None
+        a = at
+        if other is None:
+            at += 1
+            continue
+        while other is not None:
+            main, sub = (a, other) if size[a] >= size[other] else (other, a)
+            size[main] += size[sub]
+            alive[sub], end[sub] = False, main
+            kept.pop(sub, None)
+            fresh, has[sub] = has[sub] - has[main], set()
+            counts = kept.pop(main, None)
+            for t in fresh:
+                if counts is not None:
+                    counts[held[t]] += 1
+                held[t] = np.append(held[t][alive[held[t]]], main)
+                for c, x in kept.items():
+                    if t in has[c]:
+                        x[main] += 1
+            has[main] |= fresh
+            if counts is not None:
+                kept[main] = counts  # the last to be given up
+            # those before ``at`` had none to merge with, so a pair that one of them is in now is of the one that grew
+            met = partner(main, 0)
+            a, other = (at, None) if met is None or min(met, main) >= at else (min(met, main), max(met, main))
+    for c in reversed(range(n)):
+        while end[c] != end[end[c]]:
+            end[c] = end[end[c]]
+    return end
+
+
 def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5) -> DataFrame:
     """(cluster, merged): where each cluster ends, when clusters that share ``least`` terms merge one pair at a time.
 
     Clusters come in order of their smallest book; the first pair in that order merges, the larger side keeps its
     name (the first on ties) and its place, with the terms of both; then again. What can ever merge is found without any
     order first: groups that share ``least`` terms are joined and their terms united, as Spark rounds, until no two groups
-    share so many. A cluster's terms, whatever it has taken in, are among its group's, so clusters of two groups never
-    merge, and each group goes through the rule by itself, in a task that holds its clusters' terms; a group is
-    those that overlaps chain together, not all that have a word in common. Nothing reaches the driver.
+    share so many; the first round only joins those that share their most common terms, which takes no pairs. A cluster's
+    terms, whatever it has taken in, are among its group's, so clusters of two groups never merge, and each group goes
+    through the rule by itself, in a task that holds its clusters' terms; a group is those that overlaps chain together,
+    not all that have a word in common. Nothing reaches the driver.
     """
     of = materialize(features.join(books, "node").select("cluster", "term").distinct(), "merge")
     heads = materialize(books.groupBy("cluster").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "merge")
     group = heads.select("cluster", F.col("first").alias("g"))
+    common = True
     while True:
         sets = of.join(group, "cluster").select(F.col("g").alias("i"), F.col("term").alias("k")).distinct()
-        pairs = materialize(overlapping(sets, least), "merge")
-        if pairs.isEmpty():
-            break
-        comp = components(pairs)
+        sets = materialize(sets, "sets")
+        if common:
+            comp, common = joined_by_common(sets, least), False
+        else:
+            pairs = materialize(overlapping(sets, least), "merge")
+            if pairs.isEmpty():
+                break
+            comp = components(pairs)
         group = materialize(group.join(comp, F.col("g") == F.col("node"), "left").select("cluster", F.coalesce("component", "g").alias("g")), "merge")
     size = group.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     inside = heads.join(group, "cluster").join(size, "g")
@@ -277,23 +370,9 @@ def merge_clusters(books: DataFrame, features: DataFrame, least: int = 5) -> Dat
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
-        order, end = list(pdf["cluster"]), {c: c for c in pdf["cluster"]}
-        size = dict(zip(pdf["cluster"], pdf["n"], strict=True))
-        has = {c: set() if t is None else set(t) for c, t in zip(pdf["cluster"], pdf["terms"], strict=True)}
-        at = 0
-        while at < len(order):
-            a = order[at]
-            b = next((x for x in order[at + 1 :] if len(has[a] & has[x]) >= least), None)
-            if b is None:
-                at += 1
-                continue
-            main, sub = (a, b) if size[a] >= size[b] else (b, a)
-            has[main] |= has.pop(sub)
-            size[main] += size.pop(sub)
-            order.remove(sub)
-            end = {c: main if e == sub else e for c, e in end.items()}
-            at = 0  # the merged cluster may share enough with an earlier one now
-        return pd.DataFrame({"cluster": list(end), "merged": list(end.values())})
+        names = pdf["cluster"].tolist()
+        end = merge_in_order(pdf["n"].tolist(), [set() if t is None else set(t) for t in pdf["terms"]], least)
+        return pd.DataFrame({"cluster": names, "merged": [names[c] for c in end]})
 
     return alone.unionByName(rows.groupBy("g").applyInPandas(run, "cluster string, merged string"))
 

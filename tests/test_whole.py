@@ -163,3 +163,52 @@ def test_no_cluster_is_left_out_of_a_merge(spark):
     books = spark.createDataFrame([(k, f"c{k}") for k in range(5)], "node bigint, cluster string")
     features = spark.createDataFrame([(k, f"t{k}") for k in range(5)], "node bigint, term string")
     assert {r.cluster: r.merged for r in merge_clusters(books, features).collect()} == {f"c{k}": f"c{k}" for k in range(5)}
+
+
+def test_merge_of_many_clusters(spark, monkeypatch):
+    """20,000 clusters that all share five terms merge in seconds, and Spark joins them without a pair of them being a row."""
+    import time
+
+    from quillmill.operators import graph
+
+    def no_pairs(sets, least):
+        assert sets.select("i").distinct().count() < 10
+        return overlapping(sets, least)
+
+    overlapping = graph.overlapping
+    monkeypatch.setattr(graph, "overlapping", no_pairs)
+    books = spark.range(20_000).selectExpr("id as node", "concat('c', id) as cluster")
+    features = spark.range(20_000).selectExpr("id as node", "explode(array('a', 'b', 'c', 'd', 'e', concat('own', id))) as term")
+    began = time.time()
+    assert {r.merged for r in graph.merge_clusters(books, features).select("merged").distinct().collect()} == {"c0"}
+    assert time.time() - began < 90
+
+
+def test_merge_rule_in_order():
+    """The first pair in order merges, then again: as the plain rule that starts again after each merge."""
+    import random
+
+    from quillmill.operators.graph import merge_in_order
+
+    def plain(size, terms, least):
+        size, has, order, end = list(size), [set(x) for x in terms], list(range(len(size))), list(range(len(size)))
+        at = 0
+        while at < len(order):
+            a = order[at]
+            b = next((x for x in order[at + 1 :] if len(has[a] & has[x]) >= least), None)
+            if b is None:
+                at += 1
+                continue
+            main, sub = (a, b) if size[a] >= size[b] else (b, a)
+            has[main] |= has[sub]
+            size[main] += size[sub]
+            order.remove(sub)
+            end, at = [main if e == sub else e for e in end], 0
+        return end
+
+    for seed in range(300):
+        rng = random.Random(seed)
+        n, words, least = rng.randrange(1, 40), rng.choice([15, 30, 60, 120]), rng.choice([1, 2, 3, 4])
+        terms = [{rng.randrange(words) for _ in range(rng.randrange(7))} for _ in range(n)]
+        size = [rng.randrange(1, 5) for _ in range(n)]
+        assert merge_in_order(size, terms, least) == plain(size, terms, least)
