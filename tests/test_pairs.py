@@ -114,3 +114,28 @@ def test_posterior_joins_no_nodes(spark):
     got = posterior(books, spark.createDataFrame(rows, "node string, term string, rank int"))
     assert {r.node: r.cluster for r in got.collect()} == {"p": "y", "q": "y", "r": "y", "s": "x"}
     assert "NOT (node" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("near", [None, 2])
+def test_shared_key_pairs_of_hot_keys_and_items(spark, monkeypatch, near):
+    """Keys of several lists, items of too many pairs for a task, repeated rows and a condition on what items carry."""
+    monkeypatch.setattr(R, "TASK_PAIRS", 40)
+    monkeypatch.setattr(R, "CHUNK", 8)
+    monkeypatch.setattr(R, "TASK_ROWS", 50)
+    rows = [(i, k) for i in range(60) for k in ("all", f"g{i % 7}", f"h{i % 5}", f"j{i % 2}")] * 2 + [(None, "all"), (2, None)]
+    where = None if near is None else lambda x, y: F.abs(x["n"] - y["n"]) <= near
+    df = spark.createDataFrame(rows, "i bigint, k string").withColumn("n", F.col("i") % 10)
+    got = [((r.a, r.b), r.shared) for r in R.shared_key_pairs(df, "i", "k", 2, where, ["n"]).collect()]
+    want = {p: n for p, n in _shared(rows, 2).items() if near is None or abs(p[0] % 10 - p[1] % 10) <= near}
+    assert dict(got) == want and len(got) == len(want)
+
+
+def test_rows_are_told_apart_by_bounded_tasks(spark, tmp_path, monkeypatch):
+    """No aggregation lies before the first exchange, where it would hold all rows of a file: tasks follow the rows."""
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    plans, made = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, tag: plans.append((tag, df)) or made(df, tag))
+    R.shared_key_pairs(spark.range(1000).selectExpr("id % 100 as i", "id % 37 as k"), "i", "k").count()
+    met = next(df for tag, df in plans if tag == "met")
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Exchange") :] and met.rdd.getNumPartitions() >= 10
