@@ -20,17 +20,59 @@ from quillmill.operators.relational import first_rows, small, symmetric
 from quillmill.storage import drop_materialized, materialize
 
 
+#: Edges that a task links at once, and nodes whose links it holds, about.
+LINKED_AT_ONCE, LINKED_NODES = 500_000, 2_000_000
+
+
+def linked(v: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (v, m) as stars: each node but the smallest of what hangs together here, with that smallest one."""
+    node, at = np.unique(np.concatenate([v, m]), return_inverse=True)
+    x, y, low = at[: len(v)], at[len(v) :], np.arange(len(node))
+    while True:
+        p, q = low[x], low[y]
+        open_ = p != q
+        if not open_.any():
+            break
+        x, y, p, q = x[open_], y[open_], p[open_], q[open_]
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while (low[low] != low).any():
+            low = low[low]
+    moved = np.flatnonzero(low != np.arange(len(node)))
+    return node[moved], node[low[moved]]
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """Edges (v, m: long) with the same components: each task's own as stars, so at most a row for a node and task, however many edges."""
+
+    def run(batches):
+        held, n = [], 0
+        stars = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        for b in batches:
+            held.append((np.asarray(b["v"]), np.asarray(b["m"])))
+            n += b.num_rows
+            if n >= LINKED_AT_ONCE:
+                stars = linked(*(np.concatenate(x) for x in zip(stars, *held, strict=True)))
+                held, n = [], 0
+                if len(stars[0]) > LINKED_NODES:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars], ["v", "m"])
+                    stars = (stars[0][:0], stars[1][:0])
+        stars = linked(*(np.concatenate(x) for x in zip(stars, *held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars], ["v", "m"])
+
+    return edges.mapInArrow(run, "v bigint, m bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long), as (node, component) with the smallest node of each.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each round is two partial aggregations and
     two joins that adaptive execution can split on a hot key; no group is collected and nothing but a count and a
-    checksum reaches the driver. Each round's edges are written to the shared folder, which cuts the lineage.
+    checksum reaches the driver. Each round's edges are written to the shared folder, which cuts the lineage. Before
+    the rounds each task turns its own edges into stars, so that the rounds' rows grow with the nodes, not the edges.
     Nodes without edges are not returned.
     """
-    cur = materialize(
-        edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m").distinct(), "cc"
-    )
+    down = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v <> m")
+    cur = materialize((local_stars(down) if {k for _, k in down.dtypes} == {"bigint"} else down).distinct(), "cc")
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(v, m))")).first())
@@ -59,16 +101,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cluster) of all nodes, those without edges in a cluster of their own."""
+    """(node, cluster) of all nodes, those without edges in a cluster of their own; made once for all that read it."""
     comp = components(edges)
-    return nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+    return materialize(nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("cluster")), "clusters")
+
+
+def edges_inside(member: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges whose ends are of one cluster, with it. They are not shuffled while the members, two numbers a node, may be broadcast."""
+    a, b = member.select(F.col("node").alias("a"), F.col("cluster").alias("cluster")), member.select(F.col("node").alias("b"), F.col("cluster").alias("_cb"))
+    return edges.join(small(a), "a").join(small(b), "b").filter("cluster = _cb").drop("_cb")
 
 
 def inner_similarity(member: DataFrame, edges: DataFrame) -> DataFrame:
     """(cluster, n, mean): mean similarity over all pairs of a cluster, absent pairs 0, 1 for a single member."""
     n = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    a, b = member.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), member.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
-    inside = edges.join(a, "a").join(b, "b").filter("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.sum("sim").alias("s"))
+    inside = edges_inside(member, edges).groupBy("cluster").agg(F.sum("sim").alias("s"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = F.when(F.col("n") == 1, 1.0).otherwise(F.coalesce("s", F.lit(0.0)) / pairs)
     return n.join(inside, "cluster", "left").select("cluster", "n", mean.alias("mean"))
@@ -80,9 +127,8 @@ def bloat_factor(member: DataFrame, edges: DataFrame) -> DataFrame:
     A hub is linked to at least 0.6 of the others. Below 30 nodes the factor is 0.8; else 1.2 beyond a share of 0.3,
     1.0 beyond 0.15, 0.8 otherwise.
     """
-    a, b = member.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), member.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
-    inside = edges.join(a, "a").join(b, "b").filter("ca = cb").select("a", "b")
-    degree = symmetric(inside, "a", "b").groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    ends = edges_inside(member, edges).select(F.explode(F.array("a", "b")).alias("node"))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
     size = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     hubs = member.join(degree, "node", "left").join(size, "cluster").filter("m >= 4")
     hubs = hubs.groupBy("cluster").agg(F.avg((F.coalesce("d", F.lit(0)) >= 0.6 * (F.col("m") - 1)).cast("double")).alias("share"))

@@ -131,3 +131,33 @@ def test_whole_edges(spark, sf_dir):
 
     t = Tables(spark, sf_dir)
     assert {tuple(r) for r in part_edges(t).collect()} < {tuple(r) for r in whole_edges(t).collect()}
+
+
+def test_local_stars(spark, monkeypatch):
+    """The same components in rows that grow with the nodes: a clique's edges are a star a task, whatever is held at once."""
+    rows = [(a, b, 1) for g in (0, 1000) for a in range(g, g + 40) for b in range(a + 1, g + 40)] + [(-5, 7, 1), (2**62, 2**61, 1), (3, 3, 1)]
+    e = edges(spark, rows).selectExpr("greatest(a, b) as v", "least(a, b) as m").filter("v <> m").repartition(3)
+    assert e.count() == 1562 and graph.local_stars(e).count() <= 3 * 82
+    want = {**{n: -5 for n in range(40)}, -5: -5, **{n: 1000 for n in range(1000, 1040)}, 2**61: 2**61, 2**62: 2**61}
+    assert {r["node"]: r["component"] for r in graph.components(edges(spark, rows)).collect()} == want
+    monkeypatch.setattr(graph, "LINKED_AT_ONCE", 3)
+    monkeypatch.setattr(graph, "LINKED_NODES", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {r["node"]: r["component"] for r in graph.components(edges(spark, rows)).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_edges_inside(spark):
+    """Edges are not shuffled to meet few members; those with an end elsewhere, or that is no member, are left out."""
+    member = graph.clusters(nodes(spark, [1, 2, 3, 4]), edges(spark, [(1, 2, 1), (3, 9, 1)]))
+    e = edges(spark, [(1, 2, 0.5), (2, 1, 0.25), (1, 3, 1), (3, 9, 1), (8, 9, 1)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = graph.edges_inside(member, e)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["a"], r["b"], r["cluster"]) for r in got.collect()) == [(1, 2, 1), (2, 1, 1)]
+        assert {(r["cluster"], r["n"], r["mean"]) for r in graph.inner_similarity(member, e).collect()} == {(1, 2, 0.75), (3, 1, 1.0), (4, 1, 1.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
