@@ -89,7 +89,7 @@ select item_id, conv_id, turn, score from s qualify row_number() over (partition
 """)
 def _(t):
     c = t.conversations.filter("role = 'assistant'")
-    return V.top_chunks(V.chunk_scores(t.benchmark, "item_id", "text", c, "conv_id", "turn", "text"), "item_id", "conv_id", "turn", 4)
+    return V.best_chunks(t.benchmark, "item_id", "text", c, "conv_id", "turn", "text", 4)
 
 
 @query("TK8_top_skills", """
@@ -518,8 +518,8 @@ def _(t):
 
 @query("LM4_selection_fallback", "with s as (select item_id, doc_id, count(*) as score from (select item_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]*'))) as token from benchmark) join documents on contains(text, token) group by all) select item_id, doc_id, score from s qualify row_number() over (partition by item_id order by score desc, doc_id) <= 3")
 def _(t):
-    s = V.chunk_scores(t.benchmark, "item_id", "text", t.documents.select("doc_id", F.lit(0).alias("pos"), F.col("text").alias("body")), "doc_id", "pos", "body")
-    return R.first_rows(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 3).select("item_id", "doc_id", "score")
+    d = t.documents.select("doc_id", F.lit(0).alias("pos"), F.col("text").alias("body"))
+    return V.best_chunks(t.benchmark, "item_id", "text", d, "doc_id", "pos", "body", 3).select("item_id", "doc_id", "score")
 
 
 @query("LM6_outline_fallback")
