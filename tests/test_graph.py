@@ -161,3 +161,16 @@ def test_edges_inside(spark):
         assert {(r["cluster"], r["n"], r["mean"]) for r in graph.inner_similarity(member, e).collect()} == {(1, 2, 0.75), (3, 1, 1.0), (4, 1, 1.0)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_similarity_of_a_cluster_without_shuffled_edges(spark):
+    """Only sums of clusters are shuffled, not edges."""
+    e = edges(spark, [(a, b, 0.5) for a in range(1, 6) for b in range(a + 1, 6)] + [(7, 8, 0.25)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = graph.inner_similarity(graph.clusters(nodes(spark, range(1, 10)), e), e)
+        said = got._jdf.queryExecution().executedPlan().toString()
+        assert said.count("BroadcastHashJoin") >= 2 and "hashpartitioning(a#" not in said and "hashpartitioning(b#" not in said
+        assert {(r["cluster"], r["n"], r["mean"]) for r in got.collect()} == {(1, 5, 0.5), (6, 1, 1.0), (7, 2, 0.25), (9, 1, 1.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
