@@ -64,3 +64,24 @@ def test_equal_pairs_merge_from_the_left():
         mine = ids[start[k] : start[k + 1]].tolist()
         assert mine == expected(w)[0]
         assert b.decode(mine) == expected(w)[1]
+
+
+def test_a_piece_is_merged_once_whatever_words_hold_it(monkeypatch):
+    b, seen = bpe.Bpe(PATH), []
+    merge = b.merge
+    monkeypatch.setattr(b, "merge", lambda symbols, *more: seen.append(len(symbols)) or merge(symbols, *more))
+    for texts, symbols in ((["haus haus, (Haus) HAUS.", "haus..."], 4 + len(",().") + len("...")), (["Haus, baum", None], 4)):
+        seen.clear()
+        for t, (ids, text) in zip(texts, b.encode_texts(texts), strict=True):
+            assert (np.frombuffer(ids, "<u4").tolist(), text) == expected(t)
+        assert sum(seen) == symbols
+
+
+def test_parts_of_a_block_and_a_full_store(monkeypatch):
+    b = bpe.Bpe(PATH)
+    monkeypatch.setattr(bpe, "PART_TEXTS", 3)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 4)
+    texts = [r[1] for r in AWKWARD]
+    for block in (texts, texts[::-1], texts[:1], []):
+        got = [(np.frombuffer(ids, "<u4").tolist(), text) for ids, text in b.encode_texts(block)]
+        assert got == [expected(t) for t in block]
